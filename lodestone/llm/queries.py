@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import lines, media, quality, simhash
+from lodestone.llm import lines, media, quality, simhash, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -22,6 +22,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(_read(spark, sf_dir), digest=True)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return done.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.col("kept").cast("string").alias("kept_sha256"))
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.keep_bitmaps(_read(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(lines.kept_text().cast("binary"), 256).alias("kept_sha256"))
@@ -53,9 +59,33 @@ FROM judged GROUP BY doc_id
 """
 
 
+OP7_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT doc_id, h, unnest(range(1, CAST(length(h) AS BIGINT) - 198, 2)) AS p FROM docs),
+marked AS (
+  SELECT doc_id, p FROM (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY substr(h, p, 200) ORDER BY doc_id, p) AS nth FROM places)
+  WHERE nth > 1),
+opened AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER w + 200 THEN 0 ELSE 1 END AS opens
+  FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+numbered AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM opened),
+spans AS (SELECT doc_id, span, min(p) AS a, max(p) + 200 AS z FROM numbered GROUP BY doc_id, span),
+gaps AS (
+  SELECT doc_id, span, a, z, coalesce(lag(z) OVER w, 1) AS kept_from FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+pieces AS (
+  SELECT g.doc_id, CAST(sum(z - a) / 2 AS BIGINT) AS n_removed, count(*) AS n_spans, max(z) AS rest,
+         string_agg(substr(h, kept_from, a - kept_from), '' ORDER BY a) AS head
+  FROM gaps g JOIN docs d ON g.doc_id = d.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE head || substr(h, rest) END)) AS kept_sha256
+FROM docs d LEFT JOIN pieces x ON d.doc_id = x.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op5_simhash, op8_lines, op10_quality)}
+    return {f.__name__: f for f in (op1_media, op5_simhash, op7_suffixes, op8_lines, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_lines": OP8_SQL}
+    return {"op7_suffixes": OP7_SQL, "op8_lines": OP8_SQL}

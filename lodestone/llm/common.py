@@ -43,18 +43,17 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], out: str, buckets: int = 4096) -> tuple[DataFrame, DataFrame]:
+def ranked(df: DataFrame, group: list[str], order: list[Column], out: str, bits: int = 12) -> tuple[DataFrame, DataFrame]:
     """Number the rows of each group from 0 in a hashed order, without bringing a group together.
 
     A row's place follows the 64-bit hash of ``order`` (then the order itself).
-    The hash range is cut in ``buckets`` equal ranges; rows are numbered inside
+    The hash range is cut in 2 ** ``bits`` equal ranges; rows are numbered inside
     a (group, range) pair, and the small table of counts per pair gives each
     pair its first number. ``df`` is read twice, so pass a staged frame if it
     is costly. Returns the numbered rows, and (group, n) counts.
     """
     h, b, first = "__h", "__b", "__first"
-    keyed = df.withColumn(h, F.xxhash64(*order)).withColumn(b, F.pmod(F.shiftright(h, 40), F.lit(1 << 24)).cast("int"))
-    keyed = keyed.withColumn(b, F.floor(F.col(b) * buckets / (1 << 24)).cast("int"))
+    keyed = df.withColumn(h, F.xxhash64(*order)).withColumn(b, F.shiftrightunsigned(h, 64 - bits).cast("int"))
     counts = keyed.groupBy(*group, b).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col(b).alias("__gb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(first))

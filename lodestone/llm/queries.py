@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import lines, media, quality, simhash, suffixes
+from lodestone.llm import common, compaction, lines, media, mixing, packing, preference, quality, simhash, suffixes, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -18,10 +18,39 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store_texts(_read(spark, sf_dir))).withColumnRenamed("id", "doc_id")
 
 
+#: Target weights of the sources: the first five count more, others together (OTHER) little.
+WEIGHTS = {"src0": 24, "src1": 12, "src2": 8, "src3": 8, "src4": 8, **{f"src{i}": 4 for i in range(5, 20)}, mixing.OTHER: 1}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir).select("doc_id", "source")
+    done = mixing.schedule(docs, WEIGHTS, "source", ["doc_id"])
+    return done.select("doc_id", "source", "mix_source", "mix_block", "mix_slot", "mix_position")
+
+
+def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir)
+    store = compaction.ShardStore(spark, common.new_path(spark, "shards"))
+    store.append(docs)
+    store.compact()
+    store.vacuum()
+    return store.read(docs.schema).select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = packing.pack(_read(spark, sf_dir), with_ids=False).withColumnRenamed("id", "doc_id")
+    return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.col("k").alias("class"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = preference.format_pairs(preference.pairs_by_number(_read(spark, sf_dir, "conversations")))
+    return done.withColumns({c: preference.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffixes.remove_repeats(_read(spark, sf_dir), digest=True)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -33,6 +62,23 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(lines.kept_text().cast("binary"), 256).alias("kept_sha256"))
 
 
+def _edits():
+    """Three edits from a document's id: a word set in, a few characters replaced, a stretch cut out."""
+
+    def place(i: int):
+        return F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.char_length(F.coalesce("text", F.lit(""))), F.lit(1)))
+
+    def edit(start, length: int, text: str):
+        return F.struct(start.alias("start"), (start + length).alias("end"), F.lit(text).alias("text"))
+
+    return F.array(edit(place(1), 0, " revised"), edit(place(2), 5, "corrected text, "), edit(place(3), 40, ""))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir).withColumn("edits", _edits())
+    return token_counts.count_edits(docs, "doc_id", "text", "edits").withColumnRenamed("id", "doc_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_read(spark, sf_dir)).withColumnRenamed("id", "doc_id").drop("distance2")
 
@@ -59,6 +105,38 @@ FROM judged GROUP BY doc_id
 """
 
 
+OP3_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+
+OP6_SQL = """
+WITH turns AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                       ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+pairs AS (
+  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair,
+         coalesce(max(t) FILTER (WHERE conv_id % 2 = 0), []) AS a, coalesce(max(t) FILTER (WHERE conv_id % 2 <> 0), []) AS b
+  FROM turns GROUP BY 1),
+cut AS (
+  SELECT pair, a, b, coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: a[i] = b[i]), false) - 1,
+                              least(len(a), len(b))) AS n FROM pairs),
+shown AS (
+  SELECT pair, n, a[1:n] AS p, a[n + 1:] AS a, b[n + 1:] AS b FROM cut),
+drawn AS (
+  SELECT pair, n, a, b,
+         list_transform(p, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)) AS tp,
+         list_transform(a, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)) AS ta,
+         list_transform(b, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)) AS tb
+  FROM shown)
+SELECT pair, CAST(n AS BIGINT) AS n_prompt_turns, array_to_string(tp, '') AS prompt,
+       array_to_string(ta, '') AS chosen_completion,
+       array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: a[i].role = 'assistant'),
+         lambda i: CAST(length(array_to_string(ta[1:i - 1], '')) + 22 AS VARCHAR) || '-' || CAST(length(array_to_string(ta[1:i], '')) AS VARCHAR)), ',') AS chosen_mask,
+       array_to_string(tb, '') AS rejected_completion,
+       array_to_string(list_transform(list_filter(range(1, len(b) + 1), lambda i: b[i].role = 'assistant'),
+         lambda i: CAST(length(array_to_string(tb[1:i - 1], '')) + 22 AS VARCHAR) || '-' || CAST(length(array_to_string(tb[1:i], '')) AS VARCHAR)), ',') AS rejected_mask
+FROM drawn
+"""
+
 OP7_SQL = """
 WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 places AS (SELECT doc_id, h, unnest(range(1, CAST(length(h) AS BIGINT) - 198, 2)) AS p FROM docs),
@@ -84,8 +162,8 @@ FROM docs d LEFT JOIN pieces x ON d.doc_id = x.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op5_simhash, op7_suffixes, op8_lines, op10_quality)}
+    return {f.__name__: f for f in (op1_media, op2_mixing, op3_compaction, op4_packing, op5_simhash, op6_preference, op7_suffixes, op8_lines, op9_token_counts, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_suffixes": OP7_SQL, "op8_lines": OP8_SQL}
+    return {"op3_compaction": OP3_SQL, "op6_preference": OP6_SQL, "op7_suffixes": OP7_SQL, "op8_lines": OP8_SQL}

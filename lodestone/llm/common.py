@@ -43,7 +43,7 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], out: str, bits: int = 12) -> tuple[DataFrame, DataFrame]:
+def ranked(df: DataFrame, group: list[str], order: list[Column], out: str, bits: int = 12, part: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Number the rows of each group from 0 in a hashed order, without bringing a group together.
 
     A row's place follows the 64-bit hash of ``order`` (then the order itself).
@@ -53,11 +53,15 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], out: str, bits:
     is costly. Returns the numbered rows, and (group, n) counts.
     """
     h, b, first = "__h", "__b", "__first"
-    keyed = df.withColumn(h, F.xxhash64(*order)).withColumn(b, F.shiftrightunsigned(h, 64 - bits).cast("int"))
+    if part is None:
+        keyed = df.withColumn(h, F.xxhash64(*order)).withColumn(b, F.shiftrightunsigned(h, 64 - bits).cast("int"))
+        order = [F.col(h), *order]
+    else:
+        keyed = df.withColumn(b, part)
     counts = keyed.groupBy(*group, b).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col(b).alias("__gb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(first))
-    within = Window.partitionBy(*group, b).orderBy(h, *order)
+    within = Window.partitionBy(*group, b).orderBy(*order)
     numbered = keyed.withColumn(out, F.row_number().over(within) - 1)
     same = F.col(b) == F.col("__gb")
     for g in group:

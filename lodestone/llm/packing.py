@@ -57,13 +57,15 @@ def cut(n: int, capacity: int = CAPACITY, kinds: list[int] | None = None) -> lis
 _PIECES = "start bigint, length bigint, ids binary, doc_tokens bigint, k int"
 
 
-def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(id, start, length, ids, doc_tokens, k): each document's tokens with ``end_id``, cut to pieces; ids are little-endian 32-bit.
+def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``keep``, id, start, length, ids, doc_tokens, k): each document's tokens with ``end_id``, cut to pieces; ids are little-endian 32-bit.
 
     A null or empty text is the end token alone. Repeated rows and null ids stay.
     """
     vocabulary = vocabulary or tokens.vocabulary()
-    kind = df.schema[id_col].dataType
+    kept = df.select(*keep, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    names = [*keep, "id"]
+    schema = ", ".join(f"`{x}` {kept.schema[x].dataType.simpleString()}" for x in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, kinds = tokens.encoder(vocabulary).encode, classes(capacity)
@@ -72,7 +74,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 rows, at = [], []
-                for i, text in enumerate(batch.column(1).slice(lo, 1000).to_pylist()):
+                for i, text in enumerate(batch.column(len(names)).slice(lo, 1000).to_pylist()):
                     ids = encode(text or "") + end
                     n = len(ids) // w
                     if n not in memo:
@@ -85,19 +87,26 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
                         at.append(lo + i)
                 if rows:
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], ["id", "start", "length", "ids", "doc_tokens", "k"])
+                    place = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([*[c.take(place) for c in batch.columns[:-1]], *columns], [*names, "start", "length", "ids", "doc_tokens", "k"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind.simpleString()}, {_PIECES}")
+    return kept.mapInArrow(run, f"{schema}, {_PIECES}")
 
 
-def assign(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def assign(found: DataFrame, capacity: int = CAPACITY, order: tuple[str, str] | None = None) -> DataFrame:
     """``found`` (staged pieces: id, start, length, k and any more) with sequence_id and offset.
 
-    Sequence ids are gapless: the full bins of each class in turn, then the
+    Pieces fill bins in a hashed order, or by the columns ``order`` (a coarse
+    and a fine one, as file and row). Sequence ids are gapless: the full bins of each class in turn, then the
     bins of what the classes left over.
     """
     kinds = classes(capacity)
-    placed, totals = common.ranked(found, ["k"], [F.col("id"), F.col("start"), F.col("length"), F.col("doc_tokens")], "rank")
+    own = [F.col("id"), F.col("start"), F.col("length"), F.col("doc_tokens")]
+    if order:
+        placed, totals = common.ranked(found, ["k"], [F.col(order[1]), *own], "rank", part=F.col(order[0]))
+        placed = placed.drop(*order)
+    else:
+        placed, totals = common.ranked(found, ["k"], own, "rank")
     # one row for each class, so at most len(kinds) rows come to the driver
     sizes = {r["k"]: r["n"] for r in totals.collect()}
     base, at = {}, 0
@@ -145,14 +154,14 @@ def _leftovers(capacity: int, first: int):
     return run
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, order: tuple[str, str] | None = None) -> DataFrame:
     """(id, start, length, ids or ids_crc32, doc_tokens, k, sequence_id, offset) of every piece of every document.
 
     Each token of a document lies in one piece; the pieces of a sequence are
     gapless from offset 0. With ``with_ids`` false the ids are replaced by
     their CRC-32 before anything moves. An empty table gives no rows.
     """
-    found = pieces(df, id_col, text_col, vocabulary, capacity, end_id)
+    found = pieces(df, id_col, text_col, vocabulary, capacity, end_id, order or ())
     if not with_ids:
         found = found.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
-    return assign(common.stage(found, "pieces"), capacity)
+    return assign(common.stage(found, "pieces"), capacity, order)

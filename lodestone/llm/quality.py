@@ -30,10 +30,9 @@ STEPS = 4
 #: Groups with fewer rows that pass the base limits take the estimate of all rows.
 MIN_GROUP = 200
 #: Least standard deviation of each transformed statistic, so that a statistic that hardly varies in a group can't reject small changes.
-FLOORS = {"log_words": 0.75, "word_length": 0.75, "symbols": 0.25, "dup_lines": 0.3, "repeats": 0.3}
-#: Squared distance beyond which a row is rejected. For five normal statistics the 1 - 1e-9 quantile of chi-squared is about 50;
-#: the statistics of texts have longer tails than normal ones, so the production limit is twice as far.
-CUTOFF = 100.0
+FLOORS = {"log_words": 1.0, "word_length": 0.75, "symbols": 0.2, "dup_lines": 1.0, "repeats": 1.2}
+#: Squared distance beyond which a row is rejected: the 0.9999 quantile of chi-squared with five degrees.
+CUTOFF = 25.74
 FEATURES = list(FLOORS)
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 

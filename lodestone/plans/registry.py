@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Modules of this package that register queries.
+MODULES = ["relational"]
+
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -31,7 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    pass
+    """Import the modules that register queries."""
+    for name in MODULES:
+        importlib.import_module(f"lodestone.plans.{name}")
 
 
 def queries() -> dict[str, Query]:

@@ -16,7 +16,9 @@ GUARDED_EMAIL = r"(?i)(?<![\w@])(?!(?:[0-9a-f]{8,}|[\w\d]+-sha[0-9]+|sntrup|mlke
 TOKEN = r"\b[a-zA-Z0-9_\-]{3,}\b"
 CONTROL_ID = r"(?i)\bVAPT-\d+\b|\b\d+\.\d+(?:\.\d+)?\b"
 INJECTION_PHRASES = ["ignore previous instructions", "ignore all previous", "system prompt", "you are now", "disregard the above", "act as", "override instructions"]
-STALE = r"(?i)\b(?:expired|outdated|obsolete|superseded|no longer valid|last reviewed|overdue)\b"
+STALE = ["expired", "deprecated", "decommissioned", "no longer valid", "no longer used", "no longer in use", "superseded", "obsolete", "discontinued", "retired", "end of life", "end-of-life", "sunset", "not in use"]
+#: Words that carry no meaning of their own (fixed values).
+STOPWORDS = "the a an and or but in on at to for of with is are was were be been being has have had do does did will would could should may might shall can not no yes it its this that these those from as by into which who what when where how all any both".split()
 MARKUP_BLOCKS = r"(?is)<(script|style|head|meta)\b.*?</\1\s*>|<meta\b[^>]*>"
 
 
@@ -149,3 +151,40 @@ def term_overlap(terms: Column, document: Column) -> Column:
 def unsafe(text: Column, longest: int = 5000) -> Column:
     """True for texts that are too long or hold tags or control characters."""
     return (F.char_length(text) > longest) | text.rlike(r"<[^>]+>") | text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+
+
+def stale(text: Column) -> Column:
+    """True if a phrase says that the text is out of date."""
+    low = F.lower(text)
+    return F.exists(F.array(*[F.lit(p) for p in STALE]), lambda p: F.contains(low, p))
+
+
+def key_terms(text: Column) -> Column:
+    """Words of three or more letters or digits that are no stop words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z0-9]{3,}\b"), F.lit(0))
+    return F.array_except(words, F.array(*[F.lit(w) for w in STOPWORDS]))
+
+
+def date_grounded(date: Column, document: Column) -> Column:
+    """True if the document has the date's four-digit year and one of its shorter numbers (each where the date has any)."""
+    numbers = F.regexp_extract_all(date, F.lit(r"\d+"), F.lit(0))
+    years, others = F.filter(numbers, lambda x: F.char_length(x) == 4), F.filter(numbers, lambda x: F.char_length(x) <= 2)
+
+    def found(tokens: Column) -> Column:
+        return (F.size(tokens) == 0) | F.exists(tokens, lambda x: F.contains(document, x))
+
+    return F.coalesce((F.size(numbers) > 0) & (document != "") & found(years) & found(others), F.lit(False))
+
+
+def whole_sentence(prefix: Column, document: Column, longest: int = 450) -> Column:
+    """The document's text from ``prefix`` to the end of its sentence, line block or ``longest`` more characters; the prefix if it isn't there."""
+    at = F.position(prefix, document)
+    rest = F.substring(document, at + F.char_length(prefix), F.lit(longest))
+    tail = F.regexp_extract(rest, r"(?s)^(.*?(?:[.!?](?=\s|$)|(?=\n\n)|$))", 1)
+    return F.when(at > 0, F.concat(F.substring(document, at, F.char_length(prefix)), tail)).otherwise(prefix)
+
+
+def window_around(document: Column, start: Column, end: Column, before: int, after: int) -> Column:
+    """The characters from ``before`` before ``start`` to ``after`` after ``end`` (offsets from 0)."""
+    first = F.greatest(F.lit(0), start - before)
+    return F.substring(document, first + 1, end + after - first)

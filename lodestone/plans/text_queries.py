@@ -199,9 +199,9 @@ def t16(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(F.concat(w, T.ngrams(w, 2)))), "|").alias("keywords"))
 
 
-@query("t17_staleness", r"SELECT doc_id, regexp_matches(text, '(?i)\b(?:expired|outdated|obsolete|superseded|no longer valid|last reviewed|overdue)\b') AS stale FROM documents WHERE lang = 'en'")
+@query("t17_staleness", "SELECT doc_id, " + " OR ".join(f"contains(lower(text), '{p}')" for p in T.STALE) + " AS stale FROM documents")
 def t17(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.col("text").rlike(T.STALE).alias("stale"))
+    return table(spark, d, "documents").select("doc_id", T.stale(F.col("text")).alias("stale"))
 
 
 @query("t19_unsafe_text", r"SELECT doc_id, (length(text) > 5000 OR regexp_matches(text, '<[^>]+>') OR regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]')) AS unsafe FROM documents")

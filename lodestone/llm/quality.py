@@ -195,7 +195,8 @@ def fit(rows: DataFrame, floors: dict[str, float] = FLOORS, steps: int = STEPS,
         wanted = F.ceil(F.col("all") * support)
         # the histogram has some hundred bins at most, whatever the rows
         edge = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("edge")), lambda s, x: F.when(s["edge"].isNotNull(), s).otherwise(F.struct((s["n"] + x["n"]).alias("n"), F.when(s["n"] + x["n"] >= F.col("wanted"), x["bin"]).alias("edge"))))["edge"]
-        border = border.withColumn("wanted", wanted).select("g", edge.alias("edge"))
+        # staged, so that its size is known: rows meet a small table without being dealt out by their group
+        border = common.stage(border.withColumn("wanted", wanted).select("g", edge.alias("edge")), "border")
         model = _estimate(near.join(border, "g"), floors, F.col("bin") <= F.col("edge")).drop("all")
     return common.stage(model, "model")
 

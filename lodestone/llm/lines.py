@@ -96,7 +96,8 @@ def _bitmaps(df: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs
     placed = lines.repartitionByRange(F.col("h1"), F.col("h2"), F.col("doc").desc_nulls_last()).sortWithinPartitions("h1", "h2", F.col("doc").desc_nulls_last(), "th", "pos")
     seen = common.stage(placed.mapInArrow(_stream(min_docs), "kind int, h1 bigint, h2 bigint, doc bigint, th bigint, pos bigint"), "runs")
     runs = seen.where("kind = 2").groupBy("h1", "h2").agg(F.sum("pos").alias("n"), F.max("doc").alias("largest")).where(F.col("n") >= min_docs).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "largest")
-    cut = seen.where("kind = 1").join(runs, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(~F.col("doc").eqNullSafe(F.col("largest")))
+    # a partition has two such parts at most, so the table is bounded by the partitions; lines of a common key stay where they are
+    cut = seen.where("kind = 1").join(F.broadcast(runs), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(~F.col("doc").eqNullSafe(F.col("largest")))
     dropped = seen.where("kind = 0").select("doc", "th", "pos").unionByName(cut.select("doc", "th", "pos"))
     return dropped.groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("pos")).select("__doc", "__th", F.size("pos").cast("long").alias("n_dropped"), _pack("pos").alias("keep_bitmap"))
 

@@ -66,6 +66,23 @@ def test_outliers_go_and_plain_documents_stay(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(500))
 
 
+def test_junk_of_two_fifths_of_a_group_goes(spark):
+    rnd = random.Random(9)
+    rows = [(i, data.text(rnd, rnd.randint(30, 300)), "en", "src0", 0) for i in range(360)]
+    rows += [(i, " ".join(w + "###%%%" for w in data.text(rnd, 80).split()), "en", "src0", 0) for i in range(360, 590)]
+    # equal rows make one bin of the histogram; the last ten do
+    rows += [(i, rows[360][1], "en", "src0", 0) for i in range(590, 600)]
+    got = {r["id"]: r["kept"] for r in quality.quality(data.frame(spark, rows)).collect()}
+    assert sum(got[i] for i in range(360, 600)) == 0 and sum(got[i] for i in range(360)) >= 358
+
+
+def test_half_is_exact_among_ties(spark):
+    # 60 rows at one place and 40 at another: the half is 51 of the first
+    df = spark.createDataFrame([("x", 0.0)] * 60 + [("x", 9.0)] * 40, "g string, a double")
+    model = quality.fit(df, {"a": 0.1}, support=quality.HALF, min_group=50).where("NOT g.whole").first()["model"]
+    assert model["c"] == [0.0]
+
+
 def test_awkward_and_empty_tables(spark):
     df = data.frame(spark)
     got = quality.quality(df)

@@ -36,7 +36,7 @@ BINS = 64
 #: Groups with fewer rows that pass the base limits take the estimate of all rows.
 MIN_GROUP = 200
 #: Least standard deviation of each transformed statistic, so that a statistic that hardly varies in a group can't reject small changes.
-FLOORS = {"log_words": 1.0, "word_length": 0.75, "symbols": 0.2, "dup_lines": 1.0, "repeats": 1.2}
+FLOORS = {"log_words": 0.25, "word_length": 0.4, "symbols": 0.2, "dup_lines": 0.35, "repeats": 0.3}
 #: Squared distance beyond which a row is rejected: the 0.9999 quantile of chi-squared with five degrees.
 CUTOFF = 25.74
 FEATURES = list(FLOORS)
@@ -151,7 +151,9 @@ def _estimate(rows: DataFrame, floors: dict[str, float], w: Column, support: flo
     grow = F.lit(_consistency(support, p))
     if support == HALF:
         grow = grow * _small(F.col("all"))
-    cov = {f"s_{i}_{j}": (F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"c_{i}") * F.col(f"c_{j}")) * grow + (floors[names[i]] ** 2 if i == j else 0.0) for i in range(p) for j in range(i + 1)}
+    cov = {f"s_{i}_{j}": (F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"c_{i}") * F.col(f"c_{j}")) * grow for i in range(p) for j in range(i + 1)}
+    # a floor is a minimum: it leaves variances above it as they are
+    cov |= {f"s_{i}_{i}": F.greatest(cov[f"s_{i}_{i}"], F.lit(floors[a] ** 2)) for i, a in enumerate(names)}
     made = made.withColumns(cov)
     for name, value in _inverse_expr(p):
         made = made.withColumn(name, value)
@@ -208,7 +210,7 @@ def fit(rows: DataFrame, floors: dict[str, float] = FLOORS, steps: int = STEPS,
     centre = both.groupBy("g").agg(F.count("*").alias("all"), *[_shortest_half(F.percentile_approx(a, [i / 100 for i in range(101)], 1000)).alias(a) for a in names])
     centre = centre.where((F.col("all") >= min_group) | F.col("g.whole"))
     p = len(names)
-    scale = [1 / F.sqrt((F.col(a)["width"] / 1.349) ** 2 + floors[a] ** 2) for a in names]
+    scale = [1 / F.sqrt(F.greatest((F.col(a)["width"] / 1.349) ** 2, F.lit(floors[a] ** 2))) for a in names]
     diagonal = F.array(*[scale[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)])
     model = centre.select("g", F.struct(F.array(*[F.col(a)["middle"] for a in names]).alias("c"), diagonal.alias("t")).alias("model"))
     for _ in range(steps):

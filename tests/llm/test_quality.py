@@ -83,6 +83,27 @@ def test_half_is_exact_among_ties(spark):
     assert model["c"] == [0.0]
 
 
+def test_each_statistic_alone_rejects(spark):
+    rnd = random.Random(3)
+
+    def lined(words: int, size: int) -> list[str]:
+        text = data.text(rnd, words).replace("\n", " ").split()
+        return [" ".join(text[i : i + size]) for i in range(0, len(text), size)]
+
+    rows = [(i, "\n".join(lined(rnd.randint(100, 250), 10)), "en", "src0", 0) for i in range(300)]
+    # eight repeats of a line of five words: no window of eight words repeats
+    lines, short = lined(150, 10), "one line of five words"
+    rows.append((300, "\n".join(x for y in lines[:9] for x in (short, y)), "en", "src0", 0))
+    # a fifth of the words is said twice
+    part, rest = data.text(rnd, 20).replace("\n", " "), lined(140, 10)
+    rows.append((301, "\n".join([part, *rest, part]), "en", "src0", 0))
+    rows.append((302, "\n".join(" ".join(w * 2 for w in x.split()) for x in lined(150, 10)), "en", "src0", 0))
+    got = {r["id"]: r for r in quality.quality(data.frame(spark, rows)).collect()}
+    assert not any(got[i]["base_failed"] for i in range(303))
+    assert not any(got[i]["kept"] for i in (300, 301, 302))
+    assert sum(got[i]["kept"] for i in range(300)) >= 298
+
+
 def test_awkward_and_empty_tables(spark):
     df = data.frame(spark)
     got = quality.quality(df)

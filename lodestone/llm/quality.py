@@ -16,6 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import common
 
@@ -33,8 +34,10 @@ SUPPORT = 0.75
 STEPS = 4
 #: Bins of the histogram of distances in each factor e.
 BINS = 64
-#: Groups with fewer rows that pass the base limits take the estimate of all rows.
-MIN_GROUP = 200
+#: Groups with fewer rows that pass the base limits (ten for each dimension) take the estimate of their language, and small languages that of all rows.
+MIN_GROUP = 50
+#: Levels of an estimate.
+GROUP, LANGUAGE, WHOLE = 0, 1, 2
 #: Least standard deviation of each transformed statistic, so that a statistic that hardly varies in a group can't reject small changes.
 FLOORS = {"log_words": 0.25, "word_length": 0.4, "symbols": 0.2, "dup_lines": 0.35, "repeats": 0.3}
 #: Squared distance beyond which a row is rejected: the 0.9999 quantile of chi-squared with five degrees.
@@ -198,7 +201,10 @@ def _shortest_half(q: Column) -> Column:
 
 
 def fit(rows: DataFrame, floors: dict[str, float] = FLOORS, steps: int = STEPS, support: float = SUPPORT, min_group: int = MIN_GROUP) -> DataFrame:
-    """(g, model) for the groups of ``rows`` (g, one column per feature) with ``min_group`` rows, and for g = null over all rows.
+    """(g, model) for the groups of ``rows`` (g, one column per feature) with ``min_group`` rows, for languages with as many, and over all rows.
+
+    g of the result is (level, whole, k). k is the group; at the level of
+    languages, which needs groups with a field ``lang``, it has that field only.
 
     Starts from the diagonal distance to the middle of the shortest interval
     that holds half of each statistic (approximate percentiles, which are merged
@@ -206,7 +212,11 @@ def fit(rows: DataFrame, floors: dict[str, float] = FLOORS, steps: int = STEPS,
     concentrates ``steps`` times.
     """
     names = list(floors)
-    both = rows.select(F.explode(F.array(F.struct(F.lit(False).alias("whole"), F.col("g").alias("k")), F.struct(F.lit(True).alias("whole"), F.lit(None).cast(rows.schema["g"].dataType).alias("k")))).alias("g"), *names)
+    kind = rows.schema["g"].dataType
+    keys = {GROUP: F.col("g"), WHOLE: F.lit(None).cast(kind)}
+    if isinstance(kind, T.StructType) and "lang" in kind.names:
+        keys[LANGUAGE] = F.struct(*[F.col("g.lang") if f.name == "lang" else F.lit(None).cast(f.dataType).alias(f.name) for f in kind])
+    both = rows.select(F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.lit(level == WHOLE).alias("whole"), k.alias("k")) for level, k in keys.items()])).alias("g"), *names)
     centre = both.groupBy("g").agg(F.count("*").alias("all"), *[_shortest_half(F.percentile_approx(a, [i / 100 for i in range(101)], 1000)).alias(a) for a in names])
     centre = centre.where((F.col("all") >= min_group) | F.col("g.whole"))
     p = len(names)
@@ -234,20 +244,23 @@ def _grouped(df: DataFrame, lang_col: str, source_col: str, prefix: str) -> Data
 
 
 def judge(df: DataFrame, model: DataFrame, prefix: str, cutoff: float = CUTOFF) -> DataFrame:
-    """``df`` (with statistics and group) with ``distance2`` and ``kept``, from its group's model or else the model of all rows."""
-    own = model.where("NOT g.whole").select(F.col("g.k").alias("__k"), F.col("model").alias("__own"))
+    """``df`` (with statistics and group) with ``distance2``, ``level`` and ``kept``, from its group's model, or else its language's, or else that of all rows."""
+    own = model.where(F.col("g.level") == GROUP).select(F.col("g.k").alias("__k"), F.col("model").alias("__own"))
+    lang = model.where(F.col("g.level") == LANGUAGE).select(F.col("g.k.lang").alias("__l"), F.col("model").alias("__lang"))
     # one row: the model of all rows
     whole = model.where("g.whole").select(F.col("model").alias("__all"), F.lit(1).alias("__one"))
     values = features(prefix)
-    out = df.join(own, F.col(f"{prefix}g").eqNullSafe(F.col("__k")), "left").withColumn("__one", F.lit(1)).join(F.broadcast(whole), "__one", "left")
+    out = df.join(own, F.col(f"{prefix}g").eqNullSafe(F.col("__k")), "left").join(lang, F.col(f"{prefix}g.lang").eqNullSafe(F.col("__l")), "left")
+    out = out.withColumn("__one", F.lit(1)).join(F.broadcast(whole), "__one", "left")
     d = _distance("__model", values)
-    out = out.withColumn("__model", F.coalesce("__own", "__all")).withColumn(f"{prefix}distance2", d)
+    level = F.when(F.col("__own").isNotNull(), GROUP).when(F.col("__lang").isNotNull(), LANGUAGE).when(F.col("__all").isNotNull(), WHOLE)
+    out = out.withColumn("__model", F.coalesce("__own", "__lang", "__all")).withColumn(f"{prefix}level", level).withColumn(f"{prefix}distance2", d)
     kept = ~F.col(f"{prefix}base_failed") & F.coalesce(F.col(f"{prefix}distance2") <= cutoff, F.lit(True))
-    return out.withColumn(f"{prefix}kept", kept).drop("__k", "__own", "__all", "__one", "__model")
+    return out.withColumn(f"{prefix}kept", kept).drop("__k", "__own", "__l", "__lang", "__all", "__one", "__model")
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(id, the statistics, base_failed, distance2, kept) for each row.
+    """(id, the statistics, base_failed, distance2, level, kept) for each row; ``level`` says whose estimate judged it.
 
     Null languages and sources are values of their own. Rows that fail the base
     limits take no part in the estimates. Repeated rows and null ids stay; an
@@ -259,7 +272,7 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     stats = common.stage(_grouped(stats, "lang", "source", x).drop("lang", "source"), "stats")
     rows = stats.where(f"NOT {x}base_failed").select(F.col(f"{x}g").alias("g"), *[v.alias(k) for k, v in features(x).items()])
     done = judge(stats, fit(rows, support=HALF), x)
-    return done.select("id", *[F.col(f"{x}{c}").alias(c) for c in [*_STATS, "base_failed", "distance2", "kept"]])
+    return done.select("id", *[F.col(f"{x}{c}").alias(c) for c in [*_STATS, "base_failed", "distance2", "level", "kept"]])
 
 
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -104,6 +104,22 @@ def test_each_statistic_alone_rejects(spark):
     assert sum(got[i]["kept"] for i in range(300)) >= 298
 
 
+def test_small_groups_have_their_own_estimate(spark):
+    rnd = random.Random(5)
+
+    def shouted(i):
+        # a source whose texts have symbols; elsewhere they are junk
+        return " ".join(w + "#%" for w in data.text(rnd, 80 + i % 60).split())
+
+    rows = [(i, data.text(rnd, rnd.randint(60, 200)), "en", "src0", 0) for i in range(150)]
+    rows += [(i, shouted(i), "en", "code", 0) for i in range(150, 210)]
+    rows += [(i, data.text(rnd, rnd.randint(60, 200)), "en", "rare", 0) for i in range(210, 220)]
+    rows += [(i, shouted(i), None, "rare", 0) for i in range(220, 223)]
+    got = {r["id"]: r for r in quality.quality(data.frame(spark, rows)).collect()}
+    assert [{got[i]["level"] for i in x} for x in (range(210), range(210, 220), range(220, 223))] == [{quality.GROUP}, {quality.LANGUAGE}, {quality.WHOLE}]
+    assert sum(got[i]["kept"] for i in range(220)) >= 217 and not any(got[i]["kept"] for i in range(220, 223))
+
+
 def test_awkward_and_empty_tables(spark):
     df = data.frame(spark)
     got = quality.quality(df)

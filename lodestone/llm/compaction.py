@@ -68,8 +68,15 @@ class ShardStore:
         return self.spark.read.schema(schema).parquet(*paths)
 
     def append(self, df: DataFrame, shard_rows: int = SHARD_ROWS) -> int:
-        """Write ``df`` as small shards, each task its own, and commit them; no shuffle. Returns the version."""
+        """Write ``df`` as small shards, each task its own, and commit them; no shuffle. Returns the version.
+
+        Arrivals may add columns or leave some out; a type that conflicts with
+        the store's raises TypeError, and nothing is written.
+        """
         begun = self.version()
+        stored = self._schema(self.manifest(begun))
+        if stored:
+            _union(stored, df.schema)
         data = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.option("maxRecordsPerFile", shard_rows).option("compression", CODEC).parquet(data)
         return self._commit(begun, self.manifest(begun).unionByName(self._shards(data, begun + 1)))
@@ -84,7 +91,8 @@ class ShardStore:
 
         A scan packs whole files, largest first, into partitions of the target
         size, so each task reads one run of similar shards and writes one file:
-        no shuffle. Without a full tier the version stays.
+        no shuffle. A merged file has all columns of its shards. Without a full
+        tier the version stays.
         """
         begun = self.version()
         # tiers are logarithms of sizes: a handful of rows
@@ -95,10 +103,11 @@ class ShardStore:
         merging = F.col("tier").isin(full) & (F.col("bytes") * 2 < target)
         after = live.where(~merging)
         for tier in sorted(full):
-            paths = [r["path"] for r in live.where(merging & (F.col("tier") == tier)).select("path").orderBy("path").collect()]
+            shards = live.where(merging & (F.col("tier") == tier))
+            paths = [r["path"] for r in shards.select("path").orderBy("path").collect()]
             data = f"{self.root}/data/{uuid.uuid4().hex}"
             with _packed_scans(self.spark, target):
-                self.spark.read.schema(self._schema(paths[0])).parquet(*paths).write.option("compression", CODEC).parquet(data)
+                self.spark.read.schema(self._schema(shards)).parquet(*paths).write.option("compression", CODEC).parquet(data)
             after = after.unionByName(self._shards(data, begun + 1))
         return self._commit(begun, after)
 
@@ -111,8 +120,11 @@ class ShardStore:
             fs.delete(path, True)
         return len(gone)
 
-    def _schema(self, path: str) -> T.StructType:
-        return self.spark.read.parquet(path).schema
+    def _schema(self, shards: DataFrame) -> T.StructType | None:
+        """The union of the shards' schemas, or None without shards. A data folder is one write and has one schema, so one footer of each is read."""
+        folder = F.substring_index(F.substring_index("path", "/", -2), "/", 1)
+        paths = [r["path"] for r in shards.groupBy(folder).agg(F.min("path").alias("path")).orderBy("path").collect()]
+        return self.spark.read.option("mergeSchema", True).parquet(*paths).schema if paths else None
 
     def _shards(self, data: str, version: int) -> DataFrame:
         """Manifest rows of the files under ``data``; only file metadata and row counts are read."""
@@ -143,6 +155,21 @@ class ShardStore:
         return self.spark.read.text(path).first()[0]
 
 
+def _union(a: T.DataType, b: T.DataType, at: str = "") -> T.DataType:
+    """The fields of both types, also inside structs, arrays and maps; a conflict raises TypeError."""
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        other = {f.name: f for f in b}
+        own = [T.StructField(f.name, _union(f.dataType, other[f.name].dataType, f"{at}.{f.name}") if f.name in other else f.dataType) for f in a]
+        return T.StructType([*own, *[f for f in b if f.name not in a.names]])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(_union(a.elementType, b.elementType, at))
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType):
+        return T.MapType(_union(a.keyType, b.keyType, at), _union(a.valueType, b.valueType, at))
+    if a != b:
+        raise TypeError(f"column {at[1:]} is {a.simpleString()} in the store and {b.simpleString()} in the arrival")
+    return a
+
+
 @contextmanager
 def _packed_scans(spark: SparkSession, target: int):
     """While it lasts, a scan packs whole small files into partitions of ``target`` bytes."""

@@ -58,3 +58,22 @@ def test_empty_table(spark, tmp_path):
     df = data.frame(spark).limit(0)
     assert store.append(df) == 1
     assert store.compact() == 1 and store.read(df.schema).count() == 0
+
+
+def test_arrivals_with_added_columns(spark, tmp_path):
+    store = compaction.ShardStore(spark, f"file://{tmp_path}/store")
+    df = data.frame(spark, clash=False)
+    wide = df.withColumns({"score": F.length("text"), "tags": F.struct(F.lit("a").alias("x"))})
+    wider = df.withColumn("tags", F.struct(F.lit("b").alias("y"))).drop("source")
+    for arrival in (df, wide, wider, df):
+        store.append(arrival, shard_rows=10)
+    schema = f"{data.SCHEMA}, score int, tags struct<x:string,y:string>"
+    before = sorted(map(key, store.read(schema).collect()))
+    shards = store.manifest().count()
+    store.compact()
+    store.vacuum()
+    assert store.manifest().count() < shards
+    assert sorted(map(key, store.read(schema).collect())) == before
+    with pytest.raises(TypeError, match="n_chars"):
+        store.append(df.withColumn("n_chars", F.col("n_chars").cast("string")))
+    assert sorted(map(key, store.read(schema).collect())) == before

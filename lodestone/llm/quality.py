@@ -39,7 +39,7 @@ MIN_GROUP = 50
 #: Levels of an estimate.
 GROUP, LANGUAGE, WHOLE = 0, 1, 2
 #: Least standard deviation of each transformed statistic, so that a statistic that hardly varies in a group can't reject small changes.
-FLOORS = {"log_words": 0.25, "word_length": 0.4, "symbols": 0.2, "dup_lines": 0.35, "repeats": 0.3}
+FLOORS = {"log_words": 0.5, "word_length": 0.4, "symbols": 0.2, "dup_lines": 0.35, "repeats": 0.3}
 #: Squared distance beyond which a row is rejected: the 0.9999 quantile of chi-squared with five degrees.
 CUTOFF = 25.74
 FEATURES = list(FLOORS)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,29 +45,58 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], out: str, bits: int = 12, part: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """Number the rows of each group from 0 in a hashed order, without bringing a group together.
+class Names:
+    """Column names that no given frame has: ``names("rank")`` is ``__rank``, with more underscores where that is taken."""
 
-    A row's place follows the 64-bit hash of ``order`` (then the order itself).
-    The hash range is cut in 2 ** ``bits`` equal ranges; rows are numbered inside
-    a (group, range) pair, and the small table of counts per pair gives each
-    pair its first number. ``df`` is read twice, so pass a staged frame if it
+    def __init__(self, *frames: DataFrame):
+        self.taken = {c.lower() for df in frames for c in df.columns}
+
+    def __call__(self, label: str) -> str:
+        name = f"__{label}"
+        while name.lower() in self.taken:
+            name = f"_{name}"
+        self.taken.add(name.lower())
+        return name
+
+
+#: Rows that a range of ``ranked`` has on average.
+RANGE_ROWS = 4096
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column], out: str, own: Names, part: Callable[[int], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Number the rows of each group from 0 in an order, without bringing a group together.
+
+    The order is cut in ranges: ``part(digits)`` gives the first hexadecimal
+    digits of ``order``, so many that a range has about RANGE_ROWS rows; the
+    numbers don't depend on how many. Without ``part`` the order is that of the
+    64-bit hash of ``order``, then ``order``. Rows are numbered inside a
+    (group, range) pair, and the small table of counts per pair gives each pair
+    its first number. ``df`` is read three times, so pass a staged frame if it
     is costly. Returns the numbered rows, and (group, n) counts.
     """
-    h, b, first = "__h", "__b", "__first"
+    h, b, first, gb = own("h"), own("b"), own("first"), own("gb")
+    digits = max(1, min(5, math.ceil(math.log(max(1, df.count() / RANGE_ROWS), 16))))
     if part is None:
-        keyed = df.withColumn(h, F.xxhash64(*order)).withColumn(b, F.shiftrightunsigned(h, 64 - bits).cast("int"))
+        keyed = df.withColumn(h, F.xxhash64(*order)).withColumn(b, F.shiftrightunsigned(h, 64 - 4 * digits).cast("int"))
+        # a range of the bits read as an unsigned number has the hashes of one sign
         order = [F.col(h), *order]
     else:
-        keyed = df.withColumn(b, part)
-    counts = keyed.groupBy(*group, b).agg(F.count("*").alias("__n"))
+        keyed = df.withColumn(b, part(digits))
+    placed, totals = numbered(keyed, group, order, out, b, own)
+    return placed.drop(h, b, first, gb), totals
+
+
+def numbered(keyed: DataFrame, group: list[str], order: list[Column], out: str, b: str, own: Names) -> tuple[DataFrame, DataFrame]:
+    """``ranked`` for rows that have their range in column ``b``, which ``order`` refines."""
+    first, gb, n = own("first"), own("gb"), own("n")
+    keys = {g: own("g") for g in group}
+    counts = keyed.groupBy(*group, b).agg(F.count("*").alias(n))
     before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(g).alias(f"__g_{g}") for g in group], F.col(b).alias("__gb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(first))
+    starts = counts.select(*[F.col(g).alias(k) for g, k in keys.items()], F.col(b).alias(gb), F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
     within = Window.partitionBy(*group, b).orderBy(*order)
-    numbered = keyed.withColumn(out, F.row_number().over(within) - 1)
-    same = F.col(b) == F.col("__gb")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
-    placed = numbered.join(starts, same).withColumn(out, (F.col(out) + F.col(first)).cast("long"))
-    totals = counts.groupBy(*group).agg(F.sum("__n").alias("n"))
-    return placed.drop(h, b, first, "__gb", *[f"__g_{g}" for g in group]), totals
+    rows = keyed.withColumn(out, F.row_number().over(within) - 1)
+    same = F.col(b).eqNullSafe(F.col(gb))
+    for g, k in keys.items():
+        same = same & F.col(g).eqNullSafe(F.col(k))
+    placed = rows.join(starts, same).withColumn(out, (F.col(out) + F.col(first)).cast("long"))
+    return placed.drop(first, gb, *keys.values()), counts.groupBy(*group).agg(F.sum(n).alias("n"))

@@ -7,17 +7,18 @@ piece leaves at most SLACK tokens of its slot empty. A piece's class depends on
 its length alone, and its bin on its rank in the class, which comes from counts
 per hash range: bins fill independently on all workers. Only the last, unfilled
 bin of each class remains; those pieces (fewer than k of class k, whatever the
-corpus) are packed together, longest first.
+corpus) are dealt in SHARES shares, and the shares of all classes are packed
+together, longest first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.llm import common, tokens
 
@@ -26,6 +27,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Tokens of a slot that a piece may leave empty, and the share of its length that it may.
 SLACK, SLACK_SHARE = 8, 128
+#: Shares of what a class leaves over.
+SHARES = 16
 
 
 def classes(capacity: int = CAPACITY) -> list[int]:
@@ -94,64 +97,56 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
 
 def assign(found: DataFrame, capacity: int = CAPACITY, order: tuple[str, str] | None = None) -> DataFrame:
-    """``found`` (staged pieces: id, start, length, k and any more) with sequence_id and offset.
+    """``found`` (staged pieces: id, start, length, doc_tokens, k and any more) with sequence_id and offset.
 
     Pieces fill bins in a hashed order, or by the columns ``order`` (a coarse
-    and a fine one, as file and row). Sequence ids are gapless: the full bins of each class in turn, then the
-    bins of what the classes left over.
+    and a fine one, as file and row). Sequence ids are gapless: the full bins
+    of each class in turn, then the bins of what the classes left over.
     """
-    kinds = classes(capacity)
-    own = [F.col("id"), F.col("start"), F.col("length"), F.col("doc_tokens")]
+    kinds, own = classes(capacity), common.Names(found)
+    rank, slot, share = own("rank"), own("slot"), own("share")
+    told = [F.col("id"), F.col("start"), F.col("length"), F.col("doc_tokens")]
     if order:
-        placed, totals = common.ranked(found, ["k"], [F.col(order[1]), *own], "rank", part=F.col(order[0]))
+        placed, totals = common.numbered(found, ["k"], [F.col(f"`{order[1]}`"), *told], rank, order[0], own)
         placed = placed.drop(*order)
     else:
-        placed, totals = common.ranked(found, ["k"], own, "rank")
+        placed, totals = common.ranked(found, ["k"], told, rank, own)
+    names = [c for c in found.columns if c not in (order or ())]
     # one row for each class, so at most len(kinds) rows come to the driver
     sizes = {r["k"]: r["n"] for r in totals.collect()}
     base, at = {}, 0
     for k in kinds:
         base[k] = at
         at += sizes.get(k, 0) // k
-    lookup = F.create_map(*[F.lit(x) for k in kinds for x in (k, base[k])])
-    full = F.create_map(*[F.lit(x) for k in kinds for x in (k, sizes.get(k, 0) // k * k)])
-    placed = placed.withColumn("__full", F.col("rank") < F.element_at(full, F.col("k")))
-    binned = placed.where("__full").withColumn("sequence_id", (F.element_at(lookup, F.col("k")) + F.expr("rank div k")).cast("long")).withColumn("slot", F.expr("rank % k"))
-    names = [c for c in binned.columns if c not in ("rank", "slot", "__full")]
-    before = F.sum("length").over(_within())
-    binned = binned.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long")).select(*names, "offset")
-    # fewer than k pieces of class k: a number that the capacity bounds
-    rest = placed.where("NOT __full").select(*[c for c in names if c != "sequence_id"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    packed = rest.groupBy(F.expr("k * 0").alias("one")).applyInPandas(_leftovers(capacity, at), f"{schema}, sequence_id bigint, offset bigint")
-    return binned.unionByName(packed.select(*names, "offset"))
-
-
-def _within():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _leftovers(capacity: int, first: int):
-    """First-fit decreasing over the pieces that filled no bin."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "id", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        used: list[int] = []
-        sequence, offset = [], []
-        for n in pdf["length"].tolist():
-            i = next((i for i, u in enumerate(used) if u + n <= capacity), len(used))
-            if i == len(used):
-                used.append(0)
-            sequence.append(first + i)
-            offset.append(used[i])
-            used[i] += n
-        pdf["sequence_id"] = pd.array(sequence, "int64")
-        pdf["offset"] = pd.array(offset, "int64")
-        return pdf
-
-    return run
+
+    def per_class(values: dict[int, int]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for k in kinds for x in (k, values[k])]), F.col("k"))
+
+    full = per_class({k: sizes.get(k, 0) // k * k for k in kinds})
+    binned = placed.where(F.col(rank) < full).withColumn("sequence_id", (per_class(base) + F.expr(f"`{rank}` div k")).cast("long")).withColumn(slot, F.expr(f"`{rank}` % k"))
+    binned = binned.withColumn("offset", _before("sequence_id", order=slot))
+    # fewer than k pieces of class k, whatever the corpus: all of them fit in one bin
+    rest = placed.where(F.col(rank) >= full).withColumn(share, F.expr(f"`{rank}` % {SHARES}"))
+    # at most SHARES rows for each class
+    parts = sorted(((-r["n"], r["k"], r[share]) for r in rest.groupBy("k", share).agg(F.sum("length").alias("n")).collect()))
+    used: list[int] = []
+    table = []
+    for n, k, part in parts:
+        i = next((i for i, u in enumerate(used) if u - n <= capacity), len(used))
+        if i == len(used):
+            used.append(0)
+        table.append((k, part, at + i, used[i]))
+        used[i] -= n
+    bins = found.sparkSession.createDataFrame(table, f"k int, `{share}` bigint, sequence_id bigint, `{slot}` bigint")
+    rest = rest.withColumn(share, F.col(share).cast("long")).join(F.broadcast(bins), ["k", share])
+    rest = rest.withColumn("offset", F.col(slot) + _before("k", share, order=rank))
+    return binned.select(*names, "sequence_id", "offset").unionByName(rest.select(*names, "sequence_id", F.col("offset").cast("long").alias("offset")))
+
+
+def _before(*group: str, order: str) -> Column:
+    """Tokens of the pieces before a piece in its group."""
+    rows = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("length").over(rows), F.lit(0)).cast("long")
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, order: tuple[str, str] | None = None) -> DataFrame:

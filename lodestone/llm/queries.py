@@ -105,6 +105,42 @@ FROM judged GROUP BY doc_id
 """
 
 
+#: The schedule slot by slot: of the sources with blocks left, those released, the one due first; a source that ends starts a new phase.
+OP2_SQL = f"""
+WITH RECURSIVE weights AS (
+  SELECT * FROM (VALUES {", ".join(f"('{s}', {w})" for s, w in WEIGHTS.items())}) AS x(s, w)),
+named AS (
+  SELECT doc_id, source, coalesce(w.s, '{mixing.OTHER}') AS mix_source
+  FROM documents d LEFT JOIN weights w ON d.source = w.s AND w.s <> '{mixing.OTHER}'),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY mix_source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r,
+         count(*) OVER (PARTITION BY mix_source) AS n
+  FROM named),
+blocks AS (
+  SELECT list({{'s': s, 'w': w, 'n': b, 'k': 0}} ORDER BY s) AS sources
+  FROM (SELECT s, w, (count(*) + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS b FROM placed JOIN weights ON mix_source = s GROUP BY s, w)),
+steps AS (
+  SELECT CAST(0 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS begun, list_transform(sources, lambda x: {{'s': x.s, 'w': CAST(x.w AS BIGINT), 'n': CAST(x.n AS BIGINT), 'k': CAST(0 AS BIGINT)}}) AS alive,
+         CAST('' AS VARCHAR) AS taken FROM blocks
+  UNION ALL
+  SELECT slot + 1, CASE WHEN len(after) < len(alive) THEN slot + 1 ELSE begun END,
+         CASE WHEN len(after) < len(alive) THEN list_transform(after, lambda x: {{'s': x.s, 'w': x.w, 'n': x.n, 'k': CAST(0 AS BIGINT)}}) ELSE after END, chosen
+  FROM (
+    SELECT *, list_filter(list_transform(alive, lambda x: CASE WHEN x.s = chosen THEN {{'s': x.s, 'w': x.w, 'n': x.n - 1, 'k': x.k + 1}} ELSE x END), lambda x: x.n > 0) AS after
+    FROM (
+      SELECT *, list_sort(list_transform(list_filter(alive, lambda x: x.k * total // x.w <= slot - begun),
+                                         lambda x: {{'due': ((x.k + 1) * total + x.w - 1) // x.w, 's': x.s}}))[1].s AS chosen
+      FROM (SELECT *, CAST(list_sum(list_transform(alive, lambda x: x.w)) AS BIGINT) AS total FROM steps WHERE len(alive) > 0)))),
+slots AS (
+  SELECT taken AS s, slot - 1 AS mix_slot, row_number() OVER (PARTITION BY taken ORDER BY slot) - 1 AS b FROM steps WHERE slot > 0),
+sized AS (
+  SELECT s, b, mix_slot, coalesce(sum(size) OVER (ORDER BY mix_slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT s.*, least({mixing.BLOCK}, n - b * {mixing.BLOCK}) AS size FROM slots s JOIN (SELECT DISTINCT mix_source, n FROM placed) p ON p.mix_source = s.s))
+SELECT doc_id, source, mix_source, CAST(r // {mixing.BLOCK} AS BIGINT) AS mix_block, CAST(mix_slot AS BIGINT) AS mix_slot,
+       CAST(before + r % {mixing.BLOCK} AS BIGINT) AS mix_position
+FROM placed p JOIN sized z ON p.mix_source = z.s AND p.r // {mixing.BLOCK} = z.b
+"""
+
 OP3_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
 
 OP6_SQL = """
@@ -166,4 +202,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_compaction": OP3_SQL, "op6_preference": OP6_SQL, "op7_suffixes": OP7_SQL, "op8_lines": OP8_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_compaction": OP3_SQL, "op6_preference": OP6_SQL, "op7_suffixes": OP7_SQL, "op8_lines": OP8_SQL}

@@ -1,10 +1,29 @@
 """Small documents with every awkward case: nulls, empty and long texts, copies, repeated rows, clashing column names."""
 
+import pathlib
 import random
+import re
+
+from lodestone import llm
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
-#: Names that the operators use inside, as columns of the caller.
-CLASHES = ["id", "fp", "k", "g", "doc", "pos", "rank", "n", "pivot", "at", "model", "key"]
+#: Plain names that the operators use inside, as columns of the caller.
+PLAIN = ["id", "fp", "k", "g", "doc", "pos", "rank", "n", "pivot", "at", "model", "key", "h1", "h2", "p", "th", "tag", "packed", "length", "start", "level", "kept", "distance2"]
+#: What operators add to a frame, and names that look like their private ones.
+ADDED = ["n_lines", "n_dropped", "keep_bitmap", "mix_source", "mix_block", "mix_slot", "mix_position", "fingerprint", "component_id", "n_words", "base_failed", "sequence_id", "offset", "edits"]
+
+
+def _private() -> list[str]:
+    """Every name with leading underscores that the operators' code writes, as they are and as ``Names`` makes them."""
+    found: set[str] = set()
+    for path in sorted(pathlib.Path(llm.__file__).parent.glob("*.py")):
+        code = path.read_text()
+        found |= set(re.findall(r"[\"'`](__\w+)", code))
+        found |= {f"__{x}" for x in re.findall(r"own\(\"(\w+)\"\)", code)}
+    return sorted(found)
+
+
+CLASHES = [*PLAIN, *ADDED, *_private()]
 
 
 def text(rnd: random.Random, words: int) -> str:

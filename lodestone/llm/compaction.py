@@ -3,18 +3,24 @@
 Arrivals are appended as small immutable shard files. Shards of similar size
 form a tier (sizes within a factor FANOUT); a tier with enough shards is merged
 to files of the target size. A version of the store is a manifest, a table of
-live shards; it becomes current by the exclusive creation of one small commit
-file with the next number, which a file system grants to one writer only. Readers of an
-older version keep their files until ``vacuum``.
+live shards. It becomes current when a commit file with the next number appears:
+the file is written aside and moved to its name whole, which the file system
+grants to one writer only. A writer commits the successor of the version that
+its manifest was built on, or nothing. Writers register before they write, so
+``vacuum`` leaves what they have not committed yet. Readers of an older version
+keep their files until ``vacuum``.
 """
 
 from __future__ import annotations
 
 import math
+import os
+import time
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +34,8 @@ MIN_MERGE = 4
 #: Files up to this size are in tier 0.
 FLOOR_BYTES = 64 << 10
 CODEC = "zstd"
+#: Seconds after which a registered writer counts as lost: its files may go, and it can't commit any more.
+LEASE = 24 * 3600.0
 
 _MANIFEST = "path string, bytes bigint, rows bigint, tier int, added bigint"
 
@@ -40,17 +48,17 @@ class ShardStore:
     """A versioned table of immutable Parquet shards under ``root``."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self._me = spark, root.rstrip("/"), ""
 
-    def _numbers(self) -> list[tuple[int, int]]:
-        """(number, bytes) of the commit files, in order."""
-        at, fs = common._fs(self.spark, f"{self.root}/commits")
+    def _list(self, folder: str) -> list[tuple[str, float]]:
+        """(name, seconds since the last change) of what lies in a folder."""
+        at, fs = common._fs(self.spark, f"{self.root}/{folder}")
         found = fs.listStatus(at) if fs.exists(at) else []
-        return sorted((int(x.getPath().getName()), x.getLen()) for x in found if x.getPath().getName().isdigit())
+        return [(x.getPath().getName(), time.time() - x.getModificationTime() / 1000) for x in found]
 
     def version(self) -> int:
-        """The current version; 0 is the empty store. An empty commit file is a writer that has not finished, or never will."""
-        return max((n for n, size in self._numbers() if size), default=0)
+        """The current version; 0 is the empty store."""
+        return max((int(name) for name, _ in self._list("commits") if name.isdigit()), default=0)
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """(path, bytes, rows, tier, added): the live shards of a version."""
@@ -77,9 +85,9 @@ class ShardStore:
         stored = self._schema(self.manifest(begun))
         if stored:
             _union(stored, df.schema)
-        data = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.option("maxRecordsPerFile", shard_rows).option("compression", CODEC).parquet(data)
-        return self._commit(begun, self.manifest(begun).unionByName(self._shards(data, begun + 1)))
+        with self._writer() as write:
+            data = write(df.write.option("maxRecordsPerFile", shard_rows))
+            return self._commit(begun, self.manifest(begun).unionByName(self._shards(data, begun + 1)))
 
     def tiers(self, target: int = TARGET_BYTES, min_merge: int = MIN_MERGE) -> DataFrame:
         """(tier, shards, bytes) of the tiers that a compaction would merge; files of half the target or more are finished."""
@@ -102,28 +110,58 @@ class ShardStore:
         live = self.manifest(begun)
         merging = F.col("tier").isin(full) & (F.col("bytes") * 2 < target)
         after = live.where(~merging)
-        for tier in sorted(full):
-            shards = live.where(merging & (F.col("tier") == tier))
-            paths = [r["path"] for r in shards.select("path").orderBy("path").collect()]
-            data = f"{self.root}/data/{uuid.uuid4().hex}"
-            with _packed_scans(self.spark, target):
-                self.spark.read.schema(self._schema(shards)).parquet(*paths).write.option("compression", CODEC).parquet(data)
-            after = after.unionByName(self._shards(data, begun + 1))
-        return self._commit(begun, after)
-
-    def vacuum(self) -> int:
-        """Delete data folders that no live shard of the current version is in; returns how many went."""
-        live = {r["path"].rsplit("/", 2)[1] for r in self.manifest().select("path").collect()}
-        at, fs = common._fs(self.spark, f"{self.root}/data")
-        gone = [x.getPath() for x in fs.listStatus(at) if x.getPath().getName() not in live] if fs.exists(at) else []
-        for path in gone:
-            fs.delete(path, True)
+        packed = _packed_session(self.spark, target)
+        with self._writer() as write:
+            for tier in sorted(full):
+                shards = live.where(merging & (F.col("tier") == tier))
+                # a scan names its files, so their paths come to the driver, as in any file listing
+                paths = [r["path"] for r in shards.select("path").orderBy("path").collect()]
+                data = write(packed.read.schema(self._schema(shards)).parquet(*paths).write)
+                after = after.unionByName(self._shards(data, begun + 1))
+            return self._commit(begun, after)
+
+    def vacuum(self, lease: float = LEASE) -> int:
+        """Delete data folders that no live shard of the current version is in and no writer holds; returns how many went.
+
+        A writer's folders are safe until it has been registered for ``lease``
+        seconds; then its registration is deleted first, so that it can't commit.
+        """
+        # in this order: a folder that is neither held nor live when these are listed was given up before
+        data = [name for name, _ in self._list("data")]
+        held = set()
+        for name, age in self._list("writers"):
+            if age > lease:
+                common.remove(self.spark, f"{self.root}/writers/{name}")
+            else:
+                held.add(name)
+        live = {r["folder"] for r in self.manifest().select(_folder().alias("folder")).distinct().collect()}
+        gone = [name for name in data if name not in live and name.split("-")[0] not in held]
+        for name in gone:
+            common.remove(self.spark, f"{self.root}/data/{name}")
         return len(gone)
 
+    @contextmanager
+    def _writer(self) -> Iterator:
+        """Register a writer; yields a function that writes a frame to a data folder of its own and returns the path."""
+        me, n = uuid.uuid4().hex, 0
+        at, fs = common._fs(self.spark, f"{self.root}/writers/{me}")
+        fs.create(at, False).close()
+
+        def write(writer) -> str:
+            nonlocal n
+            n += 1
+            writer.option("compression", CODEC).parquet(f"{self.root}/data/{me}-{n}")
+            return f"{self.root}/data/{me}-{n}"
+
+        self._me = me
+        try:
+            yield write
+        finally:
+            fs.delete(at, False)
+
     def _schema(self, shards: DataFrame) -> T.StructType | None:
         """The union of the shards' schemas, or None without shards. A data folder is one write and has one schema, so one footer of each is read."""
-        folder = F.substring_index(F.substring_index("path", "/", -2), "/", 1)
-        paths = [r["path"] for r in shards.groupBy(folder).agg(F.min("path").alias("path")).orderBy("path").collect()]
+        paths = [r["path"] for r in shards.groupBy(_folder()).agg(F.min("path").alias("path")).orderBy("path").collect()]
         return self.spark.read.option("mergeSchema", True).parquet(*paths).schema if paths else None
 
     def _shards(self, data: str, version: int) -> DataFrame:
@@ -136,20 +174,39 @@ class ShardStore:
         return files.select("path", "bytes", "rows", tier.alias("tier"), F.lit(version).cast("bigint").alias("added"))
 
     def _commit(self, begun: int, manifest: DataFrame) -> int:
-        """Write the manifest under a name of its own, then create the commit file of the next version, or fail if another writer did."""
+        """Make ``manifest`` the successor of version ``begun``, or raise CommitConflict if there is one already."""
         name = uuid.uuid4().hex
         manifest.write.parquet(f"{self.root}/manifests/{name}")
-        if self.version() != begun:
-            raise CommitConflict(f"{self.root} has gone on from version {begun}")
-        number = max((n for n, _ in self._numbers()), default=0) + 1
-        at, fs = common._fs(self.spark, f"{self.root}/commits/{number:012d}")
-        try:
-            out = fs.create(at, False)
-        except Exception as error:  # the file system says that the name exists
-            raise CommitConflict(f"{self.root} has a version {number}") from error
+        aside, fs = common._fs(self.spark, f"{self.root}/commits/_{name}")
+        out = fs.create(aside, False)
         out.write(bytearray(name.encode()))
         out.close()
-        return number
+        held, _ = common._fs(self.spark, f"{self.root}/writers/{self._me}")
+        if not fs.exists(held):
+            raise CommitConflict(f"{self.root}: the writer's lease has ended")
+        try:
+            if not self._place(aside, f"{self.root}/commits/{begun + 1:012d}"):
+                raise CommitConflict(f"{self.root} has gone on from version {begun}")
+        finally:
+            fs.delete(aside, False)
+        return begun + 1
+
+    def _place(self, aside, path: str) -> bool:
+        """Give a whole file its final name unless that is taken, in one step of the file system.
+
+        A local file system replaces files when it renames, so the file is
+        linked there; others (HDFS and those that follow it) refuse to rename
+        to a name that exists.
+        """
+        at, fs = common._fs(self.spark, path)
+        real = fs.resolvePath(aside)
+        if real.toUri().getScheme() == "file":
+            try:
+                os.link(real.toUri().getPath(), os.path.join(os.path.dirname(real.toUri().getPath()), at.getName()))
+            except FileExistsError:
+                return False
+            return True
+        return not fs.exists(at) and fs.rename(aside, at)
 
     def _read_text(self, path: str) -> str:
         return self.spark.read.text(path).first()[0]
@@ -170,15 +227,14 @@ def _union(a: T.DataType, b: T.DataType, at: str = "") -> T.DataType:
     return a
 
 
-@contextmanager
-def _packed_scans(spark: SparkSession, target: int):
-    """While it lasts, a scan packs whole small files into partitions of ``target`` bytes."""
-    wanted = {"spark.sql.files.maxPartitionBytes": str(target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def _packed_session(spark: SparkSession, target: int) -> SparkSession:
+    """A session of its own whose scans pack whole small files into partitions of ``target`` bytes; the caller's settings stay."""
+    own = spark.newSession()
+    for k, v in {"spark.sql.files.maxPartitionBytes": str(target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}.items():
+        own.conf.set(k, v)
+    return own
+
+
+def _folder() -> Column:
+    """The data folder of a shard's path."""
+    return F.substring_index(F.substring_index("path", "/", -2), "/", 1)

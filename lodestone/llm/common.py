@@ -58,6 +58,13 @@ class Names:
         self.taken.add(name.lower())
         return name
 
+    def prefix(self, label: str) -> str:
+        """A prefix that no name has."""
+        name = f"__{label}_"
+        while any(c.startswith(name.lower()) for c in self.taken):
+            name = f"_{name}"
+        return name
+
 
 #: Rows that a range of ``ranked`` has on average.
 RANGE_ROWS = 4096

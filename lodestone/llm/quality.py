@@ -2,12 +2,16 @@
 
 All of it is DataFrame functions. The statistics of a text are computed inside
 its row. Each (language, source) group then gets a minimum-covariance-
-determinant estimate: concentration steps that re-estimate centre and
-covariance from the half of the group with the least Mahalanobis distances,
-where the half's border comes from a histogram of distances (integer counts, so
-no group is gathered or sorted). The rows of the border bin share what is left
-of the half as a weight, so ties never make it larger. Rows are rejected by
-their distance.
+determinant estimate. Three deterministic starts (the scales alone, the
+correlations of hyperbolic tangents, and spatial signs) take concentration
+steps that re-estimate centre and covariance from the half of the group with
+the least Mahalanobis distances; after START_STEPS the start of least
+determinant goes on until determinants no longer fall. The half's border comes
+from a histogram of distances (integer counts, so no group is gathered or
+sorted), and the rows of the border bin share what is left of the half as a
+weight, so ties never make it larger. A group's estimate is drawn towards its
+language's, and that towards all rows', by their numbers of rows: the parent
+counts as PRIOR rows. Rows are rejected by their distance.
 """
 
 from __future__ import annotations
@@ -27,15 +31,16 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-#: Share of a group that the operators' estimate is made of: floor((n + p + 1) / 2) of n rows, which withstands the most outliers.
+#: Share of a group that the estimate is made of: floor((n + p + 1) / 2) of n rows, which withstands the most outliers.
 HALF = 0.5
-#: What ``fit`` takes by itself: more precise, but a quarter of outliers break it.
-SUPPORT = 0.75
-STEPS = 4
+#: Concentration steps of every start, and at most how many of the best one; it ends when no logarithm of a determinant falls by more than SETTLED.
+START_STEPS, STEPS, SETTLED = 2, 10, 1e-3
 #: Bins of the histogram of distances in each factor e.
 BINS = 64
-#: Groups with fewer rows that pass the base limits (ten for each dimension) take the estimate of their language, and small languages that of all rows.
-MIN_GROUP = 50
+#: Rows that the estimate of the language (or of all rows) counts in that of a group (or of a language).
+PRIOR = 50
+#: Halves of n normal rows in five dimensions lack SMALL / n of the covariance's size, so that CUTOFF stays about their 0.9999 quantile (simulated, 50 to 1000 rows).
+SMALL = 95.0
 #: Levels of an estimate.
 GROUP, LANGUAGE, WHOLE = 0, 1, 2
 #: Least standard deviation of each transformed statistic, so that a statistic that hardly varies in a group can't reject small changes.
@@ -79,7 +84,7 @@ def with_statistics(df: DataFrame, text_col: str = "text", prefix: str = "") ->
     n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines
     with a word that equal an earlier line), n_repeat_words.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     words = F.filter(F.split(text, _WS), lambda w: w != "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, common.SPACES, "") != "")
     hashes = F.transform(words, lambda w: F.xxhash64(w))
@@ -131,49 +136,29 @@ def _inverse_expr(p: int) -> list[tuple[str, Column]]:
     return out
 
 
-def _distance(model: str, values: dict[str, Column]) -> Column:
+def _distance(c: Column, t: Column, values: list[Column]) -> Column:
     """Squared Mahalanobis distance: the length of the inverse factor times the centred vector."""
-    p, names = len(values), list(values)
-    total = F.lit(0.0)
+    p, total = len(values), F.lit(0.0)
     for i in range(p):
-        row = sum((F.col(f"{model}.t")[i * p + j] * (values[names[j]] - F.col(f"{model}.c")[j]) for j in range(i + 1)), F.lit(0.0))
+        row = sum((t[i * p + j] * (values[j] - c[j]) for j in range(i + 1)), F.lit(0.0))
         total = total + row * row
     return total
 
 
-def _estimate(rows: DataFrame, floors: dict[str, float], w: Column, support: float) -> DataFrame:
-    """(g, model) for each group: centre and inverse Cholesky factor from the rows by their weights, sums in one pass."""
-    names = list(floors)
-    p = len(names)
-    sums = [F.sum(w).alias("n"), F.count("*").alias("all")]
-    sums += [F.sum(w * F.col(a)).alias(f"m_{i}") for i, a in enumerate(names)]
-    sums += [F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"q_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    made = rows.groupBy("g").agg(*sums).where("n > 0")
-    made = made.withColumns({f"c_{i}": F.col(f"m_{i}") / F.col("n") for i in range(p)})
-    # the covariance of the inner part is scaled up to that of the whole by its consistency factor
-    grow = F.lit(_consistency(support, p))
-    if support == HALF:
-        grow = grow * _small(F.col("all"))
-    cov = {f"s_{i}_{j}": (F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"c_{i}") * F.col(f"c_{j}")) * grow for i in range(p) for j in range(i + 1)}
-    # a floor is a minimum: it leaves variances above it as they are
-    cov |= {f"s_{i}_{i}": F.greatest(cov[f"s_{i}_{i}"], F.lit(floors[a] ** 2)) for i, a in enumerate(names)}
-    made = made.withColumns(cov)
+def _factored(df: DataFrame, cells: dict[tuple[int, int], Column], keep: list[str]) -> DataFrame:
+    """``keep``, t (inverse Cholesky factor, by rows) and det (logarithm of the determinant) of the symmetric matrix ``cells``."""
+    p = 1 + max(i for i, _ in cells)
+    df = df.select(*keep, *[v.alias(f"s_{i}_{j}") for (i, j), v in cells.items()])
     for name, value in _inverse_expr(p):
-        made = made.withColumn(name, value)
-    zero = F.lit(0.0)
-    t = F.array(*[F.col(f"t_{i}_{j}") if j <= i else zero for i in range(p) for j in range(p)])
-    return made.select("g", "all", F.struct(F.array(*[F.col(f"c_{i}") for i in range(p)]).alias("c"), t.alias("t")).alias("model"))
+        df = df.withColumn(name, value)
+    t = F.array(*[F.col(f"t_{i}_{j}") if j <= i else F.lit(0.0) for i in range(p) for j in range(p)])
+    det = sum((2 * F.log(f"l_{i}_{i}") for i in range(p)), F.lit(0.0))
+    return df.select(*keep, t.alias("t"), det.alias("det"))
 
 
-def _small(n: Column) -> Column:
-    """What covariances of halves of ``n`` normal rows in five dimensions lack, so that CUTOFF stays about their 0.9999 quantile (simulated, 50 to 1000 rows)."""
-    return 1 + F.lit(95.0) / n
-
-
-def _half(n: Column, p: int, support: float) -> Column:
-    """Rows in the estimate: floor((n + p + 1) / 2) at a support of a half, n at 1, in a line between."""
-    half = F.floor((n + p + 1) / 2)
-    return F.least(n, F.floor(2 * half - n + 2 * (n - half) * support))
+def _half(n: Column, p: int) -> Column:
+    """Rows in the estimate of ``n`` rows."""
+    return F.least(n, F.floor((n + p + 1) / 2))
 
 
 def _consistency(share: float, p: int) -> float:
@@ -200,86 +185,181 @@ def _shortest_half(q: Column) -> Column:
     return _bind(q, lambda q: F.array_min(F.transform(F.sequence(F.lit(0), F.lit(50)), lambda i: F.struct((F.get(q, i + 50) - F.get(q, i)).alias("width"), ((F.get(q, i + 50) + F.get(q, i)) / 2).alias("middle")))))
 
 
-def fit(rows: DataFrame, floors: dict[str, float] = FLOORS, steps: int = STEPS, support: float = SUPPORT, min_group: int = MIN_GROUP) -> DataFrame:
-    """(g, model) for the groups of ``rows`` (g, one column per feature) with ``min_group`` rows, for languages with as many, and over all rows.
-
-    g of the result is (level, whole, k). k is the group; at the level of
-    languages, which needs groups with a field ``lang``, it has that field only.
-
-    Starts from the diagonal distance to the middle of the shortest interval
-    that holds half of each statistic (approximate percentiles, which are merged
-    from sketches; it withstands any share of outliers below a half) and
-    concentrates ``steps`` times.
-    """
-    names = list(floors)
+def _levels(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` once for each level, with level, k and a text ``id`` of both: k is the group, at the level of languages its field ``lang`` alone, for all rows null."""
     kind = rows.schema["g"].dataType
     keys = {GROUP: F.col("g"), WHOLE: F.lit(None).cast(kind)}
     if isinstance(kind, T.StructType) and "lang" in kind.names:
         keys[LANGUAGE] = F.struct(*[F.col("g.lang") if f.name == "lang" else F.lit(None).cast(f.dataType).alias(f.name) for f in kind])
-    both = rows.select(F.explode(F.array(*[F.struct(F.lit(level).alias("level"), F.lit(level == WHOLE).alias("whole"), k.alias("k")) for level, k in keys.items()])).alias("g"), *names)
-    centre = both.groupBy("g").agg(F.count("*").alias("all"), *[_shortest_half(F.percentile_approx(a, [i / 100 for i in range(101)], 1000)).alias(a) for a in names])
-    centre = centre.where((F.col("all") >= min_group) | F.col("g.whole"))
-    p = len(names)
-    scale = [1 / F.sqrt(F.greatest((F.col(a)["width"] / 1.349) ** 2, F.lit(floors[a] ** 2))) for a in names]
-    diagonal = F.array(*[scale[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)])
-    model = centre.select("g", F.struct(F.array(*[F.col(a)["middle"] for a in names]).alias("c"), diagonal.alias("t")).alias("model"))
-    for _ in range(steps):
-        model = common.stage(model, "model")
-        near = both.join(model, "g").select("g", *names, _distance("model", {a: F.col(a) for a in names}).alias("d"))
-        near = near.withColumn("bin", F.ceil(F.log(F.greatest(F.col("d"), F.lit(1e-6))) * BINS).cast("int"))
-        counts = near.groupBy("g", "bin").agg(F.count("*").alias("n"))
-        border = counts.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("all"))
-        # the histogram has some thousand bins at most, whatever the rows
-        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("edge"), F.lit(None).cast("double").alias("share"))
-        edge = F.aggregate("bins", start, lambda s, x: F.when(s["edge"].isNotNull(), s).otherwise(F.struct((s["n"] + x["n"]).alias("n"), F.when(s["n"] + x["n"] >= F.col("wanted"), x["bin"]).alias("edge"), ((F.col("wanted") - s["n"]) / x["n"]).alias("share"))))
-        # staged, so that its size is known: rows meet a small table without being dealt out by their group
-        border = common.stage(border.withColumn("wanted", _half(F.col("all"), p, support)).select("g", edge.alias("e")).select("g", "e.edge", "e.share"), "border")
-        weight = F.when(F.col("bin") < F.col("edge"), 1.0).when(F.col("bin") == F.col("edge"), F.col("share"))
-        model = _estimate(near.join(border, "g"), floors, weight, support).drop("all")
-    return common.stage(model, "model")
+    places = F.explode(F.array(*[F.struct(F.lit(level).alias("level"), k.alias("k")) for level, k in keys.items()]))
+    return rows.select(places.alias("g"), *names).select(F.to_json("g").alias("id"), "g.level", "g.k", *names)
+
+
+def _starts(both: DataFrame, floors: dict[str, float]) -> DataFrame:
+    """(id, start, c, t, det): three starts for each group around the middles of the shortest halves of its statistics."""
+    names, p = list(floors), len(floors)
+    spread = both.groupBy("id").agg(*[_shortest_half(F.percentile_approx(a, [i / 100 for i in range(101)], 1000)).alias(a) for a in names])
+    scales = F.array(*[F.sqrt(F.greatest((F.col(a)["width"] / 1.349) ** 2, F.lit(floors[a] ** 2))) for a in names])
+    spread = common.stage(spread.select("id", F.array(*[F.col(a)["middle"] for a in names]).alias("c"), scales.alias("scale")), "spread")
+    scored = both.join(spread, "id").select("id", *[((F.col(a) - F.col("c")[i]) / F.col("scale")[i]).alias(f"z_{i}") for i, a in enumerate(names)])
+    size = sum((F.col(f"z_{i}") ** 2 for i in range(p)), F.lit(1e-9))
+    flat = [F.tanh(f"z_{i}") for i in range(p)]
+    sums = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(flat)]
+    sums += [F.avg(flat[i] * flat[j]).alias(f"q_{i}_{j}") for i in range(p) for j in range(i + 1)]
+    sums += [F.avg(F.col(f"z_{i}") * F.col(f"z_{j}") / size).alias(f"v_{i}_{j}") for i in range(p) for j in range(i + 1)]
+    found = scored.groupBy("id").agg(*sums).join(spread, "id")
+
+    def cov(i: int, j: int) -> Column:
+        return F.col(f"q_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}") + (1e-6 if i == j else 0.0)
+
+    def scatter(start: int, i: int, j: int) -> Column:
+        if start == 0 or (start == 1 and i == j):
+            return F.lit(float(i == j))
+        if start == 1:
+            return 0.999 * cov(i, j) / F.sqrt(cov(i, i) * cov(j, j))
+        return F.col(f"v_{i}_{j}") + (1e-3 if i == j else 0.0)
+
+    out = None
+    for start in range(3):
+        cells = {(i, j): scatter(start, i, j) * F.col("scale")[i] * F.col("scale")[j] for i in range(p) for j in range(i + 1)}
+        made = _factored(found.withColumn("start", F.lit(start)), cells, ["id", "start", "c"])
+        out = made if out is None else out.unionByName(made)
+    return common.stage(out, "model")
+
+
+def _step(both: DataFrame, model: DataFrame, floors: dict[str, float]) -> DataFrame:
+    """A concentration step: (id, start, n, before, c, s, t, det) from the half of each group that is nearest by ``model``; ``before`` is the model's det, s the covariance."""
+    names, p = list(floors), len(floors)
+    near = both.join(model.select("id", "start", "c", "t", F.col("det").alias("before")), "id")
+    near = near.select("id", "start", "before", *names, _distance(F.col("c"), F.col("t"), [F.col(a) for a in names]).alias("d"))
+    near = near.withColumn("bin", F.ceil(F.log(F.greatest(F.col("d"), F.lit(1e-6))) * BINS).cast("int"))
+    counts = near.groupBy("id", "start", "bin").agg(F.count("*").alias("n"))
+    # the histogram has some thousand bins at most, whatever the rows
+    border = counts.groupBy("id", "start").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("n"))
+    border = border.withColumn("wanted", _half(F.col("n"), p))
+    begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("edge"), F.lit(None).cast("double").alias("share"))
+
+    def upto(s: Column, x: Column) -> Column:
+        after = s["n"] + x["n"]
+        return F.when(s["edge"].isNotNull(), s).otherwise(F.struct(after.alias("n"), F.when(after >= F.col("wanted"), x["bin"]).alias("edge"), ((F.col("wanted") - s["n"]) / x["n"]).alias("share")))
+
+    # staged, so that its size is known: rows meet a small table without being dealt out by their group
+    border = common.stage(border.select("id", "start", "n", F.aggregate("bins", begin, upto).alias("e")).select("id", "start", "n", "e.edge", "e.share"), "border")
+    inner = near.join(border, ["id", "start"]).where(F.col("bin") <= F.col("edge"))
+    w = F.when(F.col("bin") < F.col("edge"), 1.0).otherwise(F.col("share"))
+    sums = [F.sum(w).alias("h"), F.max("n").alias("n"), F.max("before").alias("before")]
+    sums += [F.sum(w * F.col(a)).alias(f"m_{i}") for i, a in enumerate(names)]
+    sums += [F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"q_{i}_{j}") for i in range(p) for j in range(i + 1)]
+    made = inner.groupBy("id", "start").agg(*sums)
+    made = made.withColumns({f"c_{i}": F.col(f"m_{i}") / F.col("h") for i in range(p)})
+    # the covariance of the inner half is scaled up to that of the whole by its consistency factor
+    grow = _consistency(HALF, p)
+    cells = {(i, j): (F.col(f"q_{i}_{j}") / F.col("h") - F.col(f"c_{i}") * F.col(f"c_{j}")) * grow for i in range(p) for j in range(i + 1)}
+    # a floor is a minimum: it leaves variances above it as they are
+    cells |= {(i, i): F.greatest(cells[i, i], F.lit(floors[a] ** 2)) for i, a in enumerate(names)}
+    s = F.array(*[cells[max(i, j), min(i, j)] for i in range(p) for j in range(p)])
+    made = made.select("id", "start", "n", "before", F.array(*[F.col(f"c_{i}") for i in range(p)]).alias("c"), s.alias("s"))
+    return common.stage(_factored(made, {(i, j): F.col("s")[i * p + j] for i, j in cells}, ["id", "start", "n", "before", "c", "s"]), "model")
+
+
+def _drawn(own: DataFrame, parent: DataFrame, on: Column, p: int, prior: float) -> DataFrame:
+    """Estimates mixed with their parents' by numbers of rows: centre and covariance of the mixture."""
+    side = parent.select(F.col("k").alias("pk"), F.col("c").alias("pc"), F.col("s").alias("ps"))
+    a = F.col("share")
+    joined = own.join(side, on).withColumn("share", F.col("n") / (F.col("n") + prior)).withColumn("d", F.zip_with("c", "pc", lambda x, y: x - y))
+    c = F.zip_with("c", "pc", lambda x, y: a * x + (1 - a) * y)
+    s = F.array(*[a * F.col("s")[i] + (1 - a) * F.col("ps")[i] + a * (1 - a) * F.col("d")[i // p] * F.col("d")[i % p] for i in range(p * p)])
+    return joined.select("level", "k", "n", "share", c.alias("c"), s.alias("s"))
+
+
+def fit(rows: DataFrame, floors: dict[str, float] = FLOORS, prior: float = PRIOR) -> DataFrame:
+    """(level, k, n, share, c, t) for the groups of ``rows`` (g, one column per feature), their languages, and all rows.
+
+    n counts the rows of the group itself and share is their part in the
+    estimate, n / (n + ``prior``); the rest is the language's (which needs
+    groups with a field ``lang``), and of a language all rows'. c is the centre,
+    t the inverse Cholesky factor of the covariance, by rows.
+    """
+    names, p = list(floors), len(floors)
+    both = common.stage(_levels(rows, names), "levels")
+    model = _starts(both, floors)
+    for _ in range(START_STEPS):
+        model = _step(both, model, floors)
+    best = model.groupBy("id").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
+    model = common.stage(model.join(best, ["id", "start"]), "model")
+    for _ in range(STEPS):
+        model = _step(both, model, floors)
+        if model.where(F.col("before") - F.col("det") > SETTLED).isEmpty():
+            break
+    keys = both.select("id", "level", "k").distinct()
+    raw = model.join(keys, "id").select("level", "k", "n", F.lit(1.0).alias("share"), "c", F.transform("s", lambda x: x * (1 + SMALL / (F.col("n") + prior))).alias("s"))
+    raw = common.stage(raw, "model")
+    whole, groups = raw.where(F.col("level") == WHOLE), raw.where(F.col("level") == GROUP)
+    # one row of all rows
+    parents, of = F.broadcast(whole), F.lit(True)
+    out = whole
+    if isinstance(rows.schema["g"].dataType, T.StructType) and "lang" in rows.schema["g"].dataType.names:
+        parents, of = _drawn(raw.where(F.col("level") == LANGUAGE), F.broadcast(whole), F.lit(True), p, prior), F.col("k.lang").eqNullSafe(F.col("pk.lang"))
+        out = out.unionByName(parents)
+    out = out.unionByName(_drawn(groups, parents, of, p, prior))
+    floor = [floors[a] ** 2 for a in names]
+    cells = {(i, j): F.greatest(F.col("s")[i * p + i], F.lit(floor[i])) if i == j else F.col("s")[i * p + j] for i in range(p) for j in range(i + 1)}
+    return common.stage(_factored(out, cells, ["level", "k", "n", "share", "c", "s"]).drop("det", "s"), "model")
 
 
 def _grouped(df: DataFrame, lang_col: str, source_col: str, prefix: str) -> DataFrame:
-    return df.withColumn(f"{prefix}g", F.struct(F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source")))
+    return df.withColumn(f"{prefix}g", F.struct(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{source_col}`").cast("string").alias("source")))
+
+
+def _rows(stats: DataFrame, prefix: str) -> DataFrame:
+    """What the estimates are made of: group and features of the rows that pass the base limits."""
+    return stats.where(f"NOT `{prefix}base_failed`").select(F.col(f"{prefix}g").alias("g"), *[v.alias(k) for k, v in features(prefix).items()])
 
 
 def judge(df: DataFrame, model: DataFrame, prefix: str, cutoff: float = CUTOFF) -> DataFrame:
-    """``df`` (with statistics and group) with ``distance2``, ``level`` and ``kept``, from its group's model, or else its language's, or else that of all rows."""
-    own = model.where(F.col("g.level") == GROUP).select(F.col("g.k").alias("__k"), F.col("model").alias("__own"))
-    lang = model.where(F.col("g.level") == LANGUAGE).select(F.col("g.k.lang").alias("__l"), F.col("model").alias("__lang"))
+    """``df`` (with statistics and group) with ``distance2``, ``share`` and ``kept``, from its group's model; a group without passing rows has its language's, or that of all rows.
+
+    ``share`` is the part of the group's own rows in its estimate.
+    """
+    own = common.Names(df)
+    names = [own(x) for x in ("group", "lang", "whole")]
+    cut = [F.struct("c", "t", "share").alias(n) for n in names]
+    keys = own("k"), own("l"), own("one")
+    at = [model.where(F.col("level") == level) for level in (GROUP, LANGUAGE, WHOLE)]
+    out = df.join(at[0].select(F.col("k").alias(keys[0]), cut[0]), F.col(f"{prefix}g").eqNullSafe(F.col(keys[0])), "left")
+    out = out.join(at[1].select(F.struct("k.lang").alias(keys[1]), cut[1]), F.struct(f"{prefix}g.lang").eqNullSafe(F.col(keys[1])), "left")
     # one row: the model of all rows
-    whole = model.where("g.whole").select(F.col("model").alias("__all"), F.lit(1).alias("__one"))
-    values = features(prefix)
-    out = df.join(own, F.col(f"{prefix}g").eqNullSafe(F.col("__k")), "left").join(lang, F.col(f"{prefix}g.lang").eqNullSafe(F.col("__l")), "left")
-    out = out.withColumn("__one", F.lit(1)).join(F.broadcast(whole), "__one", "left")
-    d = _distance("__model", values)
-    level = F.when(F.col("__own").isNotNull(), GROUP).when(F.col("__lang").isNotNull(), LANGUAGE).when(F.col("__all").isNotNull(), WHOLE)
-    out = out.withColumn("__model", F.coalesce("__own", "__lang", "__all")).withColumn(f"{prefix}level", level).withColumn(f"{prefix}distance2", d)
+    out = out.join(F.broadcast(at[2].select(cut[2])), F.lit(True), "left")
+    chosen = own("model")
+    out = out.withColumn(chosen, F.coalesce(*[F.col(n) for n in names]))
+    d = _distance(F.col(chosen)["c"], F.col(chosen)["t"], list(features(prefix).values()))
+    out = out.withColumn(f"{prefix}share", F.coalesce(F.col(names[0])["share"], F.lit(0.0))).withColumn(f"{prefix}distance2", d)
     kept = ~F.col(f"{prefix}base_failed") & F.coalesce(F.col(f"{prefix}distance2") <= cutoff, F.lit(True))
-    return out.withColumn(f"{prefix}kept", kept).drop("__k", "__own", "__l", "__lang", "__all", "__one", "__model")
+    return out.withColumn(f"{prefix}kept", kept).drop(*names, *keys, chosen)
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(id, the statistics, base_failed, distance2, level, kept) for each row; ``level`` says whose estimate judged it.
+    """(id, the statistics, base_failed, distance2, share, kept) for each row; ``share`` is the part of the group's own rows in the estimate that judged it.
 
     Null languages and sources are values of their own. Rows that fail the base
-    limits take no part in the estimates. Repeated rows and null ids stay; an
-    empty table gives no rows; a table without passing rows has no estimate and
-    keeps none.
+    limits take no part in the estimates. Repeated rows and null ids stay; other
+    columns, whatever their names, are left out; an empty table gives no rows; a
+    table without passing rows has no estimate and keeps none.
     """
     x = "__q_"
-    stats = with_statistics(df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "text", x).drop("text")
-    stats = common.stage(_grouped(stats, "lang", "source", x).drop("lang", "source"), "stats")
-    rows = stats.where(f"NOT {x}base_failed").select(F.col(f"{x}g").alias("g"), *[v.alias(k) for k, v in features(x).items()])
-    done = judge(stats, fit(rows, support=HALF), x)
-    return done.select("id", *[F.col(f"{x}{c}").alias(c) for c in [*_STATS, "base_failed", "distance2", "level", "kept"]])
+    stats = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"))
+    stats = common.stage(_grouped(with_statistics(stats, "text", x).drop("text"), "lang", "source", x).drop("lang", "source"), "stats")
+    done = judge(stats, fit(_rows(stats, x)), x)
+    return done.select("id", *[F.col(f"{x}{c}").alias(c) for c in [*_STATS, "base_failed", "distance2", "share", "kept"]])
 
 
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``df`` that are kept, with all their columns: statistics are computed again beside the text instead of moving texts."""
-    x, names = "__q_", df.columns
-    stats = _grouped(with_statistics(df.select(text_col, lang_col, source_col), text_col, x), lang_col, source_col, x)
-    rows = stats.where(f"NOT {x}base_failed").select(F.col(f"{x}g").alias("g"), *[v.alias(k) for k, v in features(x).items()])
-    model = fit(common.stage(rows, "stats"), support=HALF)
-    done = judge(_grouped(with_statistics(df, text_col, x), lang_col, source_col, x), model, x)
-    return done.where(f"{x}kept").select(*[F.col(f"`{c}`") for c in names])
+    """The rows of ``df`` that are kept, with all their columns, whatever their names.
+
+    Rows are staged once with their statistics, which are dear; the estimate and
+    the verdict read them from there, and nothing is shuffled by row.
+    """
+    x, names = common.Names(df).prefix("q"), df.columns
+    stats = common.stage(_grouped(with_statistics(df, text_col, x), lang_col, source_col, x), "stats")
+    done = judge(stats, fit(_rows(stats, x)), x)
+    return done.where(f"`{x}kept`").select(*[F.col(f"`{c}`") for c in names])

@@ -80,7 +80,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(_read(spark, sf_dir)).withColumnRenamed("id", "doc_id").drop("distance2", "level")
+    return quality.quality(_read(spark, sf_dir)).withColumnRenamed("id", "doc_id").drop("distance2", "share")
 
 
 OP8_SQL = """

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +30,24 @@ def _fs(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+#: The folder of the innermost ``scratch``, below the shared one.
+_SCRATCH: ContextVar[str] = ContextVar("scratch", default="")
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}{_SCRATCH.get()}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What operators stage while it lasts goes when it ends; results must be written elsewhere by then."""
+    folder = f"/scratch-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        remove(spark, shared_folder(spark) + folder)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -6,10 +6,15 @@ fingerprint is stored in two tables under its segments, and looks up the
 Hamming ball of radius one about each segment. Fetched fingerprints are
 verified over all 64 bits. Links come out as a spanning forest for each table
 entry, never as all pairs. Exact repeats are one fingerprint from the start.
+
+``similar_documents`` searches in the same way for a Jaccard similarity of
+5-word shingles, where pairs differ in a sixth of the bits: by more segments of
+a wider fingerprint, with balls of the bits that are nearest to a tie.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -19,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lodestone.llm import common
 from lodestone.llm.components import connected_components
@@ -230,20 +236,229 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(known, F.col("fp") == F.col("print"), "left").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one document of each near-duplicate group: the one whose id names the component.
+#: Words of a shingle, and least Jaccard similarity of the shingle sets of near-duplicates.
+WORDS, SIMILARITY = 5, 0.8
+#: Bits of a wide fingerprint and of its segments; the bits of a segment nearest to a tie, which its ball flips.
+WIDE, SEGMENT, FLIPS = 512, 32, 4
+#: Deviations of the distance that the search allows beyond its mean at SIMILARITY.
+MARGIN = 2.0
+#: Word hashes that a worker remembers.
+REMEMBERED = 300_000
+#: Rows of a table entry that are compared in one task; larger entries are cut in blocks, and all pairs of blocks are compared.
+BLOCK = 4096
+
+
+def wide_radius(similarity: float = SIMILARITY) -> int:
+    """Differing bits that all but 2 % of pairs of this Jaccard similarity stay within (one random plane a bit)."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(WIDE * share + MARGIN * math.sqrt(WIDE * share * (1 - share)))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well mixed 64-bit values of 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(text: str | None, words: int, known: dict[bytes, int]) -> np.ndarray:
+    """The distinct 64-bit hashes of the ``words``-word shingles (fewer words: the whole sequence; none: none), ASCII letters in lower case."""
+    found = WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_FOLD))
+    if len(known) > REMEMBERED:
+        known.clear()
+    for w in found:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w, SEED)
+    if not found:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    n = max(1, len(h) - words + 1)
+    out = np.full(n, np.uint64(min(words, len(h))))
+    for i in range(min(words, len(h))):
+        out = _mixed(out ^ h[i : i + n])
+    return np.unique(out)
+
+
+def _profile(hashes: np.ndarray) -> np.ndarray:
+    """For each of WIDE bits, hashes with the bit set less those without it."""
+    steps = np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bits = np.zeros(WIDE, np.int64)
+    for lo in range(0, len(hashes), 1 << 13):
+        wide = _mixed(hashes[lo : lo + (1 << 13), None] + steps)
+        bits += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return 2 * bits - len(hashes)
+
+
+_PRINTS = pa.schema([("node", pa.int64()), ("wide", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+
+def _wide(words: int):
+    """Rows (id, text, th) to (id, th, node, wide fingerprint, keys). A key is a segment with its FLIPS bits nearest to a tie set in one of all ways."""
+    flips = np.array([[i >> b & 1 for b in range(FLIPS)] for i in range(1 << FLIPS)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                wide = np.stack([_profile(shingle_hashes(x.as_py(), words, known)) for x in part.column(1)])
+                packed = np.packbits(wide > 0, axis=1, bitorder="little")
+                cut = wide.reshape(len(wide), WIDE // SEGMENT, SEGMENT)
+                own = packed.reshape(len(wide), WIDE // SEGMENT, SEGMENT // 8).copy().view("<u4")[:, :, 0].astype(np.uint64)
+                least = np.argsort(np.abs(cut), axis=2, kind="stable")[:, :, :FLIPS].astype(np.uint64)
+                masks = np.uint64(1) << least
+                bare = own & ~np.bitwise_or.reduce(masks, axis=2)
+                keys = bare[:, :, None] | (masks[:, :, None, :] * flips[None, None]).sum(axis=3, dtype=np.uint64)
+                keys |= np.arange(WIDE // SEGMENT, dtype=np.uint64)[None, :, None] << np.uint64(SEGMENT)
+                node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in packed], np.uint64).view(np.int64)
+                flat = keys.reshape(len(wide), -1).view(np.int64)
+                lists = pa.ListArray.from_arrays(np.arange(len(wide) + 1, dtype=np.int32) * flat.shape[1], pa.array(flat.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node), pa.array([x.tobytes() for x in packed], _PRINTS.field(1).type), lists], ["id", "th", *_PRINTS.names])
+
+    return run
 
-    All columns stay. Of rows that repeat that id one stays (by a hash of the
-    row). Rows without an id can't be told apart, so all of them stay.
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node) sorted by key, those whose key another row has too."""
+    held = None
+    for batch in batches:
+        table = pa.RecordBatch.from_arrays([pa.concat_arrays([held.column(i), batch.column(i)]) for i in range(2)], batch.schema.names) if held else batch
+        if table.num_rows:
+            # the last two rows wait: the next batch may go on with their key, or they are done with
+            key = np.asarray(table.column(0))
+            same = key[1:] == key[:-1]
+            hit = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            seen = 0 if held is None else held.num_rows
+            ready = np.arange(len(key)) < len(key) - 1
+            if seen == 2:
+                ready[0] = False
+            yield table.filter(pa.array(hit & ready))
+            held = table.slice(max(0, len(key) - 2))
+    if held:
+        key = np.asarray(held.column(0))
+        if len(key) == 2 and key[0] == key[1]:
+            yield held.slice(1)
+
+
+def _nearest_forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges (positions) of a minimum spanning forest of the links within ``radius`` among rows of 64-bit words, nearest first."""
+    n = len(prints)
+    out, left = [], np.arange(n)
+    best, link = np.full(n, 1 << 30), np.full(n, -1)
+    while len(left):
+        i = int(np.argmin(best[left]))
+        at = left[i]
+        if best[at] <= radius:
+            out.append((int(link[at]), int(at)))
+        left = np.delete(left, i)
+        if len(left):
+            d = np.bitwise_count(prints[left] ^ prints[at]).sum(axis=1)
+            nearer = d < best[left]
+            best[left[nearer]], link[left[nearer]] = d[nearer], at
+    return out
+
+
+def _linked(radius: int):
+    """Rows (key, part, node, wide) sorted by (key, part) to the links (a, b) of each part's minimum spanning forest."""
+
+    def settle(nodes: list, wide: list) -> list[tuple[int, int]]:
+        if len(nodes) < 2:
+            return []
+        prints = np.frombuffer(b"".join(wide), np.uint64).reshape(len(nodes), -1)
+        return [(nodes[a], nodes[b]) for a, b in _nearest_forest(prints, radius)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, nodes, wide = None, [], []
+        found: list[tuple[int, int]] = []
+        for batch in batches:
+            for *key, node, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if key != here:
+                    found += settle(nodes, wide)
+                    here, nodes, wide = key, [], []
+                nodes.append(node)
+                wide.append(x)
+                if len(found) > 50_000:
+                    yield pack(found)
+                    found = []
+        found += settle(nodes, wide)
+        if found:
+            yield pack(found)
+
+    def pack(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _parts(shared: DataFrame) -> DataFrame:
+    """(key, part, node): entries of at most BLOCK rows are part 0; others are cut in blocks, and each pair of blocks is a part.
+
+    The spanning forests of all pairs of blocks hold that of the whole entry.
+    """
+    large = common.stage(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "large")
+    cut = shared.join(large, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") * 2 / BLOCK), F.lit(1)).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
+    # a block meets itself in its pairs with the others
+    pairs = F.filter(pair, lambda x: (F.col("blocks") == 1) | (F.floor(x / F.col("blocks")) != x % F.col("blocks")))
+    return cut.select("key", F.explode(pairs).alias("part"), "node")
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _shingle_sets(texts: pa.Array) -> pa.Array:
+    known: dict[bytes, int] = {}
+    return pa.array([shingle_hashes(x.as_py(), WORDS, known).view(np.int64) for x in texts], pa.list_(pa.int64()))
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(id, component_id) for each row: components of documents whose sets of 5-word shingles have this Jaccard similarity or more.
+
+    Candidates come from wide SimHash fingerprints by multi-index hashing: each
+    segment is stored and looked up under a small ball of values, those that
+    flip its bits nearest to a tie, which near-duplicates differ in first.
+    Complete distances are verified, each table entry gives its minimum
+    spanning forest, and the shingle sets of its links are compared exactly.
+    Equal fingerprints are one node. Texts without words are alike. component_id
+    is the least id reachable, null only if all ids are; nulls and repeated rows
+    stay, other columns are left out, and an empty table gives no rows.
     """
-    kept = near_duplicates(df, id_col, text_col).where("id = component_id").select(F.col("id").alias("__keep")).distinct()
-    one = df.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__keep"), "left_semi")
-    first = F.row_number().over(_by(id_col, df.columns))
-    one = one.withColumn("__first", first).where("__first = 1").drop("__first")
-    return one.unionByName(df.where(F.col(id_col).isNull()))
+    text = F.col(f"`{text_col}`")
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
+    kind = texts.schema["id"].dataType.simpleString()
+    docs = common.stage(texts.mapInArrow(_wide(WORDS), f"id {kind}, th bigint, node bigint, wide binary, keys array<bigint>"), "prints")
+    nodes = docs.groupBy("node").agg(F.min("id").alias("least"), F.min("wide").alias("wide"), F.min(F.struct("id", "th")).alias("one"))
+    entries = docs.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    shared = common.stage(entries.mapInArrow(_shared, "key bigint, node bigint"), "shared")
+    met = _parts(shared).join(nodes.select("node", "wide"), "node").select("key", "part", "node", "wide").repartition("key", "part").sortWithinPartitions("key", "part")
+    pairs = common.stage(met.mapInArrow(_linked(wide_radius(similarity)), "a bigint, b bigint").distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # one text of each node that has a link
+    asked = nodes.join(ends, "node", "left_semi").select("node", F.col("one.id").alias("i"), F.col("one.th").alias("h"))
+    found = texts.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h")))
+    sets = common.stage(found.groupBy("node").agg(F.first("text").alias("text")).select("node", _shingle_sets("text").alias("shingles")), "sets")
+    sides = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    common_n = F.size(F.array_intersect("sa", "sb"))
+    links = common.stage(both.where(common_n >= similarity * (F.size("sa") + F.size("sb") - common_n)).select("a", "b"), "links")
+    joined = connected_components(links)
+    placed = nodes.join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = placed.join(names, "component").select(F.col("node").alias("of"), "component_id")
+    return docs.join(known, F.col("node") == F.col("of"), "left").select("id", "component_id")
 
 
-def _by(id_col: str, columns: list[str]):
-    from pyspark.sql.window import Window
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``df`` with one document of each group of ``similar_documents``: the one whose id names the component.
 
-    return Window.partitionBy(id_col).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
+    All columns stay, whatever their names. Of rows that repeat that id one
+    stays (by a hash of the row). Rows without an id can't be told apart, so all
+    of them stay.
+    """
+    own = common.Names(df)
+    keep, first, cell = own("keep"), own("first"), F.col(f"`{id_col}`")
+    kept = similar_documents(df, id_col, text_col, similarity).where("id = component_id").select(F.col("id").alias(keep)).distinct()
+    one = df.where(cell.isNotNull()).join(kept, cell == F.col(keep), "left_semi")
+    order = Window.partitionBy(cell).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    one = one.withColumn(first, F.row_number().over(order)).where(F.col(first) == 1).drop(first)
+    return one.unionByName(df.where(cell.isNull()))

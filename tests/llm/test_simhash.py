@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -76,11 +77,74 @@ def test_documents_against_all_pairs(spark):
     assert simhash.near_duplicates(data.frame(spark).limit(0)).count() == 0
 
 
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    x, y = shingles(a), shingles(b)
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def near_copies():
+    """Documents, and copies with one word in forty changed, of which some have a similarity of 0.8 and some less."""
+    rnd = random.Random(21)
+    rows = [list(r) for r in data.documents()]
+    for i in range(200, 260):
+        base = "".join(rnd.choice("abcdefgh") + rnd.choice(["a", "o", "e ", "u "]) for _ in range(900)).split(" ")
+        rows.append([i * 10, " ".join(base), "en", "s", 0])
+        for j in range(1, 1 + i % 4):
+            rows.append([i * 10 + j, " ".join(w if rnd.random() > 0.012 * j else w + "x" for w in base).upper() + "\n", "en", "s", 0])
+    return [tuple(r) for r in rows]
+
+
+def test_similar_documents_against_all_pairs(spark, monkeypatch):
+    rows = near_copies()
+    texts = sorted({r[1] or "" for r in rows})
+    pairs = [(a, b) for n, a in enumerate(texts) for b in texts[:n] if alike(a, b)]
+    group = components(texts, pairs)
+    own = simhash.similar_documents(data.frame(spark, rows)).collect()
+    assert len(own) == len(rows)
+    of = {}
+    for r, t in [(r, t) for r in own for t in {x[1] or "" for x in rows if x[0] == r["id"]}]:
+        of.setdefault(t, set()).add(r["component_id"])
+    found = [(a, b) for a, b in pairs if of[a] & of[b]]
+    assert len(pairs) > 60 and len(found) >= 0.95 * len(pairs)
+    # nothing is linked that no chain of similar documents links
+    least = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            least.setdefault(group[t or ""], set()).add(i)
+    for r in own:
+        for t in {x[1] or "" for x in rows if x[0] == r["id"]}:
+            assert r["component_id"] is None or any(r["component_id"] in v for v in least.values() if r["id"] is None or r["id"] in v)
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    cut = simhash.similar_documents(data.frame(spark, rows)).collect()
+    assert sorted(map(repr, cut)) == sorted(map(repr, own))
+    assert simhash.similar_documents(data.frame(spark, rows).limit(0)).count() == 0
+
+
+def test_nearest_forest_spans_what_all_pairs_span():
+    rng = random.Random(5)
+    prints = []
+    for _ in range(4):
+        base = rng.getrandbits(128)
+        prints += [base ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 9))) for _ in range(25)]
+    words = np.array([[x & (1 << 64) - 1, x >> 64] for x in prints], np.uint64)
+    edges = simhash._nearest_forest(words, 12)
+    assert all((prints[a] ^ prints[b]).bit_count() <= 12 for a, b in edges)
+    nodes = range(len(prints))
+    assert components(nodes, edges) == components(nodes, [(a, b) for a in nodes for b in nodes if a < b and (prints[a] ^ prints[b]).bit_count() <= 12])
+
+
 def test_one_of_each_group_stays(spark):
     df = data.frame(spark)
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    named = sorted(i for i in ids if i is not None)
-    groups = {r["id"]: r["component_id"] for r in simhash.near_duplicates(df).collect() if r["id"] is not None}
-    assert named == sorted(set(groups.values())) and ids.count(None) == 2
+    groups = {r["id"]: r["component_id"] for r in simhash.similar_documents(df).collect() if r["id"] is not None}
+    assert sorted(i for i in ids if i is not None) == sorted(set(groups.values())) and ids.count(None) == 2
+    # equal and near copies are one group, and empty texts are
+    assert groups[2] == groups[8] == groups[9] and groups[10] == groups[11] and groups[3] == groups[4] == groups[5]
+    assert len(set(groups.values())) > 50

@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group stays, whose members a chain of Jaccard similarities of 0.8 in 5-word shingles links."""
     return simhash.keep_one(docs)
 
 
@@ -44,8 +44,10 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     The bins of each class fill in the order of the rows in the files of ``docs``, which is the mixed order.
     """
-    placed = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return packing.pack(placed, with_ids=False, order=("__file", "__row")).withColumnRenamed("id", "doc_id")
+    own = common.Names(docs)
+    file, row = own("file"), own("row")
+    placed = docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    return packing.pack(placed, with_ids=False, order=(file, row)).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
@@ -63,7 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = None
     for _, stage in STAGES[:-1]:
         path = common.new_path(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with common.scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if held:
             common.remove(spark, held)

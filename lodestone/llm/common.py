@@ -63,6 +63,19 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a staged table that is broadcast.
+SMALL_ROWS = 50_000
+
+
+def small(staged: DataFrame) -> DataFrame:
+    """A staged table, marked for broadcast if it has at most SMALL_ROWS rows (read from the files' footers).
+
+    Rows then meet it where they are, also where a group has a third of them;
+    beyond, the join is dealt by key, and AQE splits what is skewed.
+    """
+    return F.broadcast(staged) if staged.count() <= SMALL_ROWS else staged
+
+
 class Names:
     """Column names that no given frame has: ``names("rank")`` is ``__rank``, with more underscores where that is taken."""
 

@@ -201,7 +201,7 @@ def _starts(both: DataFrame, floors: dict[str, float]) -> DataFrame:
     spread = both.groupBy("id").agg(*[_shortest_half(F.percentile_approx(a, [i / 100 for i in range(101)], 1000)).alias(a) for a in names])
     scales = F.array(*[F.sqrt(F.greatest((F.col(a)["width"] / 1.349) ** 2, F.lit(floors[a] ** 2))) for a in names])
     spread = common.stage(spread.select("id", F.array(*[F.col(a)["middle"] for a in names]).alias("c"), scales.alias("scale")), "spread")
-    scored = both.join(spread, "id").select("id", *[((F.col(a) - F.col("c")[i]) / F.col("scale")[i]).alias(f"z_{i}") for i, a in enumerate(names)])
+    scored = both.join(common.small(spread), "id").select("id", *[((F.col(a) - F.col("c")[i]) / F.col("scale")[i]).alias(f"z_{i}") for i, a in enumerate(names)])
     size = sum((F.col(f"z_{i}") ** 2 for i in range(p)), F.lit(1e-9))
     flat = [F.tanh(f"z_{i}") for i in range(p)]
     sums = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(flat)]
@@ -230,7 +230,7 @@ def _starts(both: DataFrame, floors: dict[str, float]) -> DataFrame:
 def _step(both: DataFrame, model: DataFrame, floors: dict[str, float]) -> DataFrame:
     """A concentration step: (id, start, n, before, c, s, t, det) from the half of each group that is nearest by ``model``; ``before`` is the model's det, s the covariance."""
     names, p = list(floors), len(floors)
-    near = both.join(model.select("id", "start", "c", "t", F.col("det").alias("before")), "id")
+    near = both.join(common.small(model.select("id", "start", "c", "t", F.col("det").alias("before"))), "id")
     near = near.select("id", "start", "before", *names, _distance(F.col("c"), F.col("t"), [F.col(a) for a in names]).alias("d"))
     near = near.withColumn("bin", F.ceil(F.log(F.greatest(F.col("d"), F.lit(1e-6))) * BINS).cast("int"))
     counts = near.groupBy("id", "start", "bin").agg(F.count("*").alias("n"))
@@ -243,9 +243,8 @@ def _step(both: DataFrame, model: DataFrame, floors: dict[str, float]) -> DataFr
         after = s["n"] + x["n"]
         return F.when(s["edge"].isNotNull(), s).otherwise(F.struct(after.alias("n"), F.when(after >= F.col("wanted"), x["bin"]).alias("edge"), ((F.col("wanted") - s["n"]) / x["n"]).alias("share")))
 
-    # staged, so that its size is known: rows meet a small table without being dealt out by their group
     border = common.stage(border.select("id", "start", "n", F.aggregate("bins", begin, upto).alias("e")).select("id", "start", "n", "e.edge", "e.share"), "border")
-    inner = near.join(border, ["id", "start"]).where(F.col("bin") <= F.col("edge"))
+    inner = near.join(common.small(border), ["id", "start"]).where(F.col("bin") <= F.col("edge"))
     w = F.when(F.col("bin") < F.col("edge"), 1.0).otherwise(F.col("share"))
     sums = [F.sum(w).alias("h"), F.max("n").alias("n"), F.max("before").alias("before")]
     sums += [F.sum(w * F.col(a)).alias(f"m_{i}") for i, a in enumerate(names)]
@@ -326,6 +325,7 @@ def judge(df: DataFrame, model: DataFrame, prefix: str, cutoff: float = CUTOFF)
     cut = [F.struct("c", "t", "share").alias(n) for n in names]
     keys = own("k"), own("l"), own("one")
     at = [model.where(F.col("level") == level) for level in (GROUP, LANGUAGE, WHOLE)]
+    at[:2] = [common.small(x) for x in at[:2]]
     out = df.join(at[0].select(F.col("k").alias(keys[0]), cut[0]), F.col(f"{prefix}g").eqNullSafe(F.col(keys[0])), "left")
     out = out.join(at[1].select(F.struct("k.lang").alias(keys[1]), cut[1]), F.struct(f"{prefix}g.lang").eqNullSafe(F.col(keys[1])), "left")
     # one row: the model of all rows

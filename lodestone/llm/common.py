@@ -55,11 +55,11 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
-def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+def stage(df: DataFrame, label: str, path: str | None = None, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = path or new_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -76,7 +76,8 @@ def _edits():
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir).withColumn("edits", _edits())
-    return token_counts.count_edits(docs, "doc_id", "text", "edits").withColumnRenamed("id", "doc_id")
+    trees = common.stage(token_counts.build(docs, "doc_id", "text", keep=("edits",)), "trees", codec="zstd")
+    return token_counts.apply_edits(trees, "edits").withColumnRenamed("id", "doc_id")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
-"""Edit-aware token counts: a segment tree of pre-token counts for each document.
+"""Edit-aware token counts: a stored segment tree of pre-token counts for each document.
 
 Pre-tokens are what the vocabulary's pattern splits a text into; merges never
-cross them, so a document's count is the sum of its pre-tokens' counts. The
-tree's leaves are pre-tokens (characters and tokens); inner nodes are sums. An
-edit re-splits from the first pre-token that can see it (the pattern looks one
-character beyond a pre-token and the next) until a split falls on an old one beyond it: from there on the
-pattern sees the same characters. Only those leaves are encoded again, and only
-the sums above them change.
+cross them, so a document's count is the sum of its pre-tokens' counts. A tree's
+slots hold up to BLOCK pre-tokens each, with their text, and above them lie sums
+of characters and tokens, pairwise up to the root. ``build`` encodes texts once
+and gives a table of trees that is kept; ``apply_edits`` reads it back. An edit
+descends to the first slot it can change, opens the slots it touches, re-splits
+from the first pre-token that can see it (the pattern looks one character beyond
+a pre-token and the next) until a split falls on an old one beyond it, encodes
+those pre-tokens again, and updates the sums above the touched slots. Other
+slots are never opened.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import base64
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -22,10 +26,14 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Leaves in a block; the tree is a two-level tree of wide nodes, whose blocks split when they grow.
-BLOCK = 64
-#: Pre-tokens whose counts a worker remembers.
-REMEMBERED = 300_000
+from lodestone.llm import common
+
+#: Pre-tokens in a slot of a new tree; a slot that edits make this many times larger is cut anew, with its tree.
+BLOCK, GROWN = 64, 16
+#: Characters beyond a split that can move it: the pattern's longest contraction, and the character after white space.
+SIGHT = 4
+#: Characters of the pre-tokens whose counts a worker remembers.
+REMEMBERED = 4_000_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -41,13 +49,18 @@ class Counter:
         self.encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(pattern)
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def count(self, piece: str) -> int:
         found = self.known.get(piece)
         if found is None:
-            if len(self.known) >= REMEMBERED:
+            found = len(self.encoding.encode_ordinary(piece))
+            if self.held + len(piece) > REMEMBERED:
                 self.known.clear()
-            found = self.known[piece] = len(self.encoding.encode_ordinary(piece))
+                self.held = 0
+            if len(piece) <= 64:
+                self.known[piece] = found
+                self.held += len(piece)
         return found
 
     def leaves(self, text: str, start: int = 0) -> Iterator[tuple[int, int]]:
@@ -61,109 +74,228 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+Slot = tuple[str, list[int], list[int]]
+
+
+def slots_of(text: str, counts: Counter) -> list[Slot]:
+    """The slots (text, characters and tokens of each pre-token) of a new tree."""
+    leaves, out, at = list(counts.leaves(text)), [], 0
+    for i in range(0, len(leaves), BLOCK):
+        chars, tokens = (list(x) for x in zip(*leaves[i : i + BLOCK], strict=True))
+        out.append((text[at : at + sum(chars)], chars, tokens))
+        at += sum(chars)
+    return out
+
+
 class Tree:
-    """Segment tree over a text's pre-tokens: leaves in blocks, blocks with their sums of characters and tokens."""
+    """A segment tree over slots; ``opened`` reads slot i and is asked for touched slots only."""
+
+    def __init__(self, chars: np.ndarray, tokens: np.ndarray, leaves: np.ndarray, opened: Callable[[int], Slot], counts: Counter):
+        self.opened, self.counts, self.encoded = opened, counts, 0
+        self.slots: dict[int, Slot] = {}
+        self.n = len(chars)
+        self.base = 1 << max(0, self.n - 1).bit_length()
+        self.sums = np.zeros((2 * self.base, 3), np.int64)
+        self.sums[self.base : self.base + self.n] = np.stack([chars, tokens, leaves], axis=1)
+        at = self.base
+        while at > 1:
+            self.sums[at // 2 : at] = self.sums[at : 2 * at : 2] + self.sums[at + 1 : 2 * at : 2]
+            at //= 2
 
-    def __init__(self, text: str, counts: Counter):
-        self.text, self.counts = text, counts
-        leaves = list(counts.leaves(text))
-        self.blocks = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)] or [[]]
-        self.sums = [self._sum(b) for b in self.blocks]
-        self.encoded = 0
+    @classmethod
+    def of(cls, text: str, counts: Counter) -> Tree:
+        slots = slots_of(text, counts)
+        sizes = np.array([(sum(c), sum(n), len(c)) for _, c, n in slots], np.int64).reshape(-1, 3)
+        return cls(*sizes.T, slots.__getitem__, counts)
 
-    @staticmethod
-    def _sum(block: list[tuple[int, int]]) -> tuple[int, int]:
-        return sum(x for x, _ in block), sum(x for _, x in block)
+    @property
+    def n_chars(self) -> int:
+        return int(self.sums[1, 0])
 
     @property
     def n_tokens(self) -> int:
-        return sum(n for _, n in self.sums)
+        return int(self.sums[1, 1])
 
     @property
     def n_leaves(self) -> int:
-        return sum(map(len, self.blocks))
-
-    def _seek(self, at: int) -> tuple[int, int, int]:
-        """(block, leaf, start) of the first leaf that ends at or after ``at``; past the last leaf if none does."""
-        start = 0
-        for i, (chars, _) in enumerate(self.sums):
-            if start + chars >= at and self.blocks[i]:
-                for j, (n, _) in enumerate(self.blocks[i]):
-                    if start + n >= at:
-                        return i, j, start
-                    start += n
-            else:
-                start += chars
-        return len(self.blocks) - 1, len(self.blocks[-1]), start
+        return int(self.sums[1, 2])
+
+    def slot(self, i: int) -> Slot:
+        if i not in self.slots:
+            self.slots[i] = self.opened(i)
+        return self.slots[i]
+
+    @property
+    def text(self) -> str:
+        return "".join(self.slot(i)[0] for i in range(self.n))
+
+    def _seek(self, at: int) -> tuple[int, int]:
+        """(slot, its first character) of the first slot with characters that ends at or after ``at``; the last such slot if none does."""
+        node, start, at = 1, 0, max(1, min(at, self.n_chars))
+        while node < self.base:
+            node *= 2
+            if start + self.sums[node, 0] < at:
+                start += int(self.sums[node, 0])
+                node += 1
+        return node - self.base, start
+
+    def _put(self, i: int, slot: Slot) -> None:
+        """Replace slot i and add up the sums on its path to the root."""
+        self.slots[i] = slot
+        node = self.base + i
+        self.sums[node] = len(slot[0]), sum(slot[2]), len(slot[1])
+        while node > 1:
+            node //= 2
+            self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
 
     def edit(self, start: int, end: int, new: str) -> int:
-        """Replace text[start:end] by ``new``; returns the characters that were encoded again."""
-        start = max(0, min(start, len(self.text)))
-        end = max(start, min(end, len(self.text)))
-        text = self.text[:start] + new + self.text[end:]
+        """Replace characters [start, end) by ``new``; returns the characters that were encoded again."""
+        start = max(0, min(start, self.n_chars))
+        end = max(start, min(end, self.n_chars))
+        if not self.n_chars:
+            fresh = Tree.of(new, self.counts)
+            self.__dict__.update({**fresh.__dict__, "encoded": self.encoded + len(new)})
+            return len(new)
+        first, begin = self._seek(start - 1)
+        last, reach = first, begin + len(self.slot(first)[0])
         shift = len(new) - (end - start)
-        i, j, begin = self._seek(start - 1)
-        # old leaf ends from ``begin`` on, one at a time
-        oi, oj, old = i, j, begin
+        while True:
+            # slots first to last are open; the window ends at reach
+            while reach < end and last + 1 < self.n:
+                last += 1
+                reach += len(self.slot(last)[0])
+            done = self._resplit(first, last, begin, reach, start, end, new, shift)
+            if done is not None:
+                break
+            last += 1
+            reach += len(self.slot(last)[0])
+        slot, encoded = done
+        self._put(first, slot)
+        for i in range(first + 1, last + 1):
+            if self.sums[self.base + i, 0]:
+                self._put(i, ("", [], []))
+        self.encoded += encoded
+        if len(slot[1]) > GROWN * BLOCK or not self.n_chars:
+            self._cut_anew()
+        return encoded
+
+    def _resplit(self, first: int, last: int, begin: int, reach: int, start: int, end: int, new: str, shift: int) -> tuple[Slot, int] | None:
+        """The slot that the window's slots become after the edit, and the characters encoded; None if the window is too short to tell."""
+        old = [self.slot(i) for i in range(first, last + 1)]
+        text = "".join(x[0] for x in old)
+        chars, tokens = [c for x in old for c in x[1]], [n for x in old for n in x[2]]
+        text = text[: start - begin] + new + text[end - begin :]
+        ends_text = reach == self.n_chars
+        # pre-tokens that end before the character before the edit can't see it
+        keep, at = 0, 0
+        while keep < len(chars) and begin + at + chars[keep] < start - 1:
+            at += chars[keep]
+            keep += 1
+        where, j, place = at, keep, at
         made: list[tuple[int, int]] = []
-        at = begin
-        limit = start + len(new)
-        for chars, n in self.counts.leaves(text, begin):
-            while old + shift < at and oi < len(self.blocks):
-                if oj < len(self.blocks[oi]):
-                    old += self.blocks[oi][oj][0]
-                    oj += 1
-                else:
-                    oi, oj = oi + 1, 0
-            if at >= limit and old + shift == at and old >= end:
+        limit = start - begin + len(new)
+        for n, size in self.counts.leaves(text, at):
+            while place + shift < at and j < len(chars):
+                place += chars[j]
+                j += 1
+            if at >= limit and place + shift == at and begin + place >= end:
                 break
-            made.append((chars, n))
-            at += chars
+            if not ends_text and at + n > len(text) - SIGHT:
+                return None
+            made.append((n, size))
+            at += n
         else:
-            oi, oj = len(self.blocks), 0
-        self.text = text
-        head = self.blocks[i][:j]
-        tail = self.blocks[oi][oj:] if oi < len(self.blocks) else []
-        middle = head + made + tail
-        fresh = [middle[k : k + BLOCK] for k in range(0, len(middle), BLOCK)]
-        last = min(oi, len(self.blocks) - 1)
-        self.blocks[i : last + 1] = fresh
-        self.sums[i : last + 1] = [self._sum(b) for b in fresh]
-        if not self.blocks:
-            self.blocks, self.sums = [[]], [(0, 0)]
-        self.encoded += at - begin
-        return at - begin
+            if not ends_text:
+                return None
+            j = len(chars)
+        c = chars[:keep] + [n for n, _ in made] + chars[j:]
+        t = tokens[:keep] + [n for _, n in made] + tokens[j:]
+        return (text, c, t), at - where
+
+    def _cut_anew(self) -> None:
+        """New slots of BLOCK pre-tokens from those there are; nothing is encoded."""
+        slots = []
+        for i in range(self.n):
+            text, chars, tokens = self.slot(i)
+            at = 0
+            for k in range(0, len(chars), BLOCK):
+                size = sum(chars[k : k + BLOCK])
+                slots.append((text[at : at + size], chars[k : k + BLOCK], tokens[k : k + BLOCK]))
+                at += size
+        sizes = np.array([(sum(c), sum(n), len(c)) for _, c, n in slots], np.int64).reshape(-1, 3)
+        fresh = Tree(*sizes.T, slots.__getitem__, self.counts)
+        self.__dict__.update({**fresh.__dict__, "encoded": self.encoded})
 
 
 EDITS = "array<struct<start:bigint,end:bigint,text:string>>"
+SLOTS = "array<struct<text:string,chars:array<int>,tokens:array<int>,n_chars:bigint,n_tokens:bigint>>"
+_SLOT = pa.struct([("text", pa.string()), ("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32())), ("n_chars", pa.int64()), ("n_tokens", pa.int64())])
+
+
+def build(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """(id, ``keep``, n_tokens, slots): the tree of each row's text, to be stored as a table.
+
+    A null text is an empty text, which has no slots. Repeated rows and null
+    ids stay, other columns are left out, an empty table gives no rows. No shuffle.
+    """
+    path = path or vocabulary()
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(common.Names(df)("text")))
+    names = rows.columns[:-1]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = counter(path)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                trees = [slots_of(x.as_py() or "", counts) for x in part.column(part.num_columns - 1)]
+                slots = [{"text": t, "chars": c, "tokens": n, "n_chars": len(t), "n_tokens": sum(n)} for tree in trees for t, c, n in tree]
+                ends = np.cumsum([0, *map(len, trees)]).astype(np.int32)
+                total = [sum(sum(n) for _, _, n in tree) for tree in trees]
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(slots, _SLOT))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(total, pa.int64()), made], [*names, "n_tokens", "slots"])
+
+    return rows.mapInArrow(run, f"{schema}, n_tokens bigint, slots {SLOTS}")
+
+
+def stored_tree(slots: pa.ListArray, row: int, counts: Counter) -> Tree:
+    """The tree of a stored row; a slot's text and pre-tokens are read when an edit opens it."""
+    a, n = slots.offsets[row].as_py(), slots.offsets[row + 1].as_py()
+    mine = slots.values.slice(a, n - a)
+    chars, tokens = np.asarray(mine.field("n_chars")), np.asarray(mine.field("n_tokens"))
+    ends = np.asarray(mine.field("chars").offsets)[: n - a + 1] if n > a else np.zeros(1, np.int64)
+
+    def opened(i: int) -> Slot:
+        x = mine[i]
+        return x["text"].as_py(), x["chars"].as_py(), x["tokens"].as_py()
+
+    return Tree(chars, tokens, np.diff(ends), opened, counts)
 
 
-def count_edits(df: DataFrame, id_col: str, text_col: str, edits_col: str, path: str | None = None, check: Callable[[str], None] | None = None) -> DataFrame:
-    """(id, n_tokens, n_tokens_after, n_pretokens_after, n_chars_after, n_chars_encoded) of each row after its edits, in order.
+def apply_edits(trees: DataFrame, edits_col: str, path: str | None = None) -> DataFrame:
+    """(id, n_tokens, n_tokens_after, n_pretokens_after, n_chars_after, n_chars_encoded) of each stored tree (id, n_tokens, slots) after the row's edits, in order.
 
     ``edits`` are replacements [start, end) -> text in characters of the text
-    as it is then; ranges are cut to the text. Null texts are empty, null edits
-    none, a null in an edit makes it an empty text or position 0. n_tokens is
-    the count before. n_chars_encoded counts what the edits encoded again.
-    Repeated rows and null ids stay. No shuffle.
+    as it is then; ranges are cut to the text. Null edits are none, a null in an
+    edit makes it an empty text or position 0. n_tokens is the count before.
+    n_chars_encoded counts what the edits encoded again. Repeated rows and null
+    ids stay. No shuffle.
     """
     path = path or vocabulary()
-    kind = df.schema[id_col].dataType.simpleString()
-    out = pa.schema([("n_tokens", pa.int64()), ("n_tokens_after", pa.int64()), ("n_pretokens_after", pa.int64()), ("n_chars_after", pa.int64()), ("n_chars_encoded", pa.int64())])
+    rows = trees.select("id", "n_tokens", "slots", F.col(f"`{edits_col}`").cast(EDITS).alias("edits"))
+    names = ["n_tokens_after", "n_pretokens_after", "n_chars_after", "n_chars_encoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(path)
         for batch in batches:
-            rows = []
-            for text, edits in zip(batch.column(1), batch.column(2), strict=True):
-                tree = Tree(text.as_py() or "", counts)
-                before = tree.n_tokens
-                for e in edits.as_py() or []:
+            out = []
+            for row in range(batch.num_rows):
+                tree = stored_tree(batch.column(2), row, counts)
+                for e in batch.column(3)[row].as_py() or []:
                     if e is not None:
                         tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
-                rows.append((before, tree.n_tokens, tree.n_leaves, len(tree.text), tree.encoded))
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *out.names])
+                out.append((tree.n_tokens, tree.n_leaves, tree.n_chars, tree.encoded))
+            columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "n_tokens", *names])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(edits_col).cast(EDITS).alias("edits"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, n_tokens_after bigint, n_pretokens_after bigint, n_chars_after bigint, n_chars_encoded bigint")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens bigint, " + ", ".join(f"{n} bigint" for n in names))

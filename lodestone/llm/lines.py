@@ -32,8 +32,8 @@ def line_key(line: Column) -> Column:
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    parts = df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    parts = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     keyed = parts.select("doc", "th", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"), "doc", "th", "pos")
 
@@ -96,10 +96,10 @@ def _bitmaps(df: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs
     placed = lines.repartitionByRange(F.col("h1"), F.col("h2"), F.col("doc").desc_nulls_last()).sortWithinPartitions("h1", "h2", F.col("doc").desc_nulls_last(), "th", "pos")
     seen = common.stage(placed.mapInArrow(_stream(min_docs), "kind int, h1 bigint, h2 bigint, doc bigint, th bigint, pos bigint"), "runs")
     runs = seen.where("kind = 2").groupBy("h1", "h2").agg(F.sum("pos").alias("n"), F.max("doc").alias("largest")).where(F.col("n") >= min_docs).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "largest")
-    # a partition has two such parts at most, so the table is bounded by the partitions; lines of a common key stay where they are
-    cut = seen.where("kind = 1").join(F.broadcast(runs), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(~F.col("doc").eqNullSafe(F.col("largest")))
+    # a partition has two such parts at most: the table is small unless there are tens of thousands of partitions
+    cut = seen.where("kind = 1").join(common.small(common.stage(runs, "cut")), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(~F.col("doc").eqNullSafe(F.col("largest")))
     dropped = seen.where("kind = 0").select("doc", "th", "pos").unionByName(cut.select("doc", "th", "pos"))
-    return dropped.groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("pos")).select("__doc", "__th", F.size("pos").cast("long").alias("n_dropped"), _pack("pos").alias("keep_bitmap"))
+    return dropped.groupBy("doc", "th").agg(F.collect_set("pos").alias("pos")).select("doc", "th", F.size("pos").cast("long").alias("n_dropped"), _pack("pos").alias("keep_bitmap"))
 
 
 @F.arrow_udf(T.BinaryType())
@@ -125,31 +125,43 @@ def _apply(texts: pa.Array, bitmaps: pa.Array) -> pa.Array:
     return pa.array([kept_lines(t.as_py(), b.as_py()) if b.is_valid else None for t, b in zip(texts, bitmaps, strict=True)], pa.string())
 
 
+#: What ``keep_bitmaps`` adds.
+COLUMNS = ("n_lines", "n_dropped", "keep_bitmap")
+
+
 def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``df`` with n_lines, n_dropped and keep_bitmap (zlib; a bit for each line, null: all lines stay).
 
     Lines whose key has ``min_chars`` code points and occurs in ``min_docs``
     documents (distinct ids; a null id counts as one document before all
     others) are dropped except in the largest id that has them. A null or empty
-    text is one empty line. Repeated rows get equal bitmaps; other columns stay.
+    text is one empty line. Repeated rows get equal bitmaps; other columns
+    stay, but for those called like the three, which are replaced.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    maps = _bitmaps(df, id_col, text_col, min_chars, min_docs)
-    joined = df.join(maps, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__th")), "left").drop("__doc", "__th")
+    own = common.Names(df)
+    doc, th = own("doc"), own("th")
+    df = df.drop(*COLUMNS)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    maps = _bitmaps(df, id_col, text_col, min_chars, min_docs).withColumnsRenamed({"doc": doc, "th": th})
+    joined = df.join(maps, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(th)), "left").drop(doc, th)
     n_lines = (F.char_length(text) - F.char_length(F.translate(text, "\n", "")) + 1).cast("long")
     return joined.withColumns({"n_lines": n_lines, "n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long")})
 
 
 def kept_text(text_col: str = "text") -> Column:
     """The text that a row of ``keep_bitmaps`` keeps; rows that lose nothing do not go through Python's hands."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return F.coalesce(_apply(F.when(F.col("keep_bitmap").isNotNull(), text), F.col("keep_bitmap")), text)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """``df`` with the dropped lines taken out of its texts (null texts stay null) and ``length_col`` set to the new length."""
-    names = df.columns
-    done = keep_bitmaps(df, id_col, text_col).withColumn(text_col, F.when(F.col(text_col).isNotNull(), kept_text(text_col)))
-    if length_col:
-        done = done.withColumn(length_col, F.when(F.col("keep_bitmap").isNull(), F.col(length_col)).otherwise(F.char_length(text_col)).cast(df.schema[length_col].dataType))
-    return done.select(*[F.col(f"`{c}`") for c in names])
+    """``df`` with the dropped lines taken out of its texts (null texts stay null) and ``length_col`` set to the new length; columns may have any names."""
+    own = common.Names(df)
+    held = {c: own(c) for c in df.columns}
+    text, length = held[text_col], held.get(length_col)
+    done = keep_bitmaps(df.select(*[F.col(f"`{c}`").alias(n) for c, n in held.items()]), held[id_col], text)
+    done = done.withColumn(text, F.when(F.col(f"`{text}`").isNotNull(), kept_text(text)))
+    if length:
+        new = F.char_length(F.col(f"`{text}`")).cast(df.schema[length_col].dataType)
+        done = done.withColumn(length, F.when(F.col("keep_bitmap").isNull(), F.col(f"`{length}`")).otherwise(new))
+    return done.select(*[F.col(f"`{n}`").alias(c) for c, n in held.items()])

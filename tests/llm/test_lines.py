@@ -58,7 +58,7 @@ def test_rewritten_documents_keep_their_columns(spark):
     assert done.columns == df.columns and done.count() == df.count()
     for r in done.collect():
         assert r["n_chars"] == len(r["text"] or "")
-    assert done.where("text IS NULL").count() == 2
+    assert done.where("text IS NULL").count() == 2 and done.where("n_lines = 'own n_lines' AND keep_bitmap = 'own keep_bitmap'").count() == df.count()
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 

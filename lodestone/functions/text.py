@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,20 +128,29 @@ def duration_text(seconds: Column) -> Column:
     return F.concat_ws(" ", F.when(h > 0, F.concat(h.cast("string"), F.lit("h"))), F.when((h > 0) | (m > 0), F.concat(m.cast("string"), F.lit("m"))), s)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once for a row and not again at each place where ``body`` has it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(words: Column, n: int) -> Column:
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    """The runs of ``n`` words, joined by spaces."""
+
+    def runs(w: Column) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+
+    return bound(words, runs)
 
 
 def unsupported_claims(reasoning: Column, document: Column, n: int = 3) -> Column:
     """Sentences of ``reasoning`` with no ``n``-gram in the document (both as bare words)."""
-    bare = F.concat(F.lit(" "), alphanumeric(document), F.lit(" "))
 
-    def unseen(s: Column) -> Column:
+    def unseen(s: Column, bare: Column) -> Column:
         grams = ngrams(F.split(alphanumeric(s), " "), n)
         return (F.size(grams) > 0) & ~F.exists(grams, lambda g: F.contains(bare, F.concat(F.lit(" "), g, F.lit(" "))))
 
-    return F.filter(sentences(reasoning), unseen)
+    return bound(F.concat(F.lit(" "), alphanumeric(document), F.lit(" ")), lambda bare: F.filter(sentences(reasoning), lambda s: unseen(s, bare)))
 
 
 def term_overlap(terms: Column, document: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
+from lodestone.functions import text as X
 from lodestone.operators.windows import first_per
 
 # Labels of crypto layers, in the order that wins a tie.
@@ -61,6 +61,30 @@ def layer(document: Column, start: Column, reach: int = 120) -> Column:
     return out.otherwise("")
 
 
+#: First characters of code and comment lines, which end a heading (fixed values).
+CODE = ["#", "//", ";", "--", "/*", "*/", "http", "server", "{", "}"]
+
+
+def block_heading(document: Column, start: Column) -> Column:
+    """The plain lines at the top of the paragraph that holds character ``start``, joined by spaces.
+
+    A paragraph begins after an empty line. The heading ends at a line of code,
+    a ruler of dashes, or a line with a colon or an equals sign; empty if there
+    is none.
+    """
+    before = F.substring(document, F.lit(1), start)
+    paragraph = F.substring_index(before, "\n\n", -1)
+    lines = F.filter(F.transform(F.split(paragraph, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    ends = lambda x: F.exists(F.array(*[F.lit(c) for c in CODE]), lambda c: F.startswith(x, c)) | F.regexp_like(x, F.lit(r"^[-_=]{3,}$")) | F.contains(x, F.lit(":")) | F.contains(x, F.lit("="))
+
+    def upto(found: Column) -> Column:
+        stops = F.transform(found, ends)
+        at = F.array_position(stops, True)
+        return F.array_join(F.when(at == 0, found).otherwise(F.slice(found, F.lit(1), (at - 1).cast("int"))), " ")
+
+    return X.bound(lines, upto)
+
+
 def one_of_two(text: Column, a: str, b: str, name_a: str, name_b: str) -> Column:
     """``name_a`` if only pattern a is in the text, ``name_b`` if only b is, else empty."""
     has_a, has_b = text.rlike(a), text.rlike(b)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
 from lodestone.operators.windows import first_per
 
 
@@ -33,19 +34,40 @@ def cascade(df: DataFrame, steps: list[tuple[Column, DataFrame, str, str]], out:
     return df.withColumn(out, F.coalesce(*found)).drop(*[f"__v{i}" for i in range(len(steps))])
 
 
+#: Keywords that are looked for inside each row; more of them meet the texts' runs of words in a join.
+INLINE = 256
+
+
 def longest_keyword(df: DataFrame, id_col: str, text: str, keywords: DataFrame) -> DataFrame:
-    """(id, value): the value of the longest keyword that the text contains; ties by keyword, then value.
+    """(id, value, keyword): the value of the longest keyword that the text contains; ties by keyword, then value.
 
-    Keywords of one word meet the text's words in an equi-join; phrases meet it
-    by their first word, and are verified, so no pair of text and keyword is
-    formed without a shared word. Keywords match at word starts and ends.
+    Keywords match whole words. Up to INLINE of them are tested inside the row,
+    without a shuffle. Of a larger dictionary, a text gives its distinct runs of
+    as many words as keywords have, without the text itself, and these meet the
+    keywords in an equi-join: nothing is moved but ids of hits. Both give the
+    same rows.
     """
-    words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9]+", " ")), " "))
-    bare = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9]+", " ")), F.lit(" "))
-    left = df.select(F.col(id_col).alias("id"), bare.alias("__t"), F.explode(words).alias("__w"))
-    right = keywords.select(F.trim(F.regexp_replace(F.lower("keyword"), r"[^a-z0-9]+", " ")).alias("keyword"), "value").withColumn("__w", F.split("keyword", " ")[0])
-    hits = left.join(right, "__w").where(F.contains("__t", F.concat(F.lit(" "), F.col("keyword"), F.lit(" "))))
-    return first_per(hits, ["id"], [F.desc(F.char_length("keyword")), F.col("keyword"), F.col("value")]).select("id", "value", "keyword")
+
+    def bare(c: str) -> Column:
+        return F.trim(F.regexp_replace(F.lower(F.col(c)), r"[^a-z0-9]+", " "))
+
+    known = keywords.select(bare("keyword").alias("keyword"), "value").where("keyword <> ''").distinct()
+    few = known.limit(INLINE + 1).collect()
+    if not few:
+        return df.select(F.col(id_col).alias("id"), F.lit(None).cast(known.schema["value"].dataType).alias("value"), F.lit("").alias("keyword")).where(F.lit(False))
+    if len(few) <= INLINE:
+        # longest first, so the first hit counts
+        few.sort(key=lambda r: (-len(r["keyword"]), r["keyword"], r["value"]))
+        rows = F.array(*[F.struct(F.lit(r["value"]).alias("value"), F.lit(r["keyword"]).alias("keyword")) for r in few])
+        padded = F.concat(F.lit(" "), bare(text), F.lit(" "))
+        hit = T.bound(padded, lambda x: F.get(F.filter(rows, lambda k: F.contains(x, F.concat(F.lit(" "), k["keyword"], F.lit(" ")))), F.lit(0)))
+        return df.select(F.col(id_col).alias("id"), hit.alias("hit")).where("hit IS NOT NULL").select("id", "hit.value", "hit.keyword")
+    # the lengths of keywords, in words: a handful of numbers
+    lengths = sorted(r[0] for r in known.select(F.size(F.split("keyword", " "))).distinct().collect())
+    words = F.split(bare(text), " ")
+    runs = [F.array_distinct(T.ngrams(words, n) if n > 1 else words) for n in lengths]
+    left = df.select(F.col(id_col).alias("id"), F.explode(F.concat(*runs)).alias("keyword"))
+    return first_per(left.join(known, "keyword"), ["id"], [F.desc(F.char_length("keyword")), F.col("keyword"), F.col("value")]).select("id", "value", "keyword")
 
 
 def token_overlap(df: DataFrame, id_col: str, text: str, table: DataFrame, key: str, label: str, least: int = 2) -> DataFrame:
@@ -60,14 +82,20 @@ def token_overlap(df: DataFrame, id_col: str, text: str, table: DataFrame, key:
     return first_per(shared, ["id"], [F.desc("shared"), F.col("key")])
 
 
+#: Names of one upload list that citations are compared with one by one.
+UPLOADS = 10_000
+
+
 def containment(df: DataFrame, cited: str, names: DataFrame, name: str) -> DataFrame:
     """(cited, name): the exact name, else the longest name that contains the citation or lies in it.
 
-    ``names`` is one session's upload list; its size is checked before it is broadcast.
+    ``names`` is one session's upload list; more than UPLOADS of them raise ValueError.
     """
     a, b = F.lower(F.col("cited")), F.lower(F.col("name"))
     left, right = df.select(F.col(cited).alias("cited")).distinct(), names.select(F.col(name).alias("name")).distinct()
-    hits = left.join(right, (a == b) | F.contains(a, b) | F.contains(b, a))
+    if right.limit(UPLOADS + 1).count() > UPLOADS:
+        raise ValueError(f"an upload list has at most {UPLOADS} names")
+    hits = left.join(F.broadcast(right), (a == b) | F.contains(a, b) | F.contains(b, a))
     return first_per(hits, ["cited"], [F.desc(a == b), F.desc(F.char_length("name")), F.col("name")])
 
 
@@ -78,3 +106,23 @@ def first_source(frames: list[DataFrame], key: str) -> DataFrame:
         df = df.withColumn("__i", F.lit(i))
         both = df if both is None else both.unionByName(df)
     return first_per(both, [key], [F.col("__i")]).drop("__i")
+
+
+def similar_pairs(df: DataFrame, id_col: str, within: str, words: Column, least: float) -> DataFrame:
+    """(a, b): pairs of rows with one value of ``within`` whose word sets have a Jaccard similarity of ``least`` or more.
+
+    Two such sets share one of the first words of either in any order of words
+    (prefix filter; a hash is the order), and their sizes differ little. Ids and
+    sizes meet by these words; the sets are fetched for the pairs that are left.
+    """
+    sets = df.select(F.col(id_col).alias("id"), F.col(within).alias("g"), F.array_sort(F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))).alias("w"))
+    sets = sets.withColumn("n", F.size("w"))
+    first = (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")
+    keys = sets.select("id", "g", "n", F.explode(F.slice("w", F.lit(1), first)).alias("k"))
+    a, b = [keys.select(F.col("id").alias(x), "g", "k", F.col("n").alias(f"n{x}")) for x in ("a", "b")]
+    near = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
+    pairs = a.join(b, ["g", "k"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    sides = [sets.select(F.col("id").alias(x), F.col("w").alias(f"w{x}")) for x in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    shared = F.size(F.array_intersect("wa", "wb"))
+    return both.where(shared >= least * (F.size("wa") + F.size("wb") - shared)).select("a", "b")

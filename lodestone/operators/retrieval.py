@@ -55,14 +55,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     rows a task before anything is shuffled.
     """
     q = queries.select(F.col("query"), F.col("vector").alias("__q"))
-    scored = vectors.join(F.broadcast(q) if _small(q) else q, F.lit(True)).select("query", F.col(id_col).alias("id"), V.cosine(F.col(vector_col), F.col("__q")).alias("similarity"))
+    if q.limit(QUERIES + 1).count() > QUERIES:
+        raise ValueError(f"at most {QUERIES} queries are scored at once; pass them in blocks")
+    scored = vectors.join(F.broadcast(q), F.lit(True)).select("query", F.col(id_col).alias("id"), V.cosine(F.col(vector_col), F.col("__q")).alias("similarity"))
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _small(df: DataFrame, rows: int = 10_000) -> bool:
-    """Whether a query set has at most ``rows`` rows; counted, not guessed."""
-    return df.limit(rows + 1).count() <= rows
+#: Queries that ``nearest`` takes at once, which bounds what it broadcasts.
+QUERIES = 10_000
 
 
 def hybrid(keyword: Column, similarity: Column, query: str = "query", keyword_share: float = 0.4) -> Column:
@@ -103,12 +104,25 @@ def greedy_jaccard(df: DataFrame, key: str, rank: str, text: str, threshold: flo
     return df.join(best, [key, rank])
 
 
-def diversify(df: DataFrame, key: str, file: str, score: str, k: int, least: float = 0.15) -> DataFrame:
-    """The ``k`` best rows of each key; where fewer than k exist the best absent file's row above ``least`` joins them."""
-    order = Window.partitionBy(key).orderBy(F.desc(score), file)
-    ranked = df.withColumn("rank", F.row_number().over(order))
-    own = F.row_number().over(Window.partitionBy(key, file).orderBy(F.desc(score)))
-    return ranked.withColumn("__f", own).where((F.col("rank") <= k) | ((F.col("__f") == 1) & (F.col(score) > least) & (F.col("rank") <= k))).drop("__f")
+def diversify(kept: DataFrame, scored: DataFrame, key: str, file: str, content: str, score: str, k: int, order: list[Column], least: float = 0.15) -> DataFrame:
+    """The first ``k`` of each key's ranked list ``kept``, after absent files have been given a place.
+
+    A file of ``scored`` that is not among the first max(k, 5) of ``kept`` gets
+    its best row with a score above ``least`` whose content ``kept`` does not
+    have yet. These rows go in after the first k, in order of file, and the
+    list is cut to k: they show where a key has fewer than k rows of its own.
+    ``order`` ranks both frames, which have the same columns.
+    """
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    top = ranked.where(F.col("rank") <= max(k, 5)).select(key, file).distinct()
+    bare = F.trim(F.col(content))
+    known = kept.select(key, bare.alias("__c")).distinct()
+    fresh = scored.where(F.col(score) > least).join(top, [key, file], "left_anti").withColumn("__c", bare).join(known, [key, "__c"], "left_anti").drop("__c")
+    best = first_per(fresh, [key, file], order)
+    sizes = ranked.groupBy(key).agg(F.count("*").alias("__n"))
+    # only a key with rows of its own takes others in
+    late = best.join(sizes, key).where(F.col("__n") < k).withColumn("rank", (F.col("__n") + F.row_number().over(Window.partitionBy(key).orderBy(file))).cast("int")).drop("__n")
+    return ranked.where(F.col("rank") <= k).unionByName(late.where(F.col("rank") <= k))
 
 
 def within_context(df: DataFrame, key: str, order: list[Column], text: str, context: int, overhead: int) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import zipfile
 
 from pyspark.sql import functions as F
@@ -33,20 +32,13 @@ def j2(spark, d):
 def j12(spark, d):
     k = spark.createDataFrame([("A", "mit license"), ("B", "apache"), ("C", "token =")], "control string, keyword string")
     docs = table(spark, d, "documents").select(F.lower("text").alias("t"))
+    # three literal rows
     return docs.join(F.broadcast(k), F.contains("t", F.col("keyword"))).groupBy("control").agg(F.count("*").alias("n"))
 
 
-@query("j16_similar_pairs", "WITH w AS (SELECT doc_id, lang, list_distinct(string_split(text, ' ')) AS w FROM documents WHERE length(text) BETWEEN 50 AND 400) SELECT a.doc_id AS a, b.doc_id AS b FROM w a JOIN w b ON a.doc_id < b.doc_id AND a.lang = b.lang WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.97")
+@query("j16_similar_pairs", "WITH w AS (SELECT doc_id, lang, list_distinct(string_split(text, ' ')) AS w FROM documents) SELECT a.doc_id AS a, b.doc_id AS b FROM w a JOIN w b ON a.doc_id < b.doc_id AND a.lang = b.lang AND len(a.w) >= 0.97 * len(b.w) AND len(b.w) >= 0.97 * len(a.w) WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.97")
 def j16(spark, d):
-    """Pairs of short texts with a word Jaccard of 0.97: two such sets share one of the 3 percent rarest words of either (prefix filter)."""
-    x = table(spark, d, "documents").where(F.char_length("text").between(50, 400)).select("doc_id", "lang", F.array_distinct(F.split("text", " ")).alias("w"))
-    # any total order of words will do; a hash spreads them
-    ordered = F.array_sort(F.transform("w", lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t"))))
-    short = F.size("w") - F.ceil(F.size("w") * 0.97) + 1
-    keys = x.select("doc_id", "lang", "w", F.explode(F.slice(ordered, F.lit(1), short.cast("int"))).alias("k"))
-    a, b = keys.select(F.col("doc_id").alias("a"), "lang", F.col("w").alias("wa"), "k"), keys.select(F.col("doc_id").alias("b"), "lang", F.col("w").alias("wb"), "k")
-    pairs = a.join(b, ["lang", "k"]).where((F.col("a") < F.col("b")) & (R.jaccard(F.col("wa"), F.col("wb")) >= 0.97))
-    return pairs.select("a", "b").distinct()
+    return M.similar_pairs(table(spark, d, "documents"), "doc_id", "lang", F.split("text", " "), 0.97)
 
 
 @query("j18_category_similarity", "SELECT vec_id, label AS category FROM embeddings e WHERE list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) >= 0.1")
@@ -77,10 +69,25 @@ def r11(spark, d):
     return K.expand_context(x, "lang", "doc_id", "context").select("lang", "doc_id", F.md5("passage").alias("passage_md5"))
 
 
-@query("w9_file_diversity", "SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS n FROM events) WHERE n <= 10")
+#: The ranked list of an event type: its best event of each of the first six users by value; files are users, scores are values in hundredths.
+W9_SQL = """
+WITH scored AS (SELECT event_type, user_id AS file, event_id, event_type || ' ' || CAST(event_id AS VARCHAR) AS content, value / 100 AS score FROM events),
+best AS (SELECT *, row_number() OVER (PARTITION BY event_type, file ORDER BY score DESC, event_id) AS own FROM scored),
+kept AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, event_id) AS place FROM best WHERE own = 1 QUALIFY place <= 6),
+absent AS (SELECT event_type, file, event_id, row_number() OVER (PARTITION BY event_type ORDER BY file) AS nth FROM best b
+           WHERE score > 0.15 AND own = 1 AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.event_type = b.event_type AND k.file = b.file))
+SELECT event_type, file, event_id, CAST(place AS INT) AS rank FROM kept
+UNION ALL SELECT event_type, file, event_id, CAST(6 + nth AS INT) FROM absent WHERE nth <= 4
+"""
+
+
+@query("w9_file_diversity", W9_SQL)
 def w9(spark, d):
-    x = table(spark, d, "events").select("event_type", "event_id", "value")
-    return R.diversify(x, "event_type", "event_id", "value", 10).select("event_type", "event_id")
+    content = F.concat_ws(" ", "event_type", F.col("event_id").cast("string"))
+    scored = table(spark, d, "events").select("event_type", F.col("user_id").alias("file"), "event_id", content.alias("content"), (F.col("value") / 100).alias("score"))
+    order = [F.desc("score"), F.col("event_id")]
+    kept = W.first_per(W.first_per(scored, ["event_type", "file"], order), ["event_type"], order, 6)
+    return R.diversify(kept, scored, "event_type", "file", "content", "score", 10, order).select("event_type", "file", "event_id", "rank")
 
 
 DATES = Rows("t", "id int, claimed string, document string", [(1, "2024-03-05", "signed on 5 March 2024, page 05"), (2, "2023-01-01", "signed in 2024 on day 01"), (3, "12 May", "12 of May"), (4, None, "2024"), (5, "undated", "2024"), (6, "2024", "")])
@@ -255,8 +262,7 @@ def x2(spark, d):
 @query("x5_resume", "SELECT count(*) AS n FROM events")
 def x5(spark, d):
     """Checkpoint and resume: a second run of the same stream adds nothing."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/")
-    home = f"{shared}/resume-{spark.sparkContext.applicationId}-{id(object())}"
+    home = C.new_folder(spark, "resume")
     for _ in range(2):
         C.sink_batches(C.event_stream(spark, d), f"{home}/out", f"{home}/at").awaitTermination()
     return spark.read.parquet(f"{home}/out").agg(F.count("*").alias("n"))
@@ -264,8 +270,7 @@ def x5(spark, d):
 
 @query("x8_dirty_tables", "SELECT * FROM (VALUES ('nation', 25), ('region', 5)) AS t(name, n)")
 def x8(spark, d):
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/")
-    done = S.replicate({n: table(spark, d, n) for n in ("nation", "region", "part")}, {"nation", "region"}, [f"{shared}/replica"])
+    done = S.replicate({n: table(spark, d, n) for n in ("nation", "region", "part")}, {"nation", "region"}, [C.new_folder(spark, "replica")])
     counts = [spark.read.parquet(p).select(F.lit(p.rsplit("/", 1)[1][:-8]).alias("name")) for p in done]
     return counts[0].unionByName(counts[1]).groupBy("name").agg(F.count("*").alias("n"))
 

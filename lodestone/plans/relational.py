@@ -55,25 +55,26 @@ def f6(spark, d):
     return table(spark, d, "customer").withColumn("deleted", F.col("c_acctbal") < 0).where(~F.col("deleted")).select("c_custkey", "c_name")
 
 
-@query("f7_first_long_text", "SELECT doc_id, CASE WHEN length(trim(lang)) > 5 THEN lang WHEN length(trim(source)) > 5 THEN source WHEN length(trim(substr(text, 1, 40))) > 5 THEN substr(text, 1, 40) END AS label FROM documents")
+@query("f7_first_long_text", "SELECT doc_id, CASE WHEN length(trim(lang)) > 5 THEN lang WHEN length(trim(source)) > 5 THEN source WHEN length(trim(text)) > 5 THEN text END AS label FROM documents")
 def f7(spark, d):
-    return table(spark, d, "documents").select("doc_id", P.first_long(F.col("lang"), F.col("source"), F.substring("text", 1, 40)).alias("label"))
+    return table(spark, d, "documents").select("doc_id", P.first_long(F.col("lang"), F.col("source"), F.col("text")).alias("label"))
 
 
-@query("f8_whole_word", r"SELECT doc_id, regexp_matches(lower(text), '\blicense\b') AS has_license, regexp_matches(lower(text), '\btoken\b') AS has_token FROM documents WHERE lang = 'en'")
+@query("f8_whole_word", r"SELECT doc_id, regexp_matches(lower(text), '\blicense\b') AS has_license, regexp_matches(lower(text), '\btoken\b') AS has_token FROM documents")
 def f8(spark, d):
     x = F.lower(F.col("text"))
-    return table(spark, d, "documents").where(F.col("lang") == "en").select("doc_id", P.has_word(x, "license").alias("has_license"), P.has_word(x, "token:").alias("has_token"))
+    return table(spark, d, "documents").select("doc_id", P.has_word(x, "license").alias("has_license"), P.has_word(x, "token:").alias("has_token"))
 
 
 KEYWORDS = [("K1", "the"), ("K2", "license"), ("K3", "mit"), ("K4", "general public"), ("K5", "token")]
-KEYWORDS_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in KEYWORDS) + ") AS k(control, keyword)"
 
 
-@query("f9_short_or_substring", rf"SELECT k.control, count(*) AS n_docs FROM documents d JOIN {KEYWORDS_SQL} ON CASE WHEN length(keyword) <= 4 THEN regexp_matches(lower(text), '\b' || keyword || '\b') ELSE contains(lower(text), keyword) END WHERE lang = 'en' GROUP BY 1")
+@query("f9_short_or_substring")
 def f9(spark, d):
+    """Over texts in all languages; SQL's regular expressions see word borders beside letters outside ASCII differently, so tests compare with brute force."""
     words = spark.createDataFrame(KEYWORDS, "control string, keyword string")
-    docs = table(spark, d, "documents").where("lang = 'en'").select(F.lower("text").alias("t"))
+    docs = table(spark, d, "documents").select(F.lower("text").alias("t"))
+    # five literal rows
     return docs.join(F.broadcast(words), P.keyword_hit(F.col("t"), F.col("keyword"))).groupBy("control").agg(F.count("*").alias("n_docs"))
 
 
@@ -190,10 +191,10 @@ def j13(spark, d):
     return M.longest_keyword(table(spark, d, "documents"), "doc_id", "text", words)
 
 
-@query("j14_token_overlap", "WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' ')) AS word FROM part), k AS (SELECT DISTINCT p_brand AS key, unnest(string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' ')) AS word FROM part WHERE p_partkey <= 25), s AS (SELECT id, key, count(*) AS shared FROM w JOIN k USING (word) WHERE length(word) > 3 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, key) AS n FROM s) SELECT id, key, shared FROM r WHERE n = 1 AND shared >= 1")
+@query("j14_token_overlap", "WITH w AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' ')) AS word FROM part), k AS (SELECT DISTINCT p_brand AS key, unnest(string_split(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'), ' ')) AS word FROM part), s AS (SELECT id, key, count(*) AS shared FROM w JOIN k USING (word) WHERE length(word) > 3 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, key) AS n FROM s) SELECT id, key, shared FROM r WHERE n = 1 AND shared >= 1")
 def j14(spark, d):
     p = table(spark, d, "part")
-    brands = p.where("p_partkey <= 25").groupBy("p_brand").agg(F.concat_ws(" ", F.collect_list("p_name")).alias("label"))
+    brands = p.groupBy("p_brand").agg(F.concat_ws(" ", F.collect_list("p_name")).alias("label"))
     return M.token_overlap(p, "p_partkey", "p_name", brands, "p_brand", "label", least=1)
 
 

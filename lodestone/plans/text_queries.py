@@ -42,9 +42,9 @@ def a18(spark, d):
     return table(spark, d, "documents").agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean_length"), F.sum(n.cast("long")).alias("total"))
 
 
-@query("r2_term_counts", r"SELECT doc_id, len(regexp_extract_all(lower(text), '\blicense\b')) * 2.0::DOUBLE + len(regexp_extract_all(lower(text), '\btoken\b')) AS score FROM documents WHERE lang = 'en'")
+@query("r2_term_counts", r"SELECT doc_id, len(regexp_extract_all(lower(text), '\blicense\b')) * 2.0::DOUBLE + len(regexp_extract_all(lower(text), '\btoken\b')) AS score FROM documents")
 def r2(spark, d):
-    x = table(spark, d, "documents").where("lang = 'en'")
+    x = table(spark, d, "documents")
     return x.select("doc_id", R.term_counts(x, [("license", 2.0), ("token", 1.0)]).alias("score"))
 
 
@@ -151,9 +151,9 @@ def t7(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2(T.strip_markup(F.col("html")), 256).alias("text_sha256"))
 
 
-@query("t10_normalisers", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS bare FROM documents WHERE lang = 'en'")
+@query("t10_normalisers", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS bare FROM documents")
 def t10(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(T.alphanumeric(F.col("text"))).alias("bare"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.alphanumeric(F.col("text"))).alias("bare"))
 
 
 QUOTES = Rows("q", "id int, quote string, document string", [(1, "Backups are enabled", "all backups ARE enabled. yes"), (2, "\"Backups are enabled\"", "backups are enabled"), (3, "NOT_FOUND", "NOT_FOUND"), (4, None, "x"), (5, "nothing here", "other text"), (6, "   ", "abc")])
@@ -255,12 +255,12 @@ def t28(spark, d):
     return x.groupBy("p_brand", F.col("w.word").alias("word")).agg(F.max("w.weight").alias("weight"))
 
 
-@query("s6_row_windows", "WITH x AS (SELECT source, text[1:20] AS line, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents), e AS (SELECT source, max(n) AS last FROM x GROUP BY 1), w AS (SELECT e.source, last, unnest(range(0, last // 12 + 1)) AS win FROM e) SELECT w.source, win AS window, string_agg(line, chr(10) ORDER BY n) AS content FROM w JOIN x ON w.source = x.source AND n BETWEEN win * 12 AND win * 12 + 14 WHERE win = 0 OR (win - 1) * 12 + 14 < last GROUP BY 1, 2")
+@query("s6_row_windows", "WITH x AS (SELECT source, text AS line, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents), e AS (SELECT source, max(n) AS last FROM x GROUP BY 1), w AS (SELECT e.source, last, unnest(range(0, last // 12 + 1)) AS win FROM e) SELECT w.source, win AS window, md5(string_agg(line, chr(10) ORDER BY n)) AS content_md5 FROM w JOIN x ON w.source = x.source AND n BETWEEN win * 12 AND win * 12 + 14 WHERE win = 0 OR (win - 1) * 12 + 14 < last GROUP BY 1, 2")
 def s6(spark, d):
     """Row windows of a CSV: 15 rows, 3 of them shared with the next window."""
     n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    x = table(spark, d, "documents").select("source", F.substring("text", 1, 20).alias("line"), n.alias("n"))
-    return W.row_windows(x, "source", "n", 15, 3, "line", "content")
+    x = table(spark, d, "documents").select("source", F.col("text").alias("line"), n.alias("n"))
+    return W.row_windows(x, "source", "n", 15, 3, "line", "content").withColumn("content_md5", F.md5("content")).drop("content")
 
 
 @query("t1_char_chunks")

@@ -6,10 +6,14 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lodestone.operators.windows import first_per
 
@@ -77,25 +81,99 @@ def _bomb(column: str) -> Column:
     return check(F.col(column))
 
 
-def expand_archives(files: DataFrame, suffixes: tuple[str, ...] = (".txt", ".csv", ".json", ".xml", ".html", ".log")) -> DataFrame:
-    """(path, member, content) of the members with a supported suffix; nested archives expand too. Bad archives give no rows."""
+def read_table(spark: SparkSession, url: str, table: str, column: str, bounds: tuple[int, int], parts: int, **options: str) -> DataFrame:
+    """A table of a relational database, read in ``parts`` ranges of a whole-number column; filters and columns are pushed down."""
+    return spark.read.jdbc(url, table, column=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts, properties=options)
 
-    def members(data: bytes, prefix: str = "", depth: int = 0) -> Iterator[tuple[str, bytes]]:
+
+def create_tables(spark: SparkSession, tables: dict[str, str]) -> None:
+    """Create the tables (name to columns in SQL) that aren't there yet."""
+    for name, columns in tables.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
+
+
+#: Limits of generic XML: children of the root, of other elements, characters of a text.
+ROOT_CHILDREN, CHILDREN, TEXT = 200, 50, 300
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def xml_lines(contents: pa.Array) -> pa.Array:
+    """The elements below the root as lines, two spaces a level: ``tag [attributes]: text``; null if it is no XML."""
+
+    def lines(content: str) -> list[str] | None:
+        try:
+            root = ElementTree.fromstring(content)
+        except ElementTree.ParseError:
+            return None
+        out = []
+        # the elements still to come, last first
+        todo = [(x, 0) for x in reversed(root[:ROOT_CHILDREN])]
+        while todo:
+            x, depth = todo.pop()
+            todo += [(c, depth + 1) for c in reversed(x[:CHILDREN])]
+            attributes = " ".join(f'{k}="{v}"' for k, v in x.attrib.items())
+            name = x.tag.rsplit("}", 1)[-1] + (f" [{attributes}]" if attributes else "")
+            text = (x.text or "").strip()[:TEXT]
+            if text or attributes:
+                out.append("  " * depth + name + (f": {text}" if text else ""))
+        return out
+
+    return pa.array([lines(x.as_py()) if x.is_valid else None for x in contents], pa.list_(pa.string()))
+
+
+#: Elements whose contents are no text, and elements that begin and end a block (fixed values).
+HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<svg\b.*?</svg\s*>"
+BLOCK = r"(?i)<(/?)(h[1-6]|p|div|tr|li|pre|code)\b[^>]*>"
+SECTION = "HTML Content"
+
+
+def html_paragraphs(df: DataFrame, id_col: str, html: str, words: int = 3) -> DataFrame:
+    """(id, place, section, paragraph): the text blocks of pages under their last heading; headings and preformatted text of any length, others of ``words`` words."""
+    marked = F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BLOCK, "\x01$1$2\x02")
+    pieces = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(marked, "\x01")).alias("place", "piece"))
+    tag = F.lower(F.regexp_extract("piece", "^([^\x02]*)\x02", 1))
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("piece", "^[^\x02]*\x02", ""), "<[^>]*>", ""), r"\s+", " "))
+    rows = pieces.select("id", "place", tag.alias("tag"), text.alias("paragraph")).where("paragraph <> ''")
+    heading = F.regexp_like("tag", F.lit("^h[1-6]$"))
+    rows = rows.where(heading | F.col("tag").isin("pre", "code") | (F.size(F.split("paragraph", " ")) >= words))
+    last = F.last(F.when(heading, F.col("paragraph")), ignorenulls=True).over(Window.partitionBy("id").orderBy("place"))
+    return rows.select("id", "place", F.coalesce(last, F.lit(SECTION)).alias("section"), "paragraph")
+
+
+def expand_archives(files: DataFrame, suffixes: tuple[str, ...] = (".txt", ".csv", ".json", ".xml", ".html", ".log"), deepest: int = 3) -> DataFrame:
+    """(path, member, content, reason) of the members with a supported suffix; nested archives expand too.
+
+    An archive that is broken, or nested deeper than ``deepest``, gives one row
+    without content that says so; members with other suffixes give none.
+    """
+
+    def members(data: bytes, prefix: str = "", depth: int = 0) -> Iterator[tuple[str, bytes | None, str | None]]:
         try:
             archive = zipfile.ZipFile(io.BytesIO(data))
+            entries = archive.infolist()
         except zipfile.BadZipFile:
+            yield prefix.rstrip("/"), None, "BAD_ARCHIVE"
             return
-        for e in archive.infolist():
-            if e.filename.lower().endswith(".zip") and depth < 3:
-                yield from members(archive.read(e), f"{prefix}{e.filename}/", depth + 1)
-            elif e.filename.lower().endswith(suffixes):
-                yield prefix + e.filename, archive.read(e)
+        for e in entries:
+            name, nested = prefix + e.filename, e.filename.lower().endswith(".zip")
+            if nested and depth >= deepest:
+                yield name, None, "TOO_DEEP"
+            elif nested or e.filename.lower().endswith(suffixes):
+                try:
+                    content = archive.read(e)
+                except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
+                    yield name, None, "BAD_MEMBER"
+                    continue
+                if nested:
+                    yield from members(content, f"{name}/", depth + 1)
+                else:
+                    yield name, content, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([(p, m, c) for p, data in zip(pdf["path"], pdf["content"], strict=True) for m, c in members(data or b"")], columns=["path", "member", "content"])
+            yield pd.DataFrame([(p, *m) for p, data in zip(pdf["path"], pdf["content"], strict=True) for m in members(data or b"")], columns=["path", "member", "content", "reason"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, member string, content binary")
+    return files.select("path", "content").mapInPandas(run, "path string, member string, content binary, reason string")
 
 
 def flatten_json(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

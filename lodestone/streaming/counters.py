@@ -8,10 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_trigger: int = 1) -> DataFrame:
-    """The events of a folder as a stream of files; ``ts`` is a timestamp."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", name).parquet(folder)
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("spark.checkpoint.dir must name the folder that driver and executors share")
+    return f"{shared.rstrip('/')}/lodestone/{label}-{uuid.uuid4().hex}"
+
+
+def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_trigger: int | None = None) -> DataFrame:
+    """The events of a table, one file or a folder of part files, as a stream; ``ts`` is a timestamp.
+
+    A replay takes all there is in one micro-batch, so a watermark that one
+    file moves on makes no row of another late. ``files_per_trigger`` is for
+    files that arrive in the order of their times.
+    """
+    path = f"{folder}/{name}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    # as a pattern, the path may be a file or a folder
+    raw = reader.parquet(f"{path[:-1]}[{path[-1]}]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -41,11 +58,19 @@ def retained(events: DataFrame, as_of: str, days: int = 90) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what there is now, into a memory table, and return that table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what there is now and return its result, which executors write to the shared folder.
+
+    In complete mode the last micro-batch is the result; in append mode all are.
+    """
+    spark = stream.sparkSession
+    home = new_folder(spark, "stream")
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{home}/out" if mode == "complete" else f"{home}/out/batch={batch}")
+
+    run = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{home}/at").trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{home}/out")
 
 
 def sink_batches(stream: DataFrame, path: str, checkpoint: str):

@@ -1,5 +1,6 @@
 """Operators against plain Python, and their edge cases."""
 
+import difflib
 import io
 import random
 import re
@@ -12,13 +13,17 @@ from lodestone.functions import predicates as P
 from lodestone.functions import rules as R
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
+from lodestone.operators import leaks as L
 from lodestone.operators import matching as M
 from lodestone.operators import retrieval as RT
 from lodestone.operators import windows as W
 from lodestone.sources import files as S
 from lodestone.sources import scanners as X
+from lodestone.plans import registry
 from lodestone.streaming import counters as C
 
+from .compare import DATA
+
 
 def values(df, *names):
     return [tuple(r[n] for n in names) for r in df.collect()]
@@ -167,8 +172,10 @@ def test_archives_flatten_and_guard(spark):
         z.writestr("big.txt", "0" * 5_000_000)
     rows = [("p/a.zip", outer.getvalue()), ("p/bad.zip", b"PK\x03\x04junk"), ("p/b.zip", bomb.getvalue()), ("p/c.pdf", b"%PDF-1.4"), ("p/d.pdf", b"nope"), ("p/e.txt", b""), ("p/f.docx", b"PK\x03\x04..vbaProject.bin")]
     df = spark.createDataFrame(rows, "path string, content binary")
-    got = values(S.expand_archives(df.where("path LIKE '%a.zip' OR path LIKE '%bad.zip'")), "member", "content")
-    assert sorted((m, bytes(c)) for m, c in got) == [("in.zip/deep.csv", b"a,b"), ("x.txt", b"hello")]
+    got = values(S.expand_archives(df.where("path LIKE '%a.zip' OR path LIKE '%bad.zip'")), "member", "content", "reason")
+    assert sorted((m, c and bytes(c), why) for m, c, why in got) == [("", None, "BAD_ARCHIVE"), ("in.zip/deep.csv", b"a,b", None), ("x.txt", b"hello", None)]
+    shallow = values(S.expand_archives(df.where("path LIKE '%a.zip'"), deepest=0), "member", "reason")
+    assert sorted(shallow) == [("in.zip", "TOO_DEEP"), ("x.txt", None)]
     assert dict(values(S.guard_uploads(df), "path", "verdict")) == {"p/a.zip": "OK", "p/bad.zip": "ZIP_BOMB", "p/b.zip": "ZIP_BOMB", "p/c.pdf": "OK", "p/d.pdf": "KIND_MISMATCH", "p/e.txt": "EMPTY", "p/f.docx": "MACRO"}
 
 
@@ -194,3 +201,76 @@ def test_stream_sink_restarts_without_repeats(spark, tmp_path):
     for _ in range(2):
         C.sink_batches(C.event_stream(spark, DATA), out, at).awaitTermination()
     assert spark.read.parquet(out).count() == spark.read.parquet(f"{DATA}/events.parquet").count()
+
+
+def test_prompt_leaks_against_the_rules_one_by_one(spark):
+    rnd = random.Random(6)
+    words = "access review monthly board policy record backup server owner approves daily weekly".split()
+    hints = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 14)))) for i in range(25)]
+    hints += [(90, None), (91, ""), (92, '"Access Review Monthly Board"')]
+    rows = [(1, None), (2, ""), (3, "see Law 7 of it"), (4, "law 11 does not count"), (5, "The Decision Tree says so"), (6, "“access review monthly board”")]
+    for i, h in hints[:25]:
+        changed = h.split()
+        changed[rnd.randrange(len(changed))] = "other"
+        rows += [(100 + i, h.upper()), (200 + i, f"before {h} after"), (300 + i, " ".join(changed)), (400 + i, " ".join(rnd.choice(words) for _ in range(9)))]
+    clean = lambda x: re.sub(r"\s*[\"'“”]*\s*$", "", re.sub(r"^\s*[\"'“”]*\s*", "", x)).lower()
+    expected = []
+    for i, e in rows:
+        e = clean(e or "")
+        if not e:
+            continue
+        if any(p in e for p in L.PHRASES) or re.search(L.LAW, e):
+            expected.append((i, "PHRASE", None))
+        for n, h in hints:
+            h = clean(h or "")
+            if len(h) >= 15 and h in e:
+                expected.append((i, "CONTAINED", n))
+            elif len(h) >= 15 and difflib.SequenceMatcher(None, h, e).ratio() >= 0.75:
+                # found by a shared run of two words
+                pairs = lambda x: set(zip(re.findall(r"\w+", x), re.findall(r"\w+", x)[1:]))
+                if pairs(h) & pairs(e):
+                    expected.append((i, "NEAR", n))
+    got = L.prompt_leaks(spark.createDataFrame(rows, "id int, quote string"), spark.createDataFrame(hints, "item int, text string"), ["id"], "quote", "item", "text")
+    assert sorted(map(repr, values(got, "id", "rule", "hint"))) == sorted(map(repr, expected))
+    assert {r for _, r, _ in expected} == {"PHRASE", "CONTAINED", "NEAR"}
+
+
+def test_short_and_long_keyword_lists_agree(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = "red green blue dark light sky sea".split()
+    texts = spark.createDataFrame([(i, ", ".join(rnd.choice(words) for _ in range(rnd.randint(0, 12)))) for i in range(80)] + [(99, None)], "id int, text string")
+    known = spark.createDataFrame([("A", "Red"), ("B", "dark green"), ("C", "light-blue sky"), ("D", "sea"), ("E", "dark Green"), ("F", " ")], "value string, keyword string")
+    inside = sorted(values(M.longest_keyword(texts, "id", "text", known), "id", "value", "keyword"))
+    monkeypatch.setattr(M, "INLINE", 2)
+    assert sorted(values(M.longest_keyword(texts, "id", "text", known), "id", "value", "keyword")) == inside
+    assert len(inside) > 40 and {v for _, v, _ in inside} >= {"A", "B", "D"}
+
+
+def test_absent_files_join_short_lists_only(spark):
+    cols = "q int, file string, content string, score double"
+    scored = spark.createDataFrame([(1, "a", "x", 0.9), (1, "b", "y", 0.8), (1, "c", "z", 0.5), (1, "c", "zz", 0.6), (1, "d", "w", 0.1), (1, "e", " x ", 0.7), (2, "a", "x", 0.9), (2, "f", "v", 0.9)], cols)
+    kept = scored.where("q = 1 AND file IN ('a', 'b')")
+    order = [F.desc("score"), F.col("content")]
+    got = lambda k: sorted((r["q"], r["rank"], r["file"], r["content"]) for r in RT.diversify(kept, scored, "q", "file", "content", "score", k, order).collect())
+    # d scores too little, e repeats a content, query 2 has no rows of its own
+    assert got(4) == [(1, 1, "a", "x"), (1, 2, "b", "y"), (1, 3, "c", "zz")]
+    assert got(2) == [(1, 1, "a", "x"), (1, 2, "b", "y")]
+
+
+def test_keywords_over_all_languages_by_brute_force(spark):
+    from lodestone.plans.relational import KEYWORDS
+
+    docs = [r[0] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    hit = lambda k, t: bool(re.search(rf"\b{k}\b", t.lower())) if len(k) <= 4 else k in t.lower()
+    expected = {c: n for c, k in KEYWORDS if (n := sum(hit(k, t) for t in docs))}
+    assert dict(values(registry.queries()["f9_short_or_substring"](spark, DATA), "control", "n_docs")) == expected
+
+
+def test_streams_read_files_and_folders_of_parts(spark, tmp_path):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    events.repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    totals = lambda d: sorted(values(C.drain(C.session_counters(C.event_stream(spark, d))), "user_id", "n"))
+    assert totals(str(tmp_path)) == totals(DATA) and sum(n for _, n in totals(DATA)) == events.count()
+    # part files in any order: no row is late in a replay
+    seen = C.drain(C.first_seen(C.event_stream(spark, str(tmp_path)), "1 minute"), "append")
+    assert seen.count() == events.select("event_id").distinct().count()

@@ -60,7 +60,15 @@ def stage(df: DataFrame, label: str, path: str | None = None, codec: str = "snap
     spark = df.sparkSession
     path = path or new_path(spark, label)
     df.write.mode("overwrite").option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: what was made from them has been staged itself."""
+    for df in staged:
+        remove(df.sparkSession, df.staged_at)
 
 
 #: Rows of a staged table that is broadcast.

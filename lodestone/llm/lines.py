@@ -91,10 +91,12 @@ def _stream(min_docs: int):
 
 
 def _bitmaps(df: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    lines = _lines(df, id_col, text_col, min_chars)
+    # dealing by ranges looks at its rows twice: keys are staged, so that texts are split once
+    lines = common.stage(_lines(df, id_col, text_col, min_chars), "keys")
     # ranges of (hash, document): one document's lines of a key stay together
     placed = lines.repartitionByRange(F.col("h1"), F.col("h2"), F.col("doc").desc_nulls_last()).sortWithinPartitions("h1", "h2", F.col("doc").desc_nulls_last(), "th", "pos")
     seen = common.stage(placed.mapInArrow(_stream(min_docs), "kind int, h1 bigint, h2 bigint, doc bigint, th bigint, pos bigint"), "runs")
+    common.drop(lines)
     runs = seen.where("kind = 2").groupBy("h1", "h2").agg(F.sum("pos").alias("n"), F.max("doc").alias("largest")).where(F.col("n") >= min_docs).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "largest")
     # a partition has two such parts at most: the table is small unless there are tens of thousands of partitions
     cut = seen.where("kind = 1").join(common.small(common.stage(runs, "cut")), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).where(~F.col("doc").eqNullSafe(F.col("largest")))

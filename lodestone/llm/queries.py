@@ -176,10 +176,15 @@ FROM drawn
 
 OP7_SQL = """
 WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-places AS (SELECT doc_id, h, unnest(range(1, CAST(length(h) AS BIGINT) - 198, 2)) AS p FROM docs),
+chunks AS (
+  SELECT doc_id, c, substr(h, 1000 * c + 1, 1198) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 1000 + 1 AS BIGINT))) AS c FROM docs)),
+places AS (
+  SELECT doc_id, 1000 * c + p AS p, hash(substr(s, p, 200)) AS k
+  FROM (SELECT doc_id, c, s, unnest(range(1, least(1001, CAST(length(s) AS BIGINT) - 198), 2)) AS p FROM chunks)),
 marked AS (
   SELECT doc_id, p FROM (
-    SELECT doc_id, p, row_number() OVER (PARTITION BY substr(h, p, 200) ORDER BY doc_id, p) AS nth FROM places)
+    SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM places)
   WHERE nth > 1),
 opened AS (
   SELECT doc_id, p, CASE WHEN p <= lag(p) OVER w + 200 THEN 0 ELSE 1 END AS opens

@@ -1,17 +1,21 @@
-"""Suffix dedup: passages of THRESHOLD bytes that occur earlier are removed, found by depth-limited radix passes.
+"""Suffix dedup: passages of THRESHOLD bytes that occur earlier are removed, found by a depth-limited radix sort.
 
 Every byte position with THRESHOLD bytes left in its document is a suffix, and
-only its first THRESHOLD bytes count. Suffixes are not sorted one by one: a run
-of neighbouring suffixes shares one *pivot*, the gram of GRAM bytes with the
-least hash in their first THRESHOLD bytes, and equal suffixes have equal pivots
-at equal offsets. Most significant digit first:
-
-1. runs are dealt and sorted by their pivot's hash, then by a digest of all bytes
-   that the run's suffixes cover. Runs equal to an earlier run repeat it whole.
-   Pivots that occur in one run only, or in equal runs only, are finished.
-2. the other runs (one of each digest) fetch their bytes, meet again by pivot,
-   and their suffixes are compared at full depth. Pivots with very many
-   different runs are dealt once more by the suffixes' own digests.
+only its first THRESHOLD bytes count. A row for each suffix would be many times
+the text, so a bucket pass comes first: a run of neighbouring suffixes shares
+one *pivot*, the gram of GRAM bytes with the least hash in their first THRESHOLD
+bytes, and equal suffixes have equal pivots at equal offsets.
+
+1. Bucket pass: runs are dealt and sorted by their pivot's hash, then by a digest
+   of all bytes that the run's suffixes cover. Runs equal to an earlier run
+   repeat it whole. Pivots that occur in one run only, or in equal runs only,
+   are finished: their suffixes are singletons, or marked.
+2. The other runs (one of each digest) fetch their bytes and meet again by pivot.
+   Their suffixes are radix sorted from the most significant digit, DIGIT bytes
+   a pass: each pass orders the groups of the one before and drops singletons,
+   and the last ends at THRESHOLD bytes.
+3. Pivots with more than DENSE different runs are counted beforehand and never
+   meet in one task: their suffixes are dealt by digests of all THRESHOLD bytes.
 
 Equal groups are exactly the repeated windows; all but a group's first
 suffix are marked, and marked bytes are removed from the documents.
@@ -37,8 +41,12 @@ THRESHOLD = 100
 GRAM = 32
 #: Bytes of text that are worked on at once.
 CHUNK = 3 << 20
-#: Different runs of one pivot that are compared in memory.
-DENSE = 4096
+#: Bytes of a digit.
+DIGIT = 8
+#: Different runs of one pivot that are sorted in one task.
+DENSE = 1024
+#: Suffixes that are sorted at once.
+SORTED = 50_000
 #: A null id sorts before all others.
 NO_ID = -(1 << 63)
 
@@ -195,7 +203,7 @@ def _unpack(at: int) -> tuple[int, int]:
     return (at >> _LEN) & ((1 << _POS) - 1), at & ((1 << _LEN) - 1)
 
 
-_BYTES = pa.schema([("pivot", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("content", pa.binary())])
+_BYTES = pa.schema([("pivot", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("content", pa.binary()), ("heavy", pa.bool_())])
 
 
 def _fetch(threshold: int):
@@ -208,63 +216,78 @@ def _fetch(threshold: int):
                     text = unzip.decompress(packed)
                     for x in asked:
                         start, n = _unpack(x["at"])
-                        rows.append((x["pivot"], doc, x["at"], text[start : start + n - 1 + threshold]))
+                        rows.append((x["pivot"], doc, x["at"], text[start : start + n - 1 + threshold], x["heavy"]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BYTES, strict=True)], schema=_BYTES)
 
     return run
 
 
-_MARKS = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("pivot", pa.int64()), ("content", pa.binary())])
+_MARKS = pa.schema([("doc", pa.int64()), ("at", pa.int64())])
 
 
-def _marks(doc: int, at: int, places: list[int]) -> Iterator[tuple]:
-    """Repeated suffixes of a run as runs again (at most 127 suffixes fit in one)."""
-    start, _ = _unpack(at)
-    tag = at >> (_POS + _LEN)
-    i = 0
-    while i < len(places):
-        j = i
-        while j + 1 < len(places) and places[j + 1] == places[j] + 1:
-            j += 1
-        yield doc, (tag << (_POS + _LEN)) | ((start + places[i]) << _LEN) | (j - i + 1), None, None
-        i = j + 1
+def equal_groups(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, groups): the rows of a byte matrix that equal another row, by radix passes from the most significant digit.
+
+    Groups are numbered in the order of their bytes. A pass orders the rows that
+    are left by group and digit; rows alone in their new group leave.
+    """
+    n, depth = windows.shape
+    padded = np.zeros((n, -(-depth // DIGIT) * DIGIT), np.uint8)
+    padded[:, :depth] = windows
+    digits = padded.view(">u8")
+    rows, group = np.arange(n), np.zeros(n, np.int64)
+    for d in range(digits.shape[1]):
+        digit = digits[rows, d].astype(np.uint64)
+        order = np.lexsort((digit, group))
+        rows, digit, group = rows[order], digit[order], group[order]
+        opens = np.concatenate(([True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1]))) if len(rows) else np.zeros(0, bool)
+        group = np.cumsum(opens) - 1
+        many = np.bincount(group)[group] > 1 if len(rows) else opens
+        rows, group = rows[many], group[many]
+    return rows, group
 
 
 def _second_pass(threshold: int):
-    """Runs sorted by (pivot, doc, at) with their bytes: suffixes at full depth. Rows of dense pivots pass through with their bytes."""
-
-    def settle(rows: list[tuple]) -> Iterator[tuple]:
-        seen: dict[bytes, tuple[int, int]] = {}
-        for doc, at, content in rows:
-            start, n = _unpack(at)
-            tag = at >> (_POS + _LEN)
-            found = []
-            for p in range(n):
-                me = (doc, (tag << _POS) | (start + p))
-                if seen.setdefault(content[p : p + threshold], me) != me:
-                    found.append(p)
-            yield from _marks(doc, at, found)
+    """Runs (pivot, doc, at, content) sorted by pivot to the marks of repeated suffixes, as runs again."""
+
+    def settle(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        contents = b"".join(c for _, _, c in rows)
+        sizes = np.array([len(c) for _, _, c in rows])
+        starts = np.cumsum(sizes) - sizes
+        own = np.repeat(np.arange(len(rows)), sizes - threshold + 1)
+        place = np.arange(len(own)) - np.repeat(np.cumsum(sizes - threshold + 1) - (sizes - threshold + 1), sizes - threshold + 1)
+        windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(contents, np.uint8), threshold)[starts[own] + place]
+        found, group = equal_groups(windows)
+        if not len(found):
+            return
+        doc, at = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        # a suffix's place in its text, above it the text's tag
+        where = ((at[own[found]] >> (_POS + _LEN)) << _POS) | (((at[own[found]] >> _LEN) & ((1 << _POS) - 1)) + place[found])
+        order = np.lexsort((where, doc[own[found]], group))
+        found, group, where = found[order], group[order], where[order]
+        lead = np.maximum.accumulate(np.where(np.concatenate(([True], group[1:] != group[:-1])), np.arange(len(group)), 0))
+        # rows that repeat the first suffix itself are the same suffix
+        later = (where != where[lead]) | (doc[own[found]] != doc[own[found[lead]]])
+        marked = np.sort(found[later])
+        for i in np.split(marked, np.flatnonzero(np.diff(marked) != 1) + 1):
+            for r in np.unique(own[i]).tolist():
+                yield from _marks(rows[r][0], rows[r][1], place[i[own[i] == r]].tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, rows, dense, out = None, [], False, []
+        here, rows, size = None, [], 0
         for batch in batches:
+            out: list[tuple[int, int]] = []
             for pivot, doc, at, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if pivot != here:
+                if pivot != here and size > SORTED:
                     out += settle(rows)
-                    here, rows, dense = pivot, [], False
-                if dense:
-                    out.append((doc, at, pivot, content))
-                else:
-                    rows.append((doc, at, content))
-                    if len(rows) > DENSE:
-                        out += [(a, b, pivot, c) for a, b, c in rows]
-                        rows, dense = [], True
-                if len(out) > 20_000:
-                    yield pack(out)
-                    out = []
-        out += settle(rows)
-        if out:
+                    rows, size = [], 0
+                here = pivot
+                rows.append((doc, at, content))
+                size += len(content) - threshold + 1
+            if out:
+                yield pack(out)
+        if rows and (out := list(settle(rows))):
             yield pack(out)
 
     def pack(out: list[tuple]) -> pa.RecordBatch:
@@ -273,6 +296,19 @@ def _second_pass(threshold: int):
     return run
 
 
+def _marks(doc: int, at: int, places: list[int]) -> Iterator[tuple[int, int]]:
+    """Repeated suffixes of a run as runs again (no more suffixes than the run has, so their number fits)."""
+    start, _ = _unpack(at)
+    tag = at >> (_POS + _LEN)
+    i = 0
+    while i < len(places):
+        j = i
+        while j + 1 < len(places) and places[j + 1] == places[j] + 1:
+            j += 1
+        yield doc, (tag << (_POS + _LEN)) | ((start + places[i]) << _LEN) | (j - i + 1)
+        i = j + 1
+
+
 _ONE = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())])
 
 
@@ -305,19 +341,28 @@ def _zip(texts: pa.Array) -> pa.Array:
 
 def repeated_runs(df: DataFrame, id_col: str, text_col: str, threshold: int = THRESHOLD) -> DataFrame:
     """(doc, at): runs of suffixes that occur earlier; ``at`` packs the text's tag, the first suffix and their number."""
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    # a run has threshold - GRAM + 1 suffixes at most, and their number has _LEN bits
+    if not GRAM < threshold < GRAM + (1 << _LEN) - 1:
+        raise ValueError(f"the threshold must be between {GRAM + 1} and {GRAM + (1 << _LEN) - 2} bytes")
+    doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     docs = df.select(doc.alias("doc"), _tag(text).alias("tag"), text.alias("text"))
     runs = docs.mapInArrow(_find(threshold, GRAM), _RUN + ", first boolean").repartition("pivot").sortWithinPartitions("pivot", "digest", "doc", "at")
     seen = common.stage(runs.mapInArrow(_first_pass, "doc bigint, at bigint, pivot bigint, marked boolean"), "runs")
-    asked = seen.where("NOT marked").groupBy("doc", F.shiftright("at", _POS + _LEN).alias("tag")).agg(F.collect_list(F.struct("at", "pivot")).alias("asked"))
+    left = seen.where("NOT marked")
+    heavy = common.stage(left.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("pivot", F.lit(True).alias("heavy")), "heavy")
+    left = left.join(common.small(heavy), "pivot", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
+    asked = left.groupBy("doc", F.shiftright("at", _POS + _LEN).alias("tag")).agg(F.collect_list(F.struct("at", "pivot", "heavy")).alias("asked"))
     wanted = _packed(df, id_col, text_col).join(asked, ["doc", "tag"]).select("doc", "packed", "asked")
-    fetched = wanted.mapInArrow(_fetch(threshold), "pivot bigint, doc bigint, at bigint, content binary").repartition("pivot").sortWithinPartitions("pivot", "doc", "at")
-    second = common.stage(fetched.mapInArrow(_second_pass(threshold), "doc bigint, at bigint, pivot bigint, content binary"), "marks")
-    marked = seen.where("marked").select("doc", "at").unionByName(second.where("pivot IS NULL").select("doc", "at"))
-    dense = second.where("pivot IS NOT NULL").select("doc", "at", "content")
-    if not dense.isEmpty():
-        single = common.stage(dense.mapInArrow(_expand(threshold), "h1 bigint, h2 bigint, doc bigint, at bigint"), "suffixes")
+    fetched = wanted.mapInArrow(_fetch(threshold), "pivot bigint, doc bigint, at bigint, content binary, heavy boolean")
+    dense = not heavy.isEmpty()
+    if dense:
+        fetched = common.stage(fetched, "fetched")
+    light = fetched.where("NOT heavy").select("pivot", "doc", "at", "content").repartition("pivot").sortWithinPartitions("pivot", "doc", "at")
+    marked = seen.where("marked").select("doc", "at").unionByName(light.mapInArrow(_second_pass(threshold), "doc bigint, at bigint"))
+    if dense:
+        single = common.stage(fetched.where("heavy").select("doc", "at", "content").mapInArrow(_expand(threshold), "h1 bigint, h2 bigint, doc bigint, at bigint"), "suffixes")
+        common.drop(heavy)
         least = single.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("least"), F.count("*").alias("n")).where("n > 1")
         later = single.join(least, ["h1", "h2"]).where(F.struct("doc", "at") != F.col("least"))
         marked = marked.unionByName(later.select("doc", "at")).unionByName(single.where("h1 IS NULL").select("doc", "at"))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def expected(rows, threshold):
     return sorted((-1 << 62 if i is None else i, *found[-1 << 62 if i is None else i, t or ""]) for i, t in rows)
 
 
-@pytest.mark.parametrize("dense", [4096, 2])
+@pytest.mark.parametrize("dense", [1024, 2])
 def test_awkward_documents(spark, monkeypatch, dense):
     monkeypatch.setattr(suffixes, "DENSE", dense)
     # texts of one id have no order by contract, so null ids keep one text here
@@ -62,3 +63,25 @@ def test_random_copies_and_small_chunks(spark, monkeypatch, threshold, chunk):
 
 def test_empty_table(spark):
     assert run(spark, [], 100) == []
+
+
+def test_equal_groups_are_the_repeated_rows():
+    rng = np.random.default_rng(3)
+    for depth in (1, 8, 33, 100):
+        rows = rng.integers(97, 100, (300, depth)).astype(np.uint8)
+        rows[rng.integers(0, 300, 150)] = rows[rng.integers(0, 300, 150)]
+        found, group = suffixes.equal_groups(rows)
+        places = {}
+        for i, r in enumerate(rows):
+            places.setdefault(r.tobytes(), []).append(i)
+        # in the order of their bytes
+        wanted = [sorted(v) for _, v in sorted(places.items()) if len(v) > 1]
+        assert [sorted(found[group == g].tolist()) for g in dict.fromkeys(group.tolist())] == wanted
+    assert [len(x) for x in suffixes.equal_groups(np.zeros((0, 100), np.uint8))] == [0, 0]
+
+
+def test_thresholds_that_runs_cannot_hold_are_refused(spark):
+    for threshold in (32, 159):
+        with pytest.raises(ValueError):
+            run(spark, [(1, "x")], threshold)
+    assert run(spark, [(1, "ab" * 300), (2, "ab" * 300)], 158) == expected([(1, "ab" * 300), (2, "ab" * 300)], 158)

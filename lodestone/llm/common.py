@@ -16,13 +16,18 @@ from pyspark.sql.window import Window
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where a session on this machine alone names no shared folder, as in tests.
 OWN_FOLDER = "file:///tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER).rstrip("/") + "/lodestone"
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``; without it, a cluster raises ValueError."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name the folder that driver and executors share")
+        shared = OWN_FOLDER
+    return shared.rstrip("/") + "/lodestone"
 
 
 def _fs(spark: SparkSession, path: str):

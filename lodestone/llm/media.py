@@ -14,6 +14,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,10 +101,13 @@ def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path:
 def tracks(data: bytes | memoryview) -> list[dict]:
     """Per track: codec, timescale, duration (ticks), sample count, and the byte range of each sync sample.
 
-    Sample tables only; without ``stss`` every sample is a sync sample.
+    Sample tables only; without ``stss`` every sample is a sync sample. Tables
+    that contradict each other, and fragmented files, raise ValueError.
     """
     found: list[dict] = []
     for path, a, z in walk(data):
+        if path[0] == b"moof":
+            raise ValueError("fragmented files keep their samples outside the movie box")
         if path[-1] == b"trak":
             found.append({})
         elif found and path[:2] == (b"moov", b"trak"):
@@ -119,33 +123,45 @@ def _track(data: bytes | memoryview, boxes: dict[bytes, tuple[int, int]]) -> dic
         n = (z - a - skip) // width
         return struct.unpack_from(f">{n}{'Q' if width == 8 else 'I'}", data, a + skip)
 
-    codec, timescale, duration = "", 0, 0
+    codec, timescale, declared = "", 0, 0
     if b"mdhd" in boxes:
         a, _ = boxes[b"mdhd"]
-        timescale, duration = struct.unpack_from(">IQ", data, a + 20) if data[a] else struct.unpack_from(">II", data, a + 12)
+        timescale, declared = struct.unpack_from(">IQ", data, a + 20) if data[a] else struct.unpack_from(">II", data, a + 12)
     if b"stsd" in boxes:
         codec = bytes(data[boxes[b"stsd"][0] + 12 : boxes[b"stsd"][0] + 16]).decode("latin-1").strip()
     fixed, count = (*ints(b"stsz", 4)[:2], 0, 0)[:2]
-    sizes = () if fixed else ints(b"stsz", 12)[:count]
-    chunks = ints(b"stco", 8) or ints(b"co64", 8, 8)
-    flat = ints(b"stsc", 8)
-    runs = [(flat[i], flat[i + 1]) for i in range(0, len(flat), 3)]
-    sync = set(ints(b"stss", 8)) if b"stss" in boxes else None
-    keys: list[tuple[int, int]] = []
-    sample = 0
-    for i, (begin, each) in enumerate(runs):
-        until = runs[i + 1][0] if i + 1 < len(runs) else len(chunks) + 1
-        for chunk in range(begin, until):
-            at = chunks[chunk - 1]
-            for _ in range(each):
-                size = fixed or sizes[sample]
-                sample += 1
-                if sync is None or sample in sync:
-                    keys.append((at, size))
-                at += size
+    sizes = np.full(count, fixed, np.int64) if fixed else np.array(ints(b"stsz", 12)[:count], np.int64)
+    if b"stz2" in boxes:
+        sizes = _compact_sizes(data, *boxes[b"stz2"])
+        count = len(sizes)
+    # (samples, ticks each): the sum is the media's duration, also where the header leaves it open
+    times = np.array(ints(b"stts", 8)[: 2 * (len(ints(b"stts", 8)) // 2)], np.int64).reshape(-1, 2)
+    duration = int((times[:, 0] * times[:, 1]).sum()) or declared
+    chunks = np.array(ints(b"stco", 8) or ints(b"co64", 8, 8), np.int64)
+    runs = np.array(ints(b"stsc", 8), np.int64).reshape(-1, 3)
+    until = np.append(runs[1:, 0], len(chunks) + 1)
+    each = np.repeat(runs[:, 1], until - runs[:, 0])
+    if each.sum() != count or len(each) != len(chunks):
+        raise ValueError("the chunks do not hold the samples")
+    # a sample begins where its chunk does, behind the samples of the chunk before it
+    ends = np.cumsum(sizes)
+    first = np.cumsum(each) - each
+    before = np.concatenate(([0], ends))[first]
+    starts = ends - sizes + np.repeat(chunks - before, each)
+    picked = np.arange(count) if b"stss" not in boxes else np.array(ints(b"stss", 8), np.int64) - 1
+    keys = list(zip(starts[picked].tolist(), sizes[picked].tolist(), strict=True))
     return {"codec": codec, "timescale": timescale, "duration": duration, "n_samples": count, "keyframes": keys}
 
 
+def _compact_sizes(data: bytes | memoryview, a: int, z: int) -> np.ndarray:
+    """The sizes of a ``stz2`` box, of 4, 8 or 16 bits."""
+    width, count = data[a + 7], struct.unpack_from(">I", data, a + 8)[0]
+    raw = np.frombuffer(data[a + 12 : z], ">u2" if width == 16 else np.uint8)
+    if width == 4:
+        raw = np.stack([raw >> 4, raw & 15], axis=1).ravel()
+    return raw[:count].astype(np.int64)
+
+
 def payload_of(data: bytes) -> bytes:
     """The bytes of the ``mdat`` boxes, in order."""
     return b"".join(data[a:z] for path, a, z in walk(data) if path == (b"mdat",))
@@ -213,7 +229,8 @@ def digest(stored: DataFrame, content: str = "content", keep: tuple[str, ...] =
     """What the stored bytes say when read back: payload and file digests, codec, duration, sync sample ranges.
 
     ``feature`` is a canonical line of the track's metadata, equal for equal
-    contents. Null contents give null values.
+    contents. Null contents give null values; contents that are no valid
+    container give their own size and digest, and nulls for the rest.
     """
     names = list(keep)
     kinds = pa.schema([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("codec", pa.string()), ("duration", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])))])
@@ -221,15 +238,18 @@ def digest(stored: DataFrame, content: str = "content", keep: tuple[str, ...] =
     def one(data: bytes | None) -> dict:
         if data is None:
             return {}
-        payload, track = payload_of(data), tracks(data)[0]
+        whole = {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
+        try:
+            payload, track = payload_of(data), tracks(data)[0]
+        except (ValueError, struct.error, IndexError):
+            return whole
         keys = track["keyframes"]
         spans = hashlib.sha256(b"".join(struct.pack("<qq", *k) for k in keys)).hexdigest()
         return {
             "payload_bytes": len(payload),
             "payload_sha256": hashlib.sha256(payload).hexdigest(),
             "tail_crc32": zlib.crc32(payload[-FRAME:]),
-            "media_bytes": len(data),
-            "media_sha256": hashlib.sha256(data).hexdigest(),
+            **whole,
             "feature": f"codec={track['codec']};timescale={track['timescale']};duration={track['duration']};samples={track['n_samples']};keyframes={len(keys)};spans={spans}",
             "codec": track["codec"],
             "duration": track["duration"],

@@ -15,8 +15,8 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-#: Words that a worker remembers, in two generations.
-REMEMBERED = 250_000
+#: Words that a worker remembers, in two generations, and the longest of them in characters: memory is bounded by their product.
+REMEMBERED, LONGEST = 250_000, 64
 #: Bytes of an id: little-endian unsigned 32-bit.
 WIDTH = 4
 
@@ -56,7 +56,8 @@ class WordEncoder:
             found = np.array([x.id for x in self.model.tokenize(spelled)], "<u4").tobytes()
             if len(self.parts) >= REMEMBERED:
                 self.parts.clear()
-            self.parts[part] = found
+            if len(part) <= LONGEST:
+                self.parts[part] = found
         return found
 
     def _word(self, word: str) -> bytes:
@@ -68,7 +69,8 @@ class WordEncoder:
                 found = b"".join(map(self._part, self.SPLIT.findall("".join(_lower(c) for c in unicodedata.normalize("NFC", word)) if not word.isascii() else word.lower())))
         if len(self.words) >= REMEMBERED:
             self.older, self.words = self.words, {}
-        self.words[word] = found
+        if len(word) <= LONGEST:
+            self.words[word] = found
         return found
 
     def encode(self, text: str) -> bytes:

@@ -3,6 +3,8 @@ import random
 import struct
 import zlib
 
+import pytest
+
 from lodestone.llm import media
 
 from . import data
@@ -61,3 +63,21 @@ def test_container_metadata_keeps_bad_rows(spark):
     got = {r["id"]: r for r in media.container_metadata(df, "content", ["id"]).collect()}
     assert got[1]["track_no"] == 0 and got[1]["codec"] == "raw" and len(got[1]["keyframes"]) == 5
     assert all(got[i]["track_no"] is None for i in (2, 3, 4))
+
+
+def test_durations_small_sizes_and_fragments():
+    stbl = media._box(b"stbl", media._full(b"stts", struct.pack(">IIIII", 2, 2, 10, 1, 7)), media._full(b"stz2", struct.pack(">IIBB", 4, 3, 0x5B, 0x20)), media._full(b"stsc", struct.pack(">IIII", 1, 1, 3, 1)), media._full(b"stco", struct.pack(">II", 1, 900)), media._full(b"stss", struct.pack(">III", 2, 1, 3)))
+    file = media._box(b"moov", media._box(b"trak", media._box(b"mdia", media._box(b"minf", stbl))))
+    (track,) = media.tracks(file)
+    # two samples of 10 ticks and one of 7; sizes of four bits: 5, 11, 2
+    assert (track["duration"], track["n_samples"], track["keyframes"]) == (27, 3, [(900, 5), (916, 2)])
+    for bad in (file + media._box(b"moof", b""), file.replace(struct.pack(">II", 1, 900), struct.pack(">II", 1, 900)[:8]).replace(struct.pack(">IIII", 1, 1, 3, 1), struct.pack(">IIII", 1, 1, 2, 1))):
+        with pytest.raises(ValueError):
+            media.tracks(bad)
+
+
+def test_digest_survives_bad_files(spark):
+    df = spark.createDataFrame([(1, 1, media.mux(media.pad(b"a"))), (2, 1, None), (3, 5, b"junk!"), (4, 0, b""), (5, 9, media.mux(media.pad(b"a"))[:-9])], "id int, n_bytes int, content binary")
+    got = {r["id"]: r for r in media.digest(df).collect()}
+    assert got[1]["payload_bytes"] == 64 and all(got[i]["payload_sha256"] is None for i in (2, 3, 4, 5))
+    assert (got[3]["media_bytes"], got[3]["media_sha256"]) == (5, hashlib.sha256(b"junk!").hexdigest()) and got[2]["media_bytes"] is None

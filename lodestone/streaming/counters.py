@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Used only where a session on this machine alone names no shared folder, as in tests.
+OWN_FOLDER = "file:///tmp/checkpoints"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share."""
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; without it, a cluster raises ValueError."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        raise ValueError("spark.checkpoint.dir must name the folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name the folder that driver and executors share")
+        shared = OWN_FOLDER
     return f"{shared.rstrip('/')}/lodestone/{label}-{uuid.uuid4().hex}"
 
 

@@ -34,6 +34,7 @@ def best_window_ratio(quotes: pa.Array, texts: pa.Array) -> pa.Array:
         match.set_seq2(" ".join(words))
         best = 0.0
         for i in range(len(held) - n + 1):
+            # the ratio's upper bounds come first: lengths, then letters
             match.set_seq1(" ".join(held[i : i + n]))
             if match.real_quick_ratio() > best and match.quick_ratio() > best:
                 best = max(best, match.ratio())

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,43 +63,70 @@ def attempts_within(df: DataFrame, key: str, seconds: Column, span: int, out: st
     return df.withColumn(out, F.count("*").over(w))
 
 
+def _judged(df: DataFrame, key: str, order: list[str], begin: Callable[[], Callable[..., bool]], columns: list[str], out: str) -> DataFrame:
+    """``df`` with the verdict ``out`` of a judge that sees each key's rows in order.
+
+    ``begin`` makes a key's judge, which takes the values of ``columns``. Sorted
+    partitions are streamed, so a task holds one batch and one judge's state,
+    however many rows a key has.
+    """
+    names = df.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: object = begin
+        judge = begin()
+        for batch in batches:
+            verdicts = []
+            for k, *values in zip(*[batch.column(names.index(c)).to_pylist() for c in (key, *columns)], strict=True):
+                if k != here:
+                    here, judge = k, begin()
+                verdicts.append(judge(*values))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdicts, pa.bool_())], [*names, out])
+
+    rows = df.repartition(key).sortWithinPartitions(key, *order)
+    return rows.mapInArrow(run, f"{schema}, `{out}` boolean")
+
+
 def rate_limited(df: DataFrame, key: str, order: str, seconds: str, limit: int, span: int) -> DataFrame:
     """``df`` with ``accepted``: fewer than ``limit`` accepted rows in the ``span`` seconds before; refused rows don't count.
 
-    Sequential within a key, so each key is one group.
+    Sequential within a key; what is remembered of it is at most ``limit`` times.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([seconds, order], kind="stable")
-        taken: list[float] = []
-        out = []
-        for at in pdf[seconds]:
-            taken = [t for t in taken if at - t < span]
-            out.append(len(taken) < limit)
-            if out[-1]:
+    def begin() -> Callable[[float], bool]:
+        taken: deque[float] = deque()
+
+        def judge(at: float) -> bool:
+            while taken and at - taken[0] >= span:
+                taken.popleft()
+            if len(taken) < limit:
                 taken.append(at)
-        return pdf.assign(accepted=out)
+                return True
+            return False
+
+        return judge
 
-    return df.groupBy(key).applyInPandas(run, schema + ", accepted boolean")
+    return _judged(df, key, [seconds, order], begin, [seconds], "accepted")
 
 
 def free_spans(df: DataFrame, key: str, priority: str, start: str, end: str) -> DataFrame:
-    """Spans in (priority, start) order that overlap no span taken before; one document is one group."""
-    schema = df.schema
+    """Spans in (priority, start) order that overlap no span of the key taken before; a span meets its two neighbours only."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([priority, start, end], kind="stable")
+    def begin() -> Callable[[int, int], bool]:
         taken: list[tuple[int, int]] = []
-        keep = []
-        for a, z in zip(pdf[start], pdf[end], strict=True):
-            free = all(a >= e or z <= s for s, e in taken)
-            keep.append(free)
-            if free:
-                taken.append((a, z))
-        return pdf[keep]
-
-    return df.groupBy(key).applyInPandas(run, schema)
+
+        def judge(a: int, z: int) -> bool:
+            i = bisect.bisect_right(taken, (a, float("inf")))
+            if (i and taken[i - 1][1] > a and taken[i - 1][0] < z) or (i < len(taken) and taken[i][0] < z):
+                return False
+            bisect.insort(taken, (a, z))
+            return True
+
+        return judge
+
+    judged = _judged(df, key, [priority, start, end], begin, [start, end], "__free")
+    return judged.where("__free").drop("__free")
 
 
 def row_windows(df: DataFrame, key: str, number: str, size: int, overlap: int, line: str, out: str) -> DataFrame:

@@ -6,6 +6,7 @@ returns rows of one schema, ``FINDING``.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -242,8 +243,10 @@ def crypto_findings(files: DataFrame) -> DataFrame:
                 taken: list[tuple[int, int]] = []
                 for i, name, pattern, status, category, severity in rules:
                     for m in pattern.finditer(content or ""):
-                        if all(m.start() >= z or m.end() <= a for a, z in taken):
-                            taken.append(m.span())
+                        # spans taken are apart, so only the neighbours can overlap
+                        at = bisect.bisect(taken, m.span())
+                        if (at == 0 or taken[at - 1][1] <= m.start()) and (at == len(taken) or taken[at][0] >= m.end()):
+                            taken.insert(at, m.span())
                             out.append((file, i, m.start(), m.end(), name, m.group(), status, category, severity))
             yield pd.DataFrame(out, columns=["file", "priority", "start", "end", "rule", "found", "status", "category", "severity"])
 

@@ -29,9 +29,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", text_c
     the mean idf of all terms.
     """
     tf = term_frequencies(chunks, id_col, text_col)
-    tokens = chunks.select(F.size(T.ranking_tokens(F.col(text_col))).alias("len"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # every use keeps all columns of tf, so that one exchange serves them and texts are split once;
+    # the frequencies of a chunk's terms add up to its length
+    total = tf.agg(F.sum("tf").alias("total"))
+    stats = chunks.agg(F.count("*").alias("n")).join(F.broadcast(total), F.lit(True)).select("n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("mean"))
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     # one row of statistics, so the join is a broadcast of one row
     idf = df.join(F.broadcast(stats), F.lit(True)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))

@@ -303,7 +303,9 @@ def fit(rows: DataFrame, floors: dict[str, float] = FLOORS, prior: float = PRIOR
     out = out.unionByName(_drawn(groups, parents, of, p, prior))
     floor = [floors[a] ** 2 for a in names]
     cells = {(i, j): F.greatest(F.col("s")[i * p + i], F.lit(floor[i])) if i == j else F.col("s")[i * p + j] for i in range(p) for j in range(i + 1)}
-    return common.stage(_factored(out, cells, ["level", "k", "n", "share", "c", "s"]).drop("det", "s"), "model")
+    done = common.stage(_factored(out, cells, ["level", "k", "n", "share", "c", "s"]).drop("det", "s"), "model")
+    common.drop(both)
+    return done
 
 
 def _grouped(df: DataFrame, lang_col: str, source_col: str, prefix: str) -> DataFrame:

@@ -289,12 +289,11 @@ def _profile(hashes: np.ndarray) -> np.ndarray:
     return 2 * bits - len(hashes)
 
 
-_PRINTS = pa.schema([("node", pa.int64()), ("wide", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_PRINTS = pa.schema([("node", pa.int64()), ("wide", pa.binary()), ("unsure", pa.binary())])
 
 
 def _wide(words: int):
-    """Rows (id, text, th) to (id, th, node, wide fingerprint, keys). A key is a segment with its FLIPS bits nearest to a tie set in one of all ways."""
-    flips = np.array([[i >> b & 1 for b in range(FLIPS)] for i in range(1 << FLIPS)], np.uint64)
+    """Rows (id, text, th) to (id, th, node, wide fingerprint, unsure): a byte for each of the FLIPS bits of each segment that are nearest to a tie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -303,21 +302,32 @@ def _wide(words: int):
                 part = batch.slice(lo, 500)
                 wide = np.stack([_profile(shingle_hashes(x.as_py(), words, known)) for x in part.column(1)])
                 packed = np.packbits(wide > 0, axis=1, bitorder="little")
-                cut = wide.reshape(len(wide), WIDE // SEGMENT, SEGMENT)
-                own = packed.reshape(len(wide), WIDE // SEGMENT, SEGMENT // 8).copy().view("<u4")[:, :, 0].astype(np.uint64)
-                least = np.argsort(np.abs(cut), axis=2, kind="stable")[:, :, :FLIPS].astype(np.uint64)
-                masks = np.uint64(1) << least
-                bare = own & ~np.bitwise_or.reduce(masks, axis=2)
-                keys = bare[:, :, None] | (masks[:, :, None, :] * flips[None, None]).sum(axis=3, dtype=np.uint64)
-                keys |= np.arange(WIDE // SEGMENT, dtype=np.uint64)[None, :, None] << np.uint64(SEGMENT)
+                cut = np.abs(wide.reshape(len(wide), WIDE // SEGMENT, SEGMENT))
+                unsure = np.argsort(cut, axis=2, kind="stable")[:, :, :FLIPS].astype(np.uint8).reshape(len(wide), -1)
                 node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in packed], np.uint64).view(np.int64)
-                flat = keys.reshape(len(wide), -1).view(np.int64)
-                lists = pa.ListArray.from_arrays(np.arange(len(wide) + 1, dtype=np.int32) * flat.shape[1], pa.array(flat.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node), pa.array([x.tobytes() for x in packed], _PRINTS.field(1).type), lists], ["id", "th", *_PRINTS.names])
+                columns = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (packed, unsure)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node), *columns], ["id", "th", *_PRINTS.names])
 
     return run
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, wide, unsure) to table entries (key, node): each segment with its unsure bits set in one of all ways."""
+    flips = np.array([[i >> b & 1 for b in range(FLIPS)] for i in range(1 << FLIPS)], np.uint64)
+    number = np.arange(WIDE // SEGMENT, dtype=np.uint64)[None, :, None] << np.uint64(SEGMENT)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 2000):
+            part = batch.slice(lo, 2000)
+            n = part.num_rows
+            own = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u4").reshape(n, -1).astype(np.uint64)
+            unsure = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, -1, FLIPS).astype(np.uint64)
+            masks = np.uint64(1) << unsure
+            bare = own & ~np.bitwise_or.reduce(masks, axis=2)
+            keys = (bare[:, :, None] | (masks[:, :, None, :] * flips[None, None]).sum(axis=3, dtype=np.uint64)) | number
+            flat = keys.reshape(n, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), flat.shape[1]))], ["key", "node"])
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (key, node) sorted by key, those whose key another row has too."""
     held = None
@@ -426,9 +436,10 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(f"`{text_col}`")
     texts = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
     kind = texts.schema["id"].dataType.simpleString()
-    docs = common.stage(texts.mapInArrow(_wide(WORDS), f"id {kind}, th bigint, node bigint, wide binary, keys array<bigint>"), "prints")
+    docs = common.stage(texts.mapInArrow(_wide(WORDS), f"id {kind}, th bigint, node bigint, wide binary, unsure binary"), "prints")
     nodes = docs.groupBy("node").agg(F.min("id").alias("least"), F.min("wide").alias("wide"), F.min(F.struct("id", "th")).alias("one"))
-    entries = docs.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    one = docs.select("node", "wide", "unsure").dropDuplicates(["node"])
+    entries = one.mapInArrow(_keys, "key bigint, node bigint").repartition("key").sortWithinPartitions("key", "node")
     shared = common.stage(entries.mapInArrow(_shared, "key bigint, node bigint"), "shared")
     met = _parts(shared).join(nodes.select("node", "wide"), "node").select("key", "part", "node", "wide").repartition("key", "part").sortWithinPartitions("key", "part")
     pairs = common.stage(met.mapInArrow(_linked(wide_radius(similarity)), "a bigint, b bigint").distinct(), "pairs")
@@ -445,7 +456,9 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = nodes.join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     known = placed.join(names, "component").select(F.col("node").alias("of"), "component_id")
-    return docs.join(known, F.col("node") == F.col("of"), "left").select("id", "component_id")
+    out = common.stage(docs.join(known, F.col("node") == F.col("of"), "left").select("id", "component_id"), "components")
+    common.drop(docs, shared, pairs, sets, links)
+    return out
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

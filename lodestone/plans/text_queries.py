@@ -135,7 +135,10 @@ def t5(spark, d):
     return table(spark, d, "documents").select("doc_id", T.chunk_id(F.col("source"), F.col("doc_id"), F.lit(0), F.col("text")).alias("chunk_id"))
 
 
-@query("t3_sentences")
+_SPACE = r"[ \t\n\x0b\f\r]+"
+
+
+@query("t3_sentences", f"WITH p AS (SELECT doc_id, text, list_transform(string_split(regexp_replace(text, '([.!?]){_SPACE}', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')) AS parts FROM documents), k AS (SELECT doc_id, text, list_filter(parts, lambda x: len(regexp_split_to_array(x, '{_SPACE}')) >= 4) AS kept FROM p), s AS (SELECT doc_id, CASE WHEN len(kept) > 0 THEN kept ELSE [text] END AS s FROM k) SELECT doc_id, unnest(range(len(s))) AS place, unnest(s) AS sentence FROM s")
 def t3(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("place", "sentence"))
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -198,25 +198,43 @@ def _open(batch: pa.RecordBatch) -> pa.RecordBatch:
 def links(prints: DataFrame) -> DataFrame:
     """A spanning set of links (a, b) among the distinct fingerprints ``fp``: equal components to all pairs within 3 bits."""
     schema = "seg int, key bigint, path string, fp bigint, probe boolean, b bigint"
+    entry = ["seg", "key", "path"]
     entries, found = _entries(prints), None
-    for level in range(LEVELS + 1):
-        placed = entries.select("seg", "key", "path", "fp", "probe").repartition("seg", "key", "path").sortWithinPartitions("seg", "key", "path", "probe")
-        out = common.stage(placed.mapInArrow(_match(level == LEVELS), schema), "links")
+    for level in range(LEVELS + 2):
+        last = level > LEVELS
+        placed = entries.select(*entry, "fp", "probe").repartition(*entry).sortWithinPartitions(*entry, "probe")
+        out = common.stage(placed.mapInArrow(_match(last), schema), "links")
         here = out.where("b IS NOT NULL").select(F.col("fp").alias("a"), "b")
         found = here if found is None else found.unionByName(here)
         dense = out.where("b IS NULL")
-        if level == LEVELS or dense.isEmpty():
+        if last or dense.isEmpty():
             return found.distinct()
         other = "shiftrightunsigned(fp, IF(seg = 0, 0, 32)) & 4294967295"
         if level == 0:
             part = [F.expr(f"concat(path, '{j}:', shiftrightunsigned({other}, {8 * j}) & 255, '/')") for j in range(4)]
-        else:
+        elif level < LEVELS:
             rest = "aggregate(filter(sequence(0, 3), j -> NOT startswith(path, concat(j, ':'))), 0L, (s, j) -> shiftleft(s, 8) | (shiftrightunsigned({o}, 8 * j) & 255))".format(o=f"({other})")
             part = [F.expr(f"concat(path, '{j}:', shiftrightunsigned({rest}, {6 * j}) & 63, '/')") for j in range(4)]
-        entries = dense.withColumn("path", F.explode(F.array(*part)))
+        else:
+            # no bits are left to cut by: blocks of the entry, and each pair of them in one place
+            sizes = dense.groupBy(*entry).agg(F.count("*").alias("n"))
+            dense = dense.join(sizes, entry).withColumn("blocks", F.ceil(F.col("n") * 2 / DENSE).cast("int"))
+            part = F.transform(_block_pairs(F.xxhash64("fp")), lambda x: F.concat("path", F.lit("b"), x.cast("string")))
+        entries = dense.withColumn("path", F.explode(part if level == LEVELS else F.array(*part)))
     raise AssertionError
 
 
+def _block_pairs(hashed: Column) -> Column:
+    """The numbers of the pairs of blocks (of ``blocks`` of them) that a row belongs to; 0 where there is one block.
+
+    Links inside a block are found in its pairs with the others.
+    """
+    n = F.col("blocks")
+    own = F.pmod(hashed, n).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.least(own, j) * n + F.greatest(own, j))
+    return F.filter(pairs, lambda x: (n == 1) | (F.floor(x / n) != x % n))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id) for each row of ``df``.
 
@@ -408,11 +426,7 @@ def _parts(shared: DataFrame) -> DataFrame:
     """
     large = common.stage(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "large")
     cut = shared.join(large, "key", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") * 2 / BLOCK), F.lit(1)).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
-    # a block meets itself in its pairs with the others
-    pairs = F.filter(pair, lambda x: (F.col("blocks") == 1) | (F.floor(x / F.col("blocks")) != x % F.col("blocks")))
-    return cut.select("key", F.explode(pairs).alias("part"), "node")
+    return cut.select("key", F.explode(_block_pairs(F.xxhash64("node"))).alias("part"), "node")
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))

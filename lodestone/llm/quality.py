@@ -34,7 +34,7 @@ MAX_REPEAT_PERCENT = 30
 #: Share of a group that the estimate is made of: floor((n + p + 1) / 2) of n rows, which withstands the most outliers.
 HALF = 0.5
 #: Concentration steps of every start, and at most how many of the best one; it ends when no logarithm of a determinant falls by more than SETTLED.
-START_STEPS, STEPS, SETTLED = 2, 10, 1e-3
+START_STEPS, STEPS, SETTLED = 2, 10, 1e-2
 #: Bins of the histogram of distances in each factor e.
 BINS = 64
 #: Rows that the estimate of the language (or of all rows) counts in that of a group (or of a language).

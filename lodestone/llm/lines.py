@@ -42,50 +42,87 @@ def _lines(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFra
 _SCHEMA = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("pos", pa.int64())])
 
 
+class _Run:
+    """A run of one key that may go on in the next batch: what has been seen of it."""
+
+    def __init__(self, key: tuple[int, int], largest: int, first: bool):
+        self.key, self.largest, self.first = key, largest, first
+        self.n_docs, self.current = 0, None
+        self.waiting: list[np.ndarray] = []
+
+    def add(self, rows: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """The next rows (columns of _ROW): those to drop, and those that wait for the other partitions."""
+        doc = rows["doc"]
+        opens = np.concatenate(([doc[0] != self.current], doc[1:] != doc[:-1])) if self.n_docs else np.concatenate(([True], doc[1:] != doc[:-1]))
+        n = self.n_docs + np.cumsum(opens)
+        self.n_docs, self.current = int(n[-1]), doc[-1]
+        if self.first:
+            return rows[:0], rows
+        if self.n_docs < min_docs:
+            self.waiting.append(rows)
+            return rows[:0], rows[:0]
+        held = np.concatenate([*self.waiting, rows])
+        self.waiting = []
+        return held[held["doc"] != self.largest], rows[:0]
+
+
+#: A row of a run; a null id is NO_ID, which sorts after all others.
+_ROW = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("doc", "<i8"), ("th", "<i8"), ("pos", "<i8")])
+NO_ID = -(1 << 63)
+
+
 def _stream(min_docs: int):
-    """Read one partition sorted by (hash, document descending) and decide each run."""
+    """Read one partition sorted by (hash, document descending) and decide each run.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in _SCHEMA]
-        here, first, n_docs, largest, current, waiting = None, True, 0, None, None, []
+    Runs inside a batch are decided together; the first and the last of a batch
+    may go on beyond it and are carried. What is beyond the partition's first
+    and last run is complete.
+    """
 
-        def put(kind: int, key: tuple, doc, th, pos) -> None:
-            for column, value in zip(out, (kind, *key, doc, th, pos), strict=True):
-                column.append(value)
+    def out(kind: int, rows: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(rows), kind, np.int32)), *[pa.array(rows[c]) for c in _ROW.names]]
+        columns[3] = pa.array(rows["doc"], mask=rows["doc"] == NO_ID)
+        return pa.RecordBatch.from_arrays(columns, schema=_SCHEMA)
 
-        def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _SCHEMA, strict=True)], schema=_SCHEMA)
-            for column in out:
-                column.clear()
-            return made
+    def part(run: _Run) -> pa.RecordBatch:
+        return out(2, np.array([(*run.key, run.largest, 0, run.n_docs)], _ROW))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: _Run | None = None
         for batch in batches:
-            for h1, h2, doc, th, pos in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (h1, h2) != here:
-                    if here is not None and first:
-                        put(2, here, largest, None, n_docs)
-                    first, here = here is None, (h1, h2)
-                    n_docs, largest, current, waiting = 1, doc, doc, []
-                elif doc != current:
-                    n_docs, current = n_docs + 1, doc
-                if first:
-                    put(1, here, doc, th, pos)
-                elif n_docs < min_docs:
-                    waiting.append((doc, th, pos))
-                else:
-                    for x in waiting:
-                        if x[0] != largest:
-                            put(0, here, *x)
-                    waiting = []
-                    put(0, here, doc, th, pos)
-                if len(out[0]) >= 50_000:
-                    yield flush()
+            if not batch.num_rows:
+                continue
+            rows = np.empty(batch.num_rows, _ROW)
+            for name, column in zip(_ROW.names, batch.columns, strict=True):
+                rows[name] = column.fill_null(NO_ID) if column.null_count else column
+            begins = np.flatnonzero(np.concatenate(([True], (rows["h1"][1:] != rows["h1"][:-1]) | (rows["h2"][1:] != rows["h2"][:-1]))))
+            ends = np.append(begins[1:], len(rows))
+            drop = []
+            # the first run, which may be a carried one, and the last are decided on their own
+            single = [0] if len(begins) == 1 else [0, len(begins) - 1]
+            for i in single:
+                mine = rows[begins[i] : ends[i]]
+                key = (int(mine["h1"][0]), int(mine["h2"][0]))
+                if here is None or here.key != key:
+                    if here is not None and here.first:
+                        yield part(here)
+                    here = _Run(key, int(mine["doc"][0]), here is None)
+                gone, wait = here.add(mine, min_docs)
+                drop.append(gone)
+                if len(wait):
+                    yield out(1, wait)
+                if i == 0 and len(begins) > 2:
+                    inner = rows[ends[0] : begins[-1]]
+                    own = np.repeat(np.arange(len(begins) - 2), np.diff(begins[1:]))
+                    opens = np.concatenate(([True], (own[1:] != own[:-1]) | (inner["doc"][1:] != inner["doc"][:-1])))
+                    common_runs = np.bincount(own, weights=opens) >= min_docs
+                    largest = rows["doc"][begins[1:-1]]
+                    drop.append(inner[common_runs[own] & (inner["doc"] != largest[own])])
+            yield out(0, np.concatenate(drop))
         if here is not None:
-            put(2, here, largest, None, n_docs)
-            for x in waiting:
-                put(1, here, *x)
-        if out[0]:
-            yield flush()
+            yield part(here)
+            if here.waiting:
+                yield out(1, np.concatenate(here.waiting))
 
     return run
 

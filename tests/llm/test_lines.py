@@ -1,4 +1,7 @@
 import hashlib
+import random
+
+import pyarrow as pa
 
 from lodestone.llm import lines
 
@@ -70,3 +73,30 @@ def test_bitmap_round_trip():
     bits = np.array([1, 0, 1, 1, 1, 1, 1, 1], np.uint8)
     assert lines.kept_lines("a\nb\nc\n\nd\ne\nf\ng\nh\ni", zlib.compress(np.packbits(bits).tobytes())) == "a\nc\n\nd\ne\nf\ng\nh\ni"
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_partitions_stream_alike_however_batches_fall():
+    rnd = random.Random(11)
+    for _ in range(150):
+        rows = []
+        for key in sorted(rnd.sample(range(-50, 50), rnd.randint(1, 8))):
+            for doc in sorted((rnd.randint(0, 4) for _ in range(rnd.choice([1, 1, 2, 7, 30]))), reverse=True):
+                rows.append((key, key % 3, None if doc == 0 else doc, 5, len(rows)))
+        runs = {}
+        for r in rows:
+            runs.setdefault(r[:2], []).append(r)
+        expected = []
+        for i, (key, mine) in enumerate(runs.items()):
+            docs = list(dict.fromkeys(r[2] for r in mine))
+            if i == 0:
+                expected += [(1, *r) for r in mine]
+            elif len(docs) >= 3:
+                expected += [(0, *r) for r in mine if r[2] != docs[0]]
+            elif i == len(runs) - 1:
+                expected += [(1, *r) for r in mine]
+            if i in (0, len(runs) - 1):
+                expected.append((2, *key, docs[0], 0, len(docs)))
+        cuts = sorted({0, len(rows), *(rnd.randint(0, len(rows)) for _ in range(rnd.randint(0, 6)))})
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[a:z]], pa.int64()) for c in range(5)], ["h1", "h2", "doc", "th", "pos"]) for a, z in zip(cuts, cuts[1:])]
+        got = [tuple(r.values()) for b in lines._stream(3)(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got, key=repr) == sorted(expected, key=repr)

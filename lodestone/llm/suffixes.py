@@ -15,7 +15,10 @@ bytes, and equal suffixes have equal pivots at equal offsets.
    a pass: each pass orders the groups of the one before and drops singletons,
    and the last ends at THRESHOLD bytes.
 3. Pivots with more than DENSE different runs are counted beforehand and never
-   meet in one task: their suffixes are dealt by digests of all THRESHOLD bytes.
+   meet in one task. Their runs are cut in two by the next digit: suffixes with
+   more bytes before the pivot meet by the bytes right before it, the others by
+   those right after it. What is dense even so is dealt by single suffixes, by
+   digests of all THRESHOLD bytes.
 
 Equal groups are exactly the repeated windows; all but a group's first
 suffix are marked, and marked bytes are removed from the documents.
@@ -206,7 +209,30 @@ def _unpack(at: int) -> tuple[int, int]:
 _BYTES = pa.schema([("pivot", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("content", pa.binary()), ("heavy", pa.bool_())])
 
 
+def refined(content: bytes, n: int, pivot: int, threshold: int) -> list[tuple[int, int, int]]:
+    """(first suffix, suffixes, key) of the two parts of a run of ``n`` suffixes of ``content``, by the bytes next to their pivot.
+
+    Suffixes that have half of their other bytes before the pivot are the first
+    part; equal suffixes have their pivot at equal offsets, so they are in parts
+    of one kind and key.
+    """
+    side = (threshold - GRAM) // 2
+    h = _gram_hashes(np.frombuffer(content, np.uint8), GRAM)
+    # the pivot lies in the windows of all suffixes of the run, and has the least hash there
+    q = n - 1 + int(np.argmin(h[n - 1 : threshold - GRAM + 1] & ~np.uint64((1 << 24) - 1)))
+    cut = min(n, max(0, q - side + 1))
+    out = []
+    if cut:
+        out.append((0, cut, b"<" + content[q - side : q]))
+    if cut < n:
+        out.append((cut, n - cut, b">" + content[q + GRAM : q + GRAM + side]))
+    key = pivot.to_bytes(8, "little", signed=True)
+    return [(p, m, int.from_bytes(xxhash.xxh3_64_digest(key + digit), "little", signed=True)) for p, m, digit in out]
+
+
 def _fetch(threshold: int):
+    """Documents with what is asked of them to runs with their bytes; runs of heavy pivots come in two parts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -216,7 +242,13 @@ def _fetch(threshold: int):
                     text = unzip.decompress(packed)
                     for x in asked:
                         start, n = _unpack(x["at"])
-                        rows.append((x["pivot"], doc, x["at"], text[start : start + n - 1 + threshold], x["heavy"]))
+                        content = text[start : start + n - 1 + threshold]
+                        if not x["heavy"]:
+                            rows.append((x["pivot"], doc, x["at"], content, False))
+                            continue
+                        tag = x["at"] >> (_POS + _LEN)
+                        for p, m, key in refined(content, n, x["pivot"], threshold):
+                            rows.append((key, doc, (tag << (_POS + _LEN)) | ((start + p) << _LEN) | m, content[p : p + m - 1 + threshold], True))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BYTES, strict=True)], schema=_BYTES)
 
@@ -350,25 +382,35 @@ def repeated_runs(df: DataFrame, id_col: str, text_col: str, threshold: int = TH
     runs = docs.mapInArrow(_find(threshold, GRAM), _RUN + ", first boolean").repartition("pivot").sortWithinPartitions("pivot", "digest", "doc", "at")
     seen = common.stage(runs.mapInArrow(_first_pass, "doc bigint, at bigint, pivot bigint, marked boolean"), "runs")
     left = seen.where("NOT marked")
-    heavy = common.stage(left.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("pivot", F.lit(True).alias("heavy")), "heavy")
+    heavy = _heavy(left)
     left = left.join(common.small(heavy), "pivot", "left").withColumn("heavy", F.coalesce("heavy", F.lit(False)))
     asked = left.groupBy("doc", F.shiftright("at", _POS + _LEN).alias("tag")).agg(F.collect_list(F.struct("at", "pivot", "heavy")).alias("asked"))
     wanted = _packed(df, id_col, text_col).join(asked, ["doc", "tag"]).select("doc", "packed", "asked")
     fetched = wanted.mapInArrow(_fetch(threshold), "pivot bigint, doc bigint, at bigint, content binary, heavy boolean")
-    dense = not heavy.isEmpty()
-    if dense:
+    marked, single = seen.where("marked").select("doc", "at"), None
+    if not heavy.isEmpty():
+        # parts of heavy runs are counted by their new keys before they meet
         fetched = common.stage(fetched, "fetched")
-    light = fetched.where("NOT heavy").select("pivot", "doc", "at", "content").repartition("pivot").sortWithinPartitions("pivot", "doc", "at")
-    marked = seen.where("marked").select("doc", "at").unionByName(light.mapInArrow(_second_pass(threshold), "doc bigint, at bigint"))
-    if dense:
-        single = common.stage(fetched.where("heavy").select("doc", "at", "content").mapInArrow(_expand(threshold), "h1 bigint, h2 bigint, doc bigint, at bigint"), "suffixes")
-        common.drop(heavy)
+        again = _heavy(fetched.where("heavy"))
+        if not again.isEmpty():
+            flagged = fetched.drop("heavy").join(common.small(again), "pivot", "left")
+            single = flagged.where("heavy").select("doc", "at", "content")
+            fetched = flagged.where("heavy IS NULL")
+    met = fetched.select("pivot", "doc", "at", "content").repartition("pivot").sortWithinPartitions("pivot", "doc", "at")
+    marked = marked.unionByName(met.mapInArrow(_second_pass(threshold), "doc bigint, at bigint"))
+    if single is not None:
+        single = common.stage(single.mapInArrow(_expand(threshold), "h1 bigint, h2 bigint, doc bigint, at bigint"), "suffixes")
         least = single.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("least"), F.count("*").alias("n")).where("n > 1")
         later = single.join(least, ["h1", "h2"]).where(F.struct("doc", "at") != F.col("least"))
         marked = marked.unionByName(later.select("doc", "at")).unionByName(single.where("h1 IS NULL").select("doc", "at"))
     return marked
 
 
+def _heavy(runs: DataFrame) -> DataFrame:
+    """(pivot, heavy): the pivots that more than DENSE rows of ``runs`` have."""
+    return common.stage(runs.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("pivot", F.lit(True).alias("heavy")), "heavy")
+
+
 def _packed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), _tag(text).alias("tag"), F.col(id_col).isNull().alias("no_id"), _zip(F.col(text_col)).alias("packed"))

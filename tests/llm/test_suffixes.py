@@ -36,7 +36,7 @@ def expected(rows, threshold):
     return sorted((-1 << 62 if i is None else i, *found[-1 << 62 if i is None else i, t or ""]) for i, t in rows)
 
 
-@pytest.mark.parametrize("dense", [1024, 2])
+@pytest.mark.parametrize("dense", [1024, 12, 2])
 def test_awkward_documents(spark, monkeypatch, dense):
     monkeypatch.setattr(suffixes, "DENSE", dense)
     # texts of one id have no order by contract, so null ids keep one text here
@@ -85,3 +85,20 @@ def test_thresholds_that_runs_cannot_hold_are_refused(spark):
         with pytest.raises(ValueError):
             run(spark, [(1, "x")], threshold)
     assert run(spark, [(1, "ab" * 300), (2, "ab" * 300)], 158) == expected([(1, "ab" * 300), (2, "ab" * 300)], 158)
+
+
+def test_parts_of_runs_hold_each_suffix_once_and_equal_suffixes_meet():
+    rnd = random.Random(2)
+    for threshold in (40, 100, 158):
+        passage = rnd.randbytes(threshold + 30)
+        keys = {}
+        for _ in range(12):
+            text = rnd.randbytes(rnd.randint(0, 90)) + passage + rnd.randbytes(rnd.randint(0, 90))
+            first, last, pivot = suffixes._runs(np.frombuffer(text, np.uint8), np.array([0]), np.array([len(text)]), threshold, suffixes.GRAM)
+            for a, z, h in zip(first.tolist(), last.tolist(), pivot.view(np.int64).tolist()):
+                parts = suffixes.refined(text[a : z + threshold], z - a + 1, h, threshold)
+                assert [p for p, m, _ in parts for p in range(p, p + m)] == list(range(z - a + 1))
+                for p, m, key in parts:
+                    for i in range(a + p, a + p + m):
+                        keys.setdefault(text[i : i + threshold], set()).add(key)
+        assert all(len(k) == 1 for k in keys.values())

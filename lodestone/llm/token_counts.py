@@ -15,11 +15,13 @@ slots are never opened.
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 import tiktoken
@@ -33,7 +35,7 @@ BLOCK, GROWN = 64, 16
 #: Characters beyond a split that can move it: the pattern's longest contraction, and the character after white space.
 SIGHT = 4
 #: Characters of the pre-tokens whose counts a worker remembers.
-REMEMBERED = 4_000_000
+REMEMBERED = 1_500_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -232,6 +234,33 @@ SLOTS = "array<struct<text:string,chars:array<int>,tokens:array<int>,n_chars:big
 _SLOT = pa.struct([("text", pa.string()), ("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32())), ("n_chars", pa.int64()), ("n_tokens", pa.int64())])
 
 
+#: Characters of text that are made into trees at once.
+SHARE = 1 << 20
+
+
+def _shares(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SHARE characters of column ``text``, a row at least."""
+    sizes = np.cumsum(np.asarray(pc.utf8_length(batch.column(text)).fill_null(0)))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SHARE, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def _offsets(lists: list) -> pa.Array:
+    return pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+
+
+def _stored(slots: list[Slot]) -> pa.StructArray:
+    """Slots as they are stored, with their sums."""
+    texts, chars, tokens = zip(*slots, strict=True) if slots else ((), (), ())
+    ends = _offsets(chars)
+    lists = [pa.ListArray.from_arrays(ends, pa.array(itertools.chain.from_iterable(x), pa.int32())) for x in (chars, tokens)]
+    sums = [pa.array(map(size, x), pa.int64()) for size, x in ((len, texts), (sum, tokens))]
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), *lists, *sums], fields=list(_SLOT))
+
+
 def build(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
     """(id, ``keep``, n_tokens, slots): the tree of each row's text, to be stored as a table.
 
@@ -246,13 +275,10 @@ def build(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
+            for part in _shares(batch, batch.num_columns - 1):
                 trees = [slots_of(x.as_py() or "", counts) for x in part.column(part.num_columns - 1)]
-                slots = [{"text": t, "chars": c, "tokens": n, "n_chars": len(t), "n_tokens": sum(n)} for tree in trees for t, c, n in tree]
-                ends = np.cumsum([0, *map(len, trees)]).astype(np.int32)
                 total = [sum(sum(n) for _, _, n in tree) for tree in trees]
-                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(slots, _SLOT))
+                made = pa.ListArray.from_arrays(_offsets(trees), _stored([slot for tree in trees for slot in tree]))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(total, pa.int64()), made], [*names, "n_tokens", "slots"])
 
     return rows.mapInArrow(run, f"{schema}, n_tokens bigint, slots {SLOTS}")

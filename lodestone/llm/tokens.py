@@ -7,10 +7,11 @@ Python worker keeps the ids of recent words; the library encodes the others.
 
 from __future__ import annotations
 
+import struct
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 import regex
 from tokenizers import Tokenizer
@@ -32,6 +33,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+class _Words(dict):
+    """Known words and their ids; others are asked of the encoder."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        super().__init__({"": b""})
+        self.ask = ask
+
+    def __missing__(self, word: str) -> bytes:
+        return self.ask(word)
+
+
 class WordEncoder:
     """``encode(text)`` gives the ids of a text as little-endian bytes, equal to the library's ids for the whole text."""
 
@@ -43,7 +55,7 @@ class WordEncoder:
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.special = [str(x.content) for x in self.whole.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = _Words(self._word)
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -53,7 +65,7 @@ class WordEncoder:
             spelled = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode("utf-8", "surrogatepass")))
             if part.isascii() and not part.isprintable():
                 spelled = "".join(map(self.letters.__getitem__, part.encode()))
-            found = np.array([x.id for x in self.model.tokenize(spelled)], "<u4").tobytes()
+            found = _packed([x.id for x in self.model.tokenize(spelled)])
             if len(self.parts) >= REMEMBERED:
                 self.parts.clear()
             if len(part) <= LONGEST:
@@ -64,19 +76,26 @@ class WordEncoder:
         found = self.older.get(word)
         if found is None:
             if "<|" in word and any(x in word for x in self.special):
-                found = np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+                found = _packed(self.whole.encode(word, add_special_tokens=False).ids)
+            elif word.isascii() and word.isalpha():
+                # one run of letters
+                found = self._part(word.lower())
+            elif word.isascii() and word[:-1].isalpha() and word[-1] in ".,":
+                found = self._part(word[:-1].lower()) + self._part(word[-1])
             else:
                 found = b"".join(map(self._part, self.SPLIT.findall("".join(_lower(c) for c in unicodedata.normalize("NFC", word)) if not word.isascii() else word.lower())))
         if len(self.words) >= REMEMBERED:
-            self.older, self.words = self.words, {}
+            self.older, self.words = self.words, _Words(self._word)
         if len(word) <= LONGEST:
             self.words[word] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        get = self.words.get
-        return b"".join([get(w) or self._word(w) for w in words if w])
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(4096)

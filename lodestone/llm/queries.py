@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, compaction, lines, media, mixing, packing, preference, quality, simhash, suffixes, token_counts
+from lodestone.llm import common, compaction, lines, media, merkle, mixing, packing, preference, quality, simhash, suffixes, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -84,6 +84,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_read(spark, sf_dir)).withColumnRenamed("id", "doc_id").drop("distance2", "share")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir)
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(2)) == 0
+    changed = {"text": F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    done = merkle.manifest(docs, "doc_id", "source", ["doc_id", "source", "lang", "n_chars", "text"], changed)
+    folded = done.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), merkle.fold(F.col("changed_leaf"), F.col("steps")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 OP8_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -203,9 +212,66 @@ FROM docs d LEFT JOIN pieces x ON d.doc_id = x.doc_id
 """
 
 
+#: CRC-32 bit by bit over the digits; nodes level by level; then each leaf's siblings on every level, folded with a list.
+OP11_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, lang, n_chars, text,
+         (list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda crc, c: list_reduce(list_prepend(xor(crc, c), list_transform(range(8), lambda i: CAST(0 AS BIGINT))),
+             lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r >> 1, CAST(3988292384 AS BIGINT)) ELSE r >> 1 END)) % 2) = 1 AS tampered
+  FROM documents),
+fields AS (
+  SELECT doc_id, source, tampered, text,
+         coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head
+  FROM docs),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+         CASE WHEN tampered THEN sha256(head || coalesce(octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), ''), '-'))
+              ELSE sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) END AS changed
+  FROM fields),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+tree AS (
+  SELECT source, 0 AS level, i, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT source, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY source, level, i // 3, n),
+subroots AS (
+  SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS level, i, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 3, n),
+root AS (SELECT h AS root FROM top WHERE n = 1),
+climbed AS (
+  SELECT s.source, s.h AS subroot, t.level, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (WHERE x.i < s.i // CAST(pow(3, t.level) AS BIGINT)), '') AS before,
+         coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (WHERE x.i > s.i // CAST(pow(3, t.level) AS BIGINT)), '') AS after
+  FROM subroots s JOIN (SELECT DISTINCT level FROM top WHERE n > 1) t ON true
+  JOIN top x ON x.level = t.level AND x.i // 3 = s.i // CAST(pow(3, t.level + 1) AS BIGINT) GROUP BY s.source, s.h, t.level, s.i),
+upper AS (SELECT source, subroot, list({'before': before, 'after': after} ORDER BY level) AS steps FROM climbed GROUP BY source, subroot),
+lower_steps AS (
+  SELECT p.doc_id, p.source, p.i, list({'before': before, 'after': after} ORDER BY level) AS steps
+  FROM (SELECT p.doc_id, p.source, p.i, x.level, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (WHERE x.i < p.i // CAST(pow(3, x.level) AS BIGINT)), '') AS before,
+               coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (WHERE x.i > p.i // CAST(pow(3, x.level) AS BIGINT)), '') AS after
+        FROM placed p JOIN tree x ON x.source IS NOT DISTINCT FROM p.source AND x.n > 1 AND x.i // 3 = p.i // CAST(pow(3, x.level + 1) AS BIGINT)
+        GROUP BY p.doc_id, p.source, p.i, x.level) p
+  GROUP BY p.doc_id, p.source, p.i),
+proved AS (
+  SELECT p.doc_id, p.leaf, p.changed, s.h AS subroot, coalesce(l.steps, []) || coalesce(u.steps, []) AS steps
+  FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source
+  LEFT JOIN upper u ON u.source IS NOT DISTINCT FROM p.source
+  LEFT JOIN lower_steps l ON l.source IS NOT DISTINCT FROM p.source AND l.i = p.i),
+folded AS (
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s.before || s.after), '')) AS proof_sha256,
+         list_reduce(list_prepend({'before': changed, 'after': ''}, steps), lambda a, s: {'before': sha256(s.before || a.before || s.after), 'after': ''}).before AS folded_root
+  FROM proved, root)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_mixing, op3_compaction, op4_packing, op5_simhash, op6_preference, op7_suffixes, op8_lines, op9_token_counts, op10_quality)}
+    return {f.__name__: f for f in (op1_media, op2_mixing, op3_compaction, op4_packing, op5_simhash, op6_preference, op7_suffixes, op8_lines, op9_token_counts, op10_quality, op11_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op3_compaction": OP3_SQL, "op6_preference": OP6_SQL, "op7_suffixes": OP7_SQL, "op8_lines": OP8_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_compaction": OP3_SQL, "op6_preference": OP6_SQL, "op7_suffixes": OP7_SQL, "op8_lines": OP8_SQL, "op11_merkle": OP11_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, compaction, lines, media, merkle, mixing, packing, preference, quality, simhash, suffixes, token_counts
+from lodestone.llm import byte_bpe, collocations, common, compaction, lines, media, merkle, mixing, packing, preference, quality, simhash, suffixes, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -93,6 +93,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir), "lang", "text").withColumnRenamed("grp", "lang")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = byte_bpe.encode(_read(spark, sf_dir), "doc_id", "text", decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
+    return done.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 OP8_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -269,9 +279,42 @@ SELECT *, folded_root = root AS verified FROM folded
 """
 
 
+OP12_SQL = """
+WITH pieces AS (
+  SELECT doc_id, lang, row_number() OVER () AS piece, words FROM (
+    SELECT doc_id, coalesce(lang, 'und') AS lang,
+           regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS words
+    FROM documents) WHERE len(words) > 0),
+words AS (SELECT lang, piece, unnest(words) AS w, unnest(range(len(words))) AS i FROM pieces),
+runs AS (
+  SELECT lang, w AS w1, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM words WINDOW p AS (PARTITION BY piece ORDER BY i)),
+f1 AS (SELECT lang, w1, count(*) AS f FROM runs GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+longer AS (
+  SELECT lang, u, v, max(f) AS f FROM (SELECT lang, w1 AS u, w2 AS v, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+cut AS (
+  SELECT x.lang, x.w1 || ' ' || x.w2 AS phrase, x.f AS a, 1 AS k, l.f AS l, r.f AS r
+  FROM f2 x JOIN f1 l ON l.lang = x.lang AND l.w1 = x.w1 JOIN f1 r ON r.lang = x.lang AND r.w1 = x.w2
+  LEFT JOIN longer g ON g.lang = x.lang AND g.u = x.w1 AND g.v = x.w2 WHERE coalesce(100 * g.f < 50 * x.f, true)
+  UNION ALL
+  SELECT x.lang, x.w1 || ' ' || x.w2 || ' ' || x.w3, x.f, 1, l.f, r.f
+  FROM f3 x JOIN f1 l ON l.lang = x.lang AND l.w1 = x.w1 JOIN f2 r ON r.lang = x.lang AND r.w1 = x.w2 AND r.w2 = x.w3
+  UNION ALL
+  SELECT x.lang, x.w1 || ' ' || x.w2 || ' ' || x.w3, x.f, 2, l.f, r.f
+  FROM f3 x JOIN f2 l ON l.lang = x.lang AND l.w1 = x.w1 AND l.w2 = x.w2 JOIN f1 r ON r.lang = x.lang AND r.w1 = x.w3),
+scored AS (SELECT *, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS score FROM cut),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM least)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM placed JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_mixing, op3_compaction, op4_packing, op5_simhash, op6_preference, op7_suffixes, op8_lines, op9_token_counts, op10_quality, op11_merkle)}
+    return {f.__name__: f for f in (op1_media, op2_mixing, op3_compaction, op4_packing, op5_simhash, op6_preference, op7_suffixes, op8_lines, op9_token_counts, op10_quality, op11_merkle, op12_collocations, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op3_compaction": OP3_SQL, "op6_preference": OP6_SQL, "op7_suffixes": OP7_SQL, "op8_lines": OP8_SQL, "op11_merkle": OP11_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_compaction": OP3_SQL, "op6_preference": OP6_SQL, "op7_suffixes": OP7_SQL, "op8_lines": OP8_SQL, "op11_merkle": OP11_SQL, "op12_collocations": OP12_SQL}

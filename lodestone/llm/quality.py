@@ -6,7 +6,8 @@ determinant estimate. Three deterministic starts (the scales alone, the
 correlations of hyperbolic tangents, and spatial signs) take concentration
 steps that re-estimate centre and covariance from the half of the group with
 the least Mahalanobis distances; after START_STEPS the start of least
-determinant goes on until determinants no longer fall. The half's border comes
+determinant goes on, in each group until its determinant no longer falls; a
+group that has come to rest takes no part in further steps. The half's border comes
 from a histogram of distances (integer counts, so no group is gathered or
 sorted), and the rows of the border bin share what is left of the half as a
 weight, so ties never make it larger. A group's estimate is drawn towards its
@@ -17,6 +18,7 @@ counts as PRIOR rows. Rows are rejected by their distance.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +35,8 @@ MAX_REPEAT_PERCENT = 30
 
 #: Share of a group that the estimate is made of: floor((n + p + 1) / 2) of n rows, which withstands the most outliers.
 HALF = 0.5
-#: Concentration steps of every start, and at most how many of the best one; it ends when no logarithm of a determinant falls by more than SETTLED.
-START_STEPS, STEPS, SETTLED = 2, 10, 1e-2
+#: Concentration steps of every start; and the fall of a determinant's logarithm that is a rounding error, so that a group is at rest.
+START_STEPS, SETTLED = 2, 1e-9
 #: Bins of the histogram of distances in each factor e.
 BINS = 64
 #: Rows that the estimate of the language (or of all rows) counts in that of a group (or of a language).
@@ -285,11 +287,14 @@ def fit(rows: DataFrame, floors: dict[str, float] = FLOORS, prior: float = PRIOR
     for _ in range(START_STEPS):
         model = _step(both, model, floors)
     best = model.groupBy("id").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
-    model = common.stage(model.join(best, ["id", "start"]), "model")
-    for _ in range(STEPS):
-        model = _step(both, model, floors)
-        if model.where(F.col("before") - F.col("det") > SETTLED).isEmpty():
-            break
+    active = common.stage(model.join(best, ["id", "start"]), "model")
+    falls, rest = F.col("before") - F.col("det") > SETTLED, []
+    # every step lowers the determinants of those that go on, and floors bound them from below
+    while not active.isEmpty():
+        made = _step(both, active, floors)
+        rest.append(made.where(~falls))
+        active = made.where(falls)
+    model = reduce(DataFrame.unionByName, rest, active)
     keys = both.select("id", "level", "k").distinct()
     raw = model.join(keys, "id").select("level", "k", "n", F.lit(1.0).alias("share"), "c", F.transform("s", lambda x: x * (1 + SMALL / (F.col("n") + prior))).alias("s"))
     raw = common.stage(raw, "model")

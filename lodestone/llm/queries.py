@@ -31,10 +31,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir)
     store = compaction.ShardStore(spark, common.new_path(spark, "shards"))
-    store.append(docs)
+    arrival = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3))
+    store.append(docs.where(arrival == 0))
+    first = store.append(docs.where(arrival == 1))
+    # the last arrival brings a column that the others lack
+    wider = docs.where(arrival == 2).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
+    store.append(wider)
     store.compact()
-    store.vacuum()
-    return store.read(docs.schema).select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    digest = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    shown = ["doc_id", "lang", "source", "n_chars"]
+    now = store.read(wider.schema).select(*shown, "n_bytes", digest, F.lit("now").alias("version"))
+    # an older version is what it was, before the last arrival and the merge
+    return now.unionByName(store.read(docs.schema, first).select(*shown, F.lit(None).cast("bigint").alias("n_bytes"), digest, F.lit("before").alias("version")))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +169,10 @@ SELECT doc_id, source, mix_source, CAST(r // {mixing.BLOCK} AS BIGINT) AS mix_bl
 FROM placed p JOIN sized z ON p.mix_source = z.s AND p.r // {mixing.BLOCK} = z.b
 """
 
-OP3_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+OP3_SQL = """
+SELECT doc_id, lang, source, n_chars, CASE WHEN doc_id % 3 = 2 THEN octet_length(encode(text)) END AS n_bytes, sha256(text) AS text_sha256, 'now' AS version FROM documents
+UNION ALL SELECT doc_id, lang, source, n_chars, NULL, sha256(text), 'before' FROM documents WHERE doc_id % 3 < 2
+"""
 
 OP6_SQL = """
 WITH turns AS (

@@ -447,6 +447,11 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is the least id reachable, null only if all ids are; nulls and repeated rows
     stay, other columns are left out, and an empty table gives no rows.
     """
+    return _similar(df, id_col, text_col, similarity).select("id", "component_id")
+
+
+def _similar(df: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(id, th, component, component_id): ``similar_documents`` with the text's hash and a number of the component, stored."""
     text = F.col(f"`{text_col}`")
     texts = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
     kind = texts.schema["id"].dataType.simpleString()
@@ -469,23 +474,26 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = connected_components(links)
     placed = nodes.join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     names = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = placed.join(names, "component").select(F.col("node").alias("of"), "component_id")
-    out = common.stage(docs.join(known, F.col("node") == F.col("of"), "left").select("id", "component_id"), "components")
+    known = placed.join(names, "component").select(F.col("node").alias("of"), "component", "component_id")
+    out = common.stage(docs.join(known, F.col("node") == F.col("of"), "left").select("id", "th", "component", "component_id"), "components")
     common.drop(docs, shared, pairs, sets, links)
     return out
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``df`` with one document of each group of ``similar_documents``: the one whose id names the component.
+    """``df`` with one document of each group of ``similar_documents``: the one of the least id, and of rows with that id the one whose text's hash is least.
 
-    All columns stay, whatever their names. Of rows that repeat that id one
-    stays (by a hash of the row). Rows without an id can't be told apart, so all
-    of them stay.
+    All columns stay, whatever their names. Rows that share an id are alike
+    only if their texts are. Of rows that repeat both id and text one stays (by
+    a hash of the row). Rows without an id can't be told apart, so all of them
+    stay.
     """
     own = common.Names(df)
-    keep, first, cell = own("keep"), own("first"), F.col(f"`{id_col}`")
-    kept = similar_documents(df, id_col, text_col, similarity).where("id = component_id").select(F.col("id").alias(keep)).distinct()
-    one = df.where(cell.isNotNull()).join(kept, cell == F.col(keep), "left_semi")
-    order = Window.partitionBy(cell).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-    one = one.withColumn(first, F.row_number().over(order)).where(F.col(first) == 1).drop(first)
-    return one.unionByName(df.where(cell.isNull()))
+    keep, kept_hash, first, cell = own("keep"), own("th"), own("first"), F.col(f"`{id_col}`")
+    one = _similar(df, id_col, text_col, similarity).where("id IS NOT NULL").groupBy("component").agg(F.min(F.struct("id", "th")).alias("one"))
+    one = one.select(F.col("one.id").alias(keep), F.col("one.th").alias(kept_hash))
+    hashed = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    rows = df.where(cell.isNotNull()).join(one, (cell == F.col(keep)) & (hashed == F.col(kept_hash)), "left_semi")
+    order = Window.partitionBy(cell, hashed).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    rows = rows.withColumn(first, F.row_number().over(order)).where(F.col(first) == 1).drop(first)
+    return rows.unionByName(df.where(cell.isNull()))

@@ -50,8 +50,8 @@ DIGIT = 8
 DENSE = 1024
 #: Suffixes that are sorted at once.
 SORTED = 50_000
-#: A null id sorts before all others.
-NO_ID = -(1 << 63)
+#: Ids are this or greater; below it, rows without an id have numbers by their texts.
+LEAST_ID = -(1 << 62)
 
 _POS, _LEN = 32, 7
 _MULTIPLIERS = [np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -100,6 +100,17 @@ def _tag(texts: Column) -> Column:
     return F.xxhash64(texts).bitwiseAND(F.lit((1 << 24) - 1))
 
 
+def _doc(id_col: str, text: Column) -> Column:
+    """The document's number: its id, or for a null id one below all ids by 62 bits of the text's hash, which the tag does not have.
+
+    A real id below LEAST_ID raises an error.
+    """
+    own = F.col(f"`{id_col}`").cast("long")
+    unnamed = F.shiftrightunsigned(F.xxhash64(text), 2) - F.lit(1 << 62) - F.lit(1 << 62)
+    low = F.raise_error(F.concat(F.lit(f"ids must be {LEAST_ID} or greater: "), own.cast("string"))).cast("long")
+    return F.when(own < LEAST_ID, low).otherwise(F.coalesce(own, unnamed))
+
+
 _RUN = "pivot bigint, digest bigint, doc bigint, at bigint"
 _RUNS = pa.schema([("pivot", pa.int64()), ("digest", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("first", pa.bool_())])
 
@@ -376,9 +387,8 @@ def repeated_runs(df: DataFrame, id_col: str, text_col: str, threshold: int = TH
     # a run has threshold - GRAM + 1 suffixes at most, and their number has _LEN bits
     if not GRAM < threshold < GRAM + (1 << _LEN) - 1:
         raise ValueError(f"the threshold must be between {GRAM + 1} and {GRAM + (1 << _LEN) - 2} bytes")
-    doc = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    docs = df.select(doc.alias("doc"), _tag(text).alias("tag"), text.alias("text"))
+    docs = df.select(_doc(id_col, text).alias("doc"), _tag(text).alias("tag"), text.alias("text"))
     runs = docs.mapInArrow(_find(threshold, GRAM), _RUN + ", first boolean").repartition("pivot").sortWithinPartitions("pivot", "digest", "doc", "at")
     seen = common.stage(runs.mapInArrow(_first_pass, "doc bigint, at bigint, pivot bigint, marked boolean"), "runs")
     left = seen.where("NOT marked")
@@ -412,8 +422,8 @@ def _heavy(runs: DataFrame) -> DataFrame:
 
 
 def _packed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), _tag(text).alias("tag"), F.col(id_col).isNull().alias("no_id"), _zip(F.col(text_col)).alias("packed"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return df.select(_doc(id_col, text).alias("doc"), _tag(text).alias("tag"), F.col(f"`{id_col}`").isNull().alias("no_id"), _zip(F.col(f"`{text_col}`")).alias("packed"))
 
 
 def spans(marks: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
@@ -457,10 +467,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_bytes, removed spans, kept bytes) for each row: bytes in a ``threshold``-byte string that starts earlier are removed.
 
     Earlier is a smaller id, or an earlier start in one document. A null text
-    is empty; a null id comes before all others and stays null; rows that
-    repeat both id and text are one document, and of different texts with one
-    id the order is by a hash (two such texts share 24 bits of it with a
-    chance of 2^-24). Texts may have up to 2^32 bytes. Cuts may fall inside a
+    is empty; null ids come before all others, in the order of 62 bits of their
+    texts' hashes, and stay null; rows that repeat both id and text are one
+    document, and of different texts with one id the order is by 24 bits of a
+    hash (two such texts share them with a chance of 2^-24). Ids below
+    LEAST_ID raise an error. Texts may have up to 2^32 bytes. Cuts may fall inside a
     character, so kept is binary; with ``digest`` it is its SHA-256 in hex.
     An empty table gives no rows; other columns are left out.
     """

@@ -298,14 +298,16 @@ def stored_tree(slots: pa.ListArray, row: int, counts: Counter) -> Tree:
     return Tree(chars, tokens, np.diff(ends), opened, counts)
 
 
-def apply_edits(trees: DataFrame, edits_col: str, path: str | None = None) -> DataFrame:
+def apply_edits(trees: DataFrame, edits_col: str, path: str | None = None, trees_after: bool = False) -> DataFrame:
     """(id, n_tokens, n_tokens_after, n_pretokens_after, n_chars_after, n_chars_encoded) of each stored tree (id, n_tokens, slots) after the row's edits, in order.
 
+    With ``trees_after`` the row has the edited tree too, as ``slots``: with
+    n_tokens_after as its n_tokens, it takes the next batch of edits.
     ``edits`` are replacements [start, end) -> text in characters of the text
     as it is then; ranges are cut to the text. Null edits are none, a null in an
     edit makes it an empty text or position 0. n_tokens is the count before.
     n_chars_encoded counts what the edits encoded again. Repeated rows and null
-    ids stay. No shuffle.
+    ids stay, other columns are left out. No shuffle.
     """
     path = path or vocabulary()
     rows = trees.select("id", "n_tokens", "slots", F.col(f"`{edits_col}`").cast(EDITS).alias("edits"))
@@ -314,14 +316,19 @@ def apply_edits(trees: DataFrame, edits_col: str, path: str | None = None) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(path)
         for batch in batches:
-            out = []
+            out, kept = [], []
             for row in range(batch.num_rows):
                 tree = stored_tree(batch.column(2), row, counts)
                 for e in batch.column(3)[row].as_py() or []:
                     if e is not None:
                         tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
                 out.append((tree.n_tokens, tree.n_leaves, tree.n_chars, tree.encoded))
+                if trees_after:
+                    kept.append([slot for slot in map(tree.slot, range(tree.n)) if slot[0]])
             columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "n_tokens", *names])
+            if trees_after:
+                columns.append(pa.ListArray.from_arrays(_offsets(kept), _stored([slot for tree in kept for slot in tree])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "n_tokens", *names, *(["slots"] if trees_after else [])])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens bigint, " + ", ".join(f"{n} bigint" for n in names))
+    made = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens bigint, " + ", ".join(f"{n} bigint" for n in names)
+    return rows.mapInArrow(run, made + (f", slots {SLOTS}" if trees_after else ""))

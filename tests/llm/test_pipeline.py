@@ -44,4 +44,4 @@ def test_query_equals_its_sql(spark, name):
 
 def test_registered_names():
     found = __spark_entry__.queries()
-    assert {"pipeline", *queries.queries()} <= set(found) and len([n for n in found if n.startswith("op")]) == 10
+    assert {"pipeline", *queries.queries()} <= set(found) and len([n for n in found if n.startswith("op")]) == 13

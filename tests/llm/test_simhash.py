@@ -148,3 +148,10 @@ def test_one_of_each_group_stays(spark):
     # equal and near copies are one group, and empty texts are
     assert groups[2] == groups[8] == groups[9] and groups[10] == groups[11] and groups[3] == groups[4] == groups[5]
     assert len(set(groups.values())) > 50
+
+
+def test_different_texts_with_one_id_both_stay(spark):
+    a, b = "one two three four five six seven eight nine ten", "red orange yellow green blue indigo violet black white grey"
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, "alone in the world with these few words here"), (None, a)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, [(1, a), (1, b), (3, rows[4][1]), (None, a)]))

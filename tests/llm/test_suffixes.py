@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import suffixes
@@ -102,3 +103,20 @@ def test_parts_of_runs_hold_each_suffix_once_and_equal_suffixes_meet():
                     for i in range(a + p, a + p + m):
                         keys.setdefault(text[i : i + threshold], set()).add(key)
         assert all(len(k) == 1 for k in keys.values())
+
+
+def test_many_texts_without_an_id(spark):
+    """Null ids come first, by 62 bits of their texts' hashes, and never take another's marks."""
+    rnd = random.Random(9)
+    shared = "".join(rnd.choice("abcdefgh ") for _ in range(110))
+    texts = sorted({"".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(100, 112))) + (shared if rnd.random() < 0.02 else "") for _ in range(20_000)}, key=lambda t: xxhash.xxh64_intdigest(t.encode(), 42) >> 2)
+    rows = [(None, t) for t in texts] + [(i, shared + str(i)) for i in range(3)]
+    numbered = [(n - len(texts), t) for n, (_, t) in enumerate(rows)]
+    found = brute(numbered, 100)
+    out = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), digest=True).collect()
+    assert sorted((r["n_bytes"], sum(x["end"] - x["start"] for x in r["removed"]), len(r["removed"]), bytes(r["kept"]).decode()) for r in out) == sorted(found[i, t] for i, t in numbered)
+
+
+def test_ids_below_the_least_are_refused(spark):
+    with pytest.raises(Exception, match="ids must be"):
+        suffixes.remove_repeats(spark.createDataFrame([(-(1 << 63), "a" * 200)], "doc_id long, text string")).collect()

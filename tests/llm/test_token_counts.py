@@ -80,3 +80,22 @@ def test_awkward_rows(spark):
         expected.append((repr(i), size(t), size(after), len(after)))
     assert sorted((repr(r["id"]), r["n_tokens"], r["n_tokens_after"], r["n_chars_after"]) for r in got) == sorted(expected)
     assert tc.apply_edits(build(data.frame(spark).limit(0).withColumn("edits", F.lit(None).cast(tc.EDITS))), "edits").count() == 0
+
+
+def test_two_batches_of_edits_go_on_from_each_other(spark):
+    counts = tc.counter(tc.vocabulary())
+    rows = [(1, "some words of a text. " * 200), (2, ""), (3, "short one")]
+    one = F.expr("array(named_struct('start', 4L, 'end', 9L, 'text', ' new'), named_struct('start', 2L, 'end', 2L, 'text', 'x y'))")
+    two = F.expr("array(named_struct('start', 0L, 'end', 1L, 'text', '12 '), named_struct('start', 40L, 'end', 900L, 'text', ''))")
+    trees = tc.build(spark.createDataFrame(rows, "id long, text string"), "id", "text").withColumn("edits", one)
+    first = tc.apply_edits(trees, "edits", trees_after=True)
+    second = first.select("id", F.col("n_tokens_after").alias("n_tokens"), "slots", two.alias("edits"))
+    got = {r["id"]: r for r in tc.apply_edits(second, "edits", trees_after=True).collect()}
+    whole = {r["id"]: r for r in tc.apply_edits(trees.withColumn("edits", F.concat(one, two)), "edits").collect()}
+    for i, text in rows:
+        for a, z, new in ((4, 9, " new"), (2, 2, "x y"), (0, 1, "12 "), (40, 900, "")):
+            a, z = min(a, len(text)), min(z, len(text))
+            text = text[:a] + new + text[z:]
+        assert "".join(s["text"] for s in got[i]["slots"]) == text
+        assert got[i]["n_tokens_after"] == whole[i]["n_tokens_after"] == len(counts.encoding.encode_ordinary(text))
+        assert sum(s["n_tokens"] for s in got[i]["slots"]) == got[i]["n_tokens_after"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.substrings import contained
 from lodestone.operators.windows import first_per
 
 
@@ -82,21 +83,29 @@ def token_overlap(df: DataFrame, id_col: str, text: str, table: DataFrame, key:
     return first_per(shared, ["id"], [F.desc("shared"), F.col("key")])
 
 
-#: Names of one upload list that citations are compared with one by one.
-UPLOADS = 10_000
+#: Names of an upload list up to which citations are compared with each.
+UPLOADS = 1_000
 
 
 def containment(df: DataFrame, cited: str, names: DataFrame, name: str) -> DataFrame:
-    """(cited, name): the exact name, else the longest name that contains the citation or lies in it.
+    """(cited, name): the exact name, else the longest name that contains the citation or lies in it; letters compare in lower case.
 
-    ``names`` is one session's upload list; more than UPLOADS of them raise ValueError.
+    A short list of names is compared one by one; a longer one meets the
+    citations by two substring joins, one in each direction. Both give the same
+    rows; null and empty citations and names match nothing.
     """
-    a, b = F.lower(F.col("cited")), F.lower(F.col("name"))
-    left, right = df.select(F.col(cited).alias("cited")).distinct(), names.select(F.col(name).alias("name")).distinct()
-    if right.limit(UPLOADS + 1).count() > UPLOADS:
-        raise ValueError(f"an upload list has at most {UPLOADS} names")
-    hits = left.join(F.broadcast(right), (a == b) | F.contains(a, b) | F.contains(b, a))
-    return first_per(hits, ["cited"], [F.desc(a == b), F.desc(F.char_length("name")), F.col("name")])
+    left = df.select(F.col(cited).alias("cited")).where(F.col(cited) != "").distinct()
+    right = names.select(F.col(name).alias("name")).where(F.col(name) != "").distinct()
+    if right.limit(UPLOADS + 1).count() <= UPLOADS:
+        a, b = F.lower("cited"), F.lower("name")
+        hits = left.join(F.broadcast(right), F.contains(a, b) | F.contains(b, a))
+    else:
+        asked, held = left.withColumn("low", F.lower("cited")), right.withColumn("low", F.lower("name"))
+        inside = contained(held, "name", "low", asked, "cited", "low").select(F.col("needle").alias("cited"), F.col("id").alias("name"))
+        around = contained(asked, "cited", "low", held, "name", "low").select(F.col("id").alias("cited"), F.col("needle").alias("name"))
+        hits = inside.unionByName(around).distinct()
+    same = F.lower("cited") == F.lower("name")
+    return first_per(hits, ["cited"], [F.desc(same), F.desc(F.char_length("name")), F.col("name")])
 
 
 def first_source(frames: list[DataFrame], key: str) -> DataFrame:
@@ -106,23 +115,3 @@ def first_source(frames: list[DataFrame], key: str) -> DataFrame:
         df = df.withColumn("__i", F.lit(i))
         both = df if both is None else both.unionByName(df)
     return first_per(both, [key], [F.col("__i")]).drop("__i")
-
-
-def similar_pairs(df: DataFrame, id_col: str, within: str, words: Column, least: float) -> DataFrame:
-    """(a, b): pairs of rows with one value of ``within`` whose word sets have a Jaccard similarity of ``least`` or more.
-
-    Two such sets share one of the first words of either in any order of words
-    (prefix filter; a hash is the order), and their sizes differ little. Ids and
-    sizes meet by these words; the sets are fetched for the pairs that are left.
-    """
-    sets = df.select(F.col(id_col).alias("id"), F.col(within).alias("g"), F.array_sort(F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))).alias("w"))
-    sets = sets.withColumn("n", F.size("w"))
-    first = (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int")
-    keys = sets.select("id", "g", "n", F.explode(F.slice("w", F.lit(1), first)).alias("k"))
-    a, b = [keys.select(F.col("id").alias(x), "g", "k", F.col("n").alias(f"n{x}")) for x in ("a", "b")]
-    near = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
-    pairs = a.join(b, ["g", "k"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    sides = [sets.select(F.col("id").alias(x), F.col("w").alias(f"w{x}")) for x in ("a", "b")]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return both.where(shared >= least * (F.size("wa") + F.size("wb") - shared)).select("a", "b")

@@ -50,36 +50,47 @@ def term_counts(chunks: DataFrame, terms: list[tuple[str, float]], text_col: str
     return sum((F.regexp_count(low, F.lit(rf"\b\Q{t}\E\b")) * w for t, w in terms), F.lit(0.0))
 
 
+def similarities(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query, id, similarity): exact cosine of every row and every query of a stated set, at most QUERIES; no shuffle."""
+    q = queries.select(F.col("query"), F.col("vector").alias("__q"))
+    if q.limit(QUERIES + 1).count() > QUERIES:
+        raise ValueError(f"at most {QUERIES} queries are scored at once; pass them in blocks")
+    return vectors.join(F.broadcast(q), F.lit(True)).select("query", F.col(id_col).alias("id"), V.cosine(F.col(vector_col), F.col("__q")).alias("similarity"))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query, id, similarity, rank): exact cosine, the ``k`` best for each query.
 
     A stated set of queries against all rows; the window group limit keeps k
     rows a task before anything is shuffled.
     """
-    q = queries.select(F.col("query"), F.col("vector").alias("__q"))
-    if q.limit(QUERIES + 1).count() > QUERIES:
-        raise ValueError(f"at most {QUERIES} queries are scored at once; pass them in blocks")
-    scored = vectors.join(F.broadcast(q), F.lit(True)).select("query", F.col(id_col).alias("id"), V.cosine(F.col(vector_col), F.col("__q")).alias("similarity"))
+    scored = similarities(vectors, queries, id_col, vector_col)
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-#: Queries that ``nearest`` takes at once, which bounds what it broadcasts.
+#: Queries that ``similarities`` and ``nearest`` take at once, which bounds what they broadcast.
 QUERIES = 10_000
 
 
-def hybrid(keyword: Column, similarity: Column, query: str = "query", keyword_share: float = 0.4) -> Column:
-    """0.4 of the keyword score over the query's best, 0.6 of the positive cosine; the raw keyword score without a vector."""
-    best = F.max(keyword).over(Window.partitionBy(query))
-    scaled = F.when(best > 0, keyword / best).otherwise(0.0)
-    return F.when(similarity.isNull(), keyword).otherwise(keyword_share * scaled + (1 - keyword_share) * F.greatest(F.lit(0.0), similarity))
+def hybrid(df: DataFrame, keyword: str, similarity: str, query: str = "query", keyword_share: float = 0.4) -> DataFrame:
+    """``df`` with ``hybrid``: 0.4 of the keyword score over the query's best, 0.6 of the positive cosine; the raw keyword score without a vector.
+
+    The best scores are an aggregate, one row a query, joined back; pass a stored frame if it is costly.
+    """
+    best = df.groupBy(query).agg(F.max(keyword).alias("__best")).withColumnRenamed(query, "__query")
+    joined = df.join(best, F.col(query).eqNullSafe(F.col("__query")))
+    scaled = F.when(F.col("__best") > 0, F.col(keyword) / F.col("__best")).otherwise(0.0)
+    mixed = F.when(F.col(similarity).isNull(), F.col(keyword)).otherwise(keyword_share * scaled + (1 - keyword_share) * F.greatest(F.lit(0.0), F.col(similarity)))
+    return joined.withColumn("hybrid", mixed).drop("__best", "__query")
 
 
 def above_or_best(df: DataFrame, score: str, threshold: float = 0.05, fallback: int = 20, key: str = "query", tie: str = "chunk") -> DataFrame:
-    """Rows above the threshold, or each query's best ``fallback`` where no row is."""
-    any_above = F.max(F.col(score) > threshold).over(Window.partitionBy(key))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), tie))
-    return df.withColumns({"__any": any_above, "__n": rank}).where(F.when(F.col("__any"), F.col(score) > threshold).otherwise(F.col("__n") <= fallback)).drop("__any", "__n")
+    """Rows above the threshold, or each key's best ``fallback`` where no row is; only rows of the latter keys are ranked."""
+    above = df.where(F.col(score) > threshold)
+    found = above.select(F.col(key).alias("__key")).distinct()
+    rest = df.join(found, F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+    return above.unionByName(first_per(rest, [key], [F.desc(score), F.col(tie)], fallback))
 
 
 def exact_dedup(df: DataFrame, key: str, content: str, order: list[Column]) -> DataFrame:

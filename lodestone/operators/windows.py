@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.scans import running_max_before, running_sum
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key; the window group limit drops the rest before the shuffle."""
@@ -32,11 +33,11 @@ def replace_and_keep(df: DataFrame, key: str, order: list[Column], keep: int) ->
 def budget(df: DataFrame, key: str, order: list[Column], tokens: str, hard: Column, target: Column) -> DataFrame:
     """Rows in order while the sum stays within ``hard`` and the sum before is below ``target``.
 
-    The running sum never falls, so the prefix is a filter.
+    The running sum never falls, so the prefix is a filter. A hot key's sum is
+    made in two levels. Rows without a count of tokens are left out.
     """
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(tokens).over(w)
-    return df.withColumn("running", total).where((F.col("running") <= hard) & (F.col("running") - F.col(tokens) < target))
+    counted = df.where(F.col(tokens).isNotNull())
+    return running_sum(counted, key, order, F.col(tokens), "running").where((F.col("running") <= hard) & (F.col("running") - F.col(tokens) < target))
 
 
 def carry_forward(df: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:
@@ -63,13 +64,14 @@ def attempts_within(df: DataFrame, key: str, seconds: Column, span: int, out: st
     return df.withColumn(out, F.count("*").over(w))
 
 
-def _judged(df: DataFrame, key: str, order: list[str], begin: Callable[[], Callable[..., bool]], columns: list[str], out: str) -> DataFrame:
+def _judged(df: DataFrame, key: str, order: list[str], begin: Callable[[], Callable[..., bool]], columns: list[str], out: str, part: str | None = None) -> DataFrame:
     """``df`` with the verdict ``out`` of a judge that sees each key's rows in order.
 
     ``begin`` makes a key's judge, which takes the values of ``columns``. Sorted
     partitions are streamed, so a task holds one batch and one judge's state,
-    however many rows a key has.
+    however many rows a key has. Each value of ``part`` has a judge of its own.
     """
+    keys = [key] if part is None else [key, part]
     names = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
@@ -78,13 +80,14 @@ def _judged(df: DataFrame, key: str, order: list[str], begin: Callable[[], Calla
         judge = begin()
         for batch in batches:
             verdicts = []
-            for k, *values in zip(*[batch.column(names.index(c)).to_pylist() for c in (key, *columns)], strict=True):
+            for row in zip(*[batch.column(names.index(c)).to_pylist() for c in (*keys, *columns)], strict=True):
+                k, values = row[: len(keys)], row[len(keys) :]
                 if k != here:
                     here, judge = k, begin()
                 verdicts.append(judge(*values))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdicts, pa.bool_())], [*names, out])
 
-    rows = df.repartition(key).sortWithinPartitions(key, *order)
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return rows.mapInArrow(run, f"{schema}, `{out}` boolean")
 
 
@@ -111,7 +114,13 @@ def rate_limited(df: DataFrame, key: str, order: str, seconds: str, limit: int,
 
 
 def free_spans(df: DataFrame, key: str, priority: str, start: str, end: str) -> DataFrame:
-    """Spans in (priority, start) order that overlap no span of the key taken before; a span meets its two neighbours only."""
+    """Spans in (priority, start) order that overlap no span of the key taken before; a span meets its two neighbours only.
+
+    A key is cut where no span covers the place, which spans cannot overlap
+    across, and each component is judged on its own: a long text with many
+    spans is spread over many tasks. The cuts are a running maximum and a
+    running count, both in two levels.
+    """
 
     def begin() -> Callable[[int, int], bool]:
         taken: list[tuple[int, int]] = []
@@ -125,8 +134,13 @@ def free_spans(df: DataFrame, key: str, priority: str, start: str, end: str) ->
 
         return judge
 
-    judged = _judged(df, key, [priority, start, end], begin, [start, end], "__free")
-    return judged.where("__free").drop("__free")
+    order = [F.col(start), F.col(end)]
+    covered = running_max_before(df, key, order, F.col(end), "__covered")
+    opens = F.when(F.col("__covered") > F.col(start), 0).otherwise(1)
+    # of equal spans the one that opens a component comes first, as it did in the maximum
+    parted = running_sum(covered, key, [*order, F.col("__covered").asc_nulls_first()], opens, "__part").drop("__covered")
+    judged = _judged(parted, key, [priority, start, end], begin, [start, end], "__free", "__part")
+    return judged.where("__free").drop("__free", "__part")
 
 
 def row_windows(df: DataFrame, key: str, number: str, size: int, overlap: int, line: str, out: str) -> DataFrame:

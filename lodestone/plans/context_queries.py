@@ -13,6 +13,7 @@ from lodestone.functions import vectors as V
 from lodestone.operators import context as K
 from lodestone.operators import matching as M
 from lodestone.operators import retrieval as R
+from lodestone.operators import set_join as J
 from lodestone.operators import windows as W
 from lodestone.plans.fixtures import Rows
 from lodestone.plans.registry import query, table
@@ -36,9 +37,29 @@ def j12(spark, d):
     return docs.join(F.broadcast(k), F.contains("t", F.col("keyword"))).groupBy("control").agg(F.count("*").alias("n"))
 
 
-@query("j16_similar_pairs", "WITH w AS (SELECT doc_id, lang, list_distinct(string_split(text, ' ')) AS w FROM documents) SELECT a.doc_id AS a, b.doc_id AS b FROM w a JOIN w b ON a.doc_id < b.doc_id AND a.lang = b.lang AND len(a.w) >= 0.97 * len(b.w) AND len(b.w) >= 0.97 * len(a.w) WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.97")
+#: Classes of equal word sets in a language, and pairs of classes that are similar.
+SIMILAR_SQL = """
+w AS (SELECT doc_id, lang, list_sort(list_distinct(string_split(text, ' '))) AS w FROM documents),
+c AS (SELECT min(doc_id) AS id, lang, w FROM w GROUP BY lang, w),
+p AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id < b.id AND a.lang = b.lang AND len(a.w) >= {0} * len(b.w) AND len(b.w) >= {0} * len(a.w)
+      WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= {0})
+"""
+
+
+def _similar(spark, d, least):
+    return J.similar_sets(table(spark, d, "documents"), "doc_id", "lang", F.split("text", " "), least)
+
+
+@query("j16_similar_pairs", "WITH " + SIMILAR_SQL.format(0.97) + "SELECT a, b FROM p")
 def j16(spark, d):
-    return M.similar_pairs(table(spark, d, "documents"), "doc_id", "lang", F.split("text", " "), 0.97)
+    """Pairs of representatives; ``j16_similar_classes`` has the members."""
+    return _similar(spark, d, 0.97)[1]
+
+
+@query("j16_similar_classes", "WITH " + SIMILAR_SQL.format(0.8) + ", n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY id) SELECT w.doc_id AS id, c.id AS class, coalesce(n, 0) AS n_links FROM w JOIN c ON w.lang = c.lang AND w.w = c.w LEFT JOIN n ON n.id = c.id")
+def j16b(spark, d):
+    """Every document's class, and how many other classes have a similarity of 0.8 or more."""
+    return J.class_links(*_similar(spark, d, 0.8))
 
 
 @query("j18_category_similarity", "SELECT vec_id, label AS category FROM embeddings e WHERE list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) >= 0.1")

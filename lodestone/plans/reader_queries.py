@@ -119,10 +119,10 @@ def v17(spark, d):
     return HEADINGS.df(spark).select("id", K.block_heading(F.col("content"), F.position("mark", "content") - 1).alias("heading"))
 
 
-@query("v17_document_headings", r"SELECT doc_id, CASE WHEN regexp_matches(string_split(text, chr(10))[1], '[:=]|^\s*(#|//|;|--|/\*|\*/|http|server|\{|\}|[-_=]{3,}\s*$)') THEN '' ELSE trim(string_split(text, chr(10))[1], ' ') END AS heading FROM documents WHERE contains(text, chr(10)) AND NOT contains(text, chr(10) || chr(10))")
+@query("v17_document_headings", r"SELECT doc_id, CASE WHEN NOT contains(text, chr(10)) OR regexp_matches(string_split(text, chr(10))[1], '[:=]|^\s*(#|//|;|--|/\*|\*/|http|server|\{|\}|[-_=]{3,}\s*$)') THEN '' ELSE trim(string_split(text, chr(10))[1], ' ') END AS heading FROM documents")
 def v17b(spark, d):
-    """The heading of the first block of each document of several lines: its first line, seen from the start of the second."""
-    docs = table(spark, d, "documents").where(F.contains("text", F.lit("\n")) & ~F.contains("text", F.lit("\n\n")))
+    """The heading of the first block of each document: its first line, seen from the start of the second; none without a second."""
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", K.block_heading(F.col("text"), F.position(F.lit("\n"), F.col("text"))).alias("heading"))
 
 

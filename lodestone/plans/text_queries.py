@@ -7,7 +7,9 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
 from lodestone.operators import retrieval as R
+from lodestone.operators import substrings as SUB
 from lodestone.operators import windows as W
+from lodestone.operators.staging import stage
 from lodestone.plans.fixtures import Rows
 from lodestone.plans.registry import query, table
 
@@ -72,9 +74,9 @@ def _hybrid(spark, d):
     scored = R.bm25(table(spark, d, "documents"), _terms(spark), "doc_id")
     e = table(spark, d, "embeddings")
     zero = e.where("vec_id = 0").select(F.lit("q1").alias("query"), F.col("embedding").alias("vector"))
-    near = R.nearest(e, zero, 1 << 30).select("query", F.col("id").alias("chunk"), "similarity")
-    both = scored.join(near, ["query", "chunk"], "left")
-    return both.withColumn("hybrid", R.hybrid(F.col("bm25"), F.col("similarity")))
+    near = R.similarities(e, zero).withColumnRenamed("id", "chunk")
+    # scores of the chunks that hold a term: read for the best, the mixture and the threshold
+    return stage(R.hybrid(stage(scored.join(near, ["query", "chunk"], "left"), "scores"), "bm25", "similarity"), "hybrid")
 
 
 @query(
@@ -177,15 +179,11 @@ def t12(spark, d):
 
 @query("t13_hint_containment", "SELECT item_id, count(doc_id) AS leaks FROM benchmark LEFT JOIN documents ON contains(lower(documents.text), lower(benchmark.text)) GROUP BY 1")
 def t13(spark, d):
-    """Benchmark passages inside documents: their first eight words meet the documents' 8-grams, then the whole passage is verified."""
-    def grams(c):
-        return T.ngrams(F.split(F.lower(c), r"\s+"), 8)
-
-    b = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("passage"), F.array_join(F.slice(F.split(F.lower("text"), r"\s+"), 2, 6), " ").alias("key"))
+    """Whole benchmark passages inside documents, of any length and with any borders."""
+    b = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("passage"))
     docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    keys = docs.select("doc_id", "t", F.explode(F.array_distinct(T.ngrams(F.split("t", r"\s+"), 6))).alias("key"))
-    hits = keys.join(b, "key").where(F.contains("t", F.col("passage"))).select("item_id", "doc_id").distinct()
-    return b.select("item_id").join(hits, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("leaks"))
+    hits = SUB.contained(docs, "doc_id", "t", b, "item_id", "passage").withColumnRenamed("needle", "item_id")
+    return b.select("item_id").join(hits, "item_id", "left").groupBy("item_id").agg(F.count("id").alias("leaks"))
 
 
 CLAIMS = Rows("k", "id int, reasoning string, document string", [(1, "The system keeps daily logs for a year. Nobody ever mentioned quantum llamas here.", "Our system keeps daily logs for a year in storage."), (2, "Short one.", "x")])

@@ -1,11 +1,10 @@
 """Byte-level BPE: distinct words are encoded once, ids come back to their positions; ids meet the token-byte table.
 
 Texts are split into pre-tokens, whose positions stay in shares (``shares``).
-The shares' distinct words are shuffled, so that each distinct word of the whole
-table is encoded once; its ids are joined back to the shares that hold it, and
-documents are put together by position. Decoding joins the ids with the table
-of token bytes in the same way: a share's distinct ids meet the table, and bytes
-are put together by position.
+The shares' distinct words are shuffled by word, so that each distinct word of
+the whole table is encoded once; its ids go back to the shares that hold it, and
+documents are put together by position. Decoding joins the table of token bytes:
+its tokens meet a share's ids, and bytes are put together by position.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +26,8 @@ from lodestone.llm import common, shares
 
 #: Tokens of a vocabulary whose table is broadcast.
 TABLE = 1_000_000
-#: Words that are put together at once.
-AT_ONCE = 500_000
+#: Words that are put together at once, and entries that a task holds before it sends them back.
+AT_ONCE, HELD = 500_000, 1 << 20
 
 
 def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -53,16 +53,38 @@ def token_table(spark: SparkSession, path: str | None = None) -> DataFrame:
     return F.broadcast(made) if len(found) <= TABLE else made
 
 
-def _encoded(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(word, ids) of distinct words (entry), stored."""
+def _coded(path: str, pattern: str):
+    """Entries (share, code, entry) in the order of entries to rows (share, codes, sizes, tokens): each distinct entry is encoded once, and a share's go back together."""
+
+    def sent(share: np.ndarray, code: np.ndarray, word: np.ndarray, ids: list[list[int]]) -> Iterator[pa.RecordBatch]:
+        lists = pa.array(ids, pa.list_(pa.int32()))
+        order = np.argsort(share, kind="stable")
+        begins = np.flatnonzero(np.concatenate(([True], np.diff(share[order]) != 0)))
+        for lo, hi in zip(begins, np.append(begins[1:], len(order)), strict=True):
+            mine = order[lo:hi]
+            tokens = lists.take(pa.array(word[mine]))
+            packs = [code[mine], tokens.value_lengths().to_numpy(), tokens.flatten().to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array([share[mine[0]]]), *[pa.array([shares.packed(x)], pa.binary()) for x in packs]], ["share", "codes", "sizes", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = _merges(path, pattern)
+        encode = _merges(path, pattern).encode_ordinary
+        here, ids, parts, held = None, [], [], 0
         for batch in batches:
-            ids = merges.encode_ordinary_batch(batch.column(0).to_pylist(), num_threads=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
-
-    return common.stage(words.mapInArrow(run, "word string, ids array<int>"), "encoded", codec="zstd")
+            if not batch.num_rows:
+                continue
+            words = batch.column(2)
+            opens = np.concatenate(([words[0].as_py() != here], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)))
+            number = len(ids) - 1 + np.cumsum(opens)
+            ids += [encode(w) for w in words.take(pa.array(np.flatnonzero(opens))).to_pylist()]
+            parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), number))
+            here, held = words[-1].as_py(), held + batch.num_rows
+            if held >= HELD:
+                yield from sent(*map(np.concatenate, zip(*parts, strict=True)), ids)
+                ids, parts, held = ids[-1:], [], 0
+        if parts:
+            yield from sent(*map(np.concatenate, zip(*parts, strict=True)), ids)
+
+    return run
 
 
 def _runs(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -94,8 +116,8 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None, p
 
     A null text is an empty text, which has no ids. Null ids and repeated rows
     stay, other columns are left out, an empty table gives no rows. A word may
-    be as long as its text; words that all documents hold are a row for each
-    share, and skewed ones are split by AQE.
+    be as long as its text; a word that all documents hold has one row for each
+    share in the shuffle of words, which is sorted and streamed.
     """
     path = path or vocabulary()
     id_type = df.schema[id_col].dataType.simpleString()
@@ -104,34 +126,30 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str | None = None, p
         return regex.findall(pattern, text) if text else []
 
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.lit(None).cast("string").alias("grp"), F.col(f"`{text_col}`").alias("value"))
-    stored = shares.shares(rows, split, "string", "pretokens")
-    found = shares.entries(stored).select("share", "code", "entry")
-    known = _encoded(found.select("entry").distinct(), path, pattern)
+    stored = shares.shares(rows, split, "string")
+    found = shares.entries(stored).select(F.col("share").alias("share"), "code", "entry")
+    coded = found.repartition("entry").sortWithinPartitions("entry").mapInArrow(_coded(path, pattern), "share bigint, codes binary, sizes binary, tokens binary")
+    texts = stored.select("share", "ids", "sizes", "codes")
     if decoded:
-        table = token_table(df.sparkSession, path)
-        met = known.select("word", F.posexplode("ids").alias("at", "token")).join(table, "token")
-        pieces = met.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "token", "bytes"))).alias("pieces"))
-        known = common.stage(pieces.select("word", "pieces.token", "pieces.bytes"), "decoded", codec="zstd")
-    else:
-        known = known.select("word", F.col("ids").alias("token"), F.array().cast("array<binary>").alias("bytes"))
-    looked = found.join(known, F.col("entry") == F.col("word")).select(F.col("share").alias("share"), "code", "token", "bytes")
+        table = token_table(df.sparkSession, path).groupBy(F.lit(path).alias("vocabulary")).agg(F.collect_list(F.struct("token", "bytes")).alias("table"))
+        texts = texts.withColumn("vocabulary", F.lit(path)).join(F.broadcast(table), "vocabulary")
 
     def run(mine: pa.Table, words: pa.Table) -> pa.Table:
+        codes, sizes = shares.unpacked(mine.column("codes")[0].as_py()), np.array(mine.column("sizes")[0].as_py(), np.int64)
+        ids = mine.column("ids")[0].values
+        known, lengths, tokens = (np.concatenate([np.empty(0, "<u4"), *[shares.unpacked(x.as_py()) for x in words.column(c)]]) for c in ("codes", "sizes", "tokens"))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(tokens, pa.int32())).take(pa.array(np.argsort(known)))
+        table = {x["token"]: x["bytes"] for x in mine.column("table")[0].as_py()} if decoded else {}
+        ends = np.concatenate(([0], np.cumsum(sizes)))
         out = []
-        for row in range(mine.num_rows):
-            codes, sizes = shares.unpacked(mine.column("codes")[row].as_py()), np.array(mine.column("sizes")[row].as_py(), np.int64)
-            ids = mine.column("ids")[row].values
-            tokens = shares.by_code(words, "token")
-            table = dict(zip(tokens.flatten().to_pylist(), shares.by_code(words, "bytes").flatten().to_pylist(), strict=True)) if decoded else {}
-            ends = np.concatenate(([0], np.cumsum(sizes)))
-            for lo, hi in _runs(sizes):
-                lists = _gathered(tokens, codes[ends[lo] : ends[hi]], ends[lo + 1 : hi + 1] - ends[lo])
-                columns = [ids.slice(lo, hi - lo), lists.value_lengths().cast(pa.int64()), lists, *([_joined(lists, table)] if decoded else [])]
-                out.append(pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids", "decoded"][: len(columns)]))
+        for lo, hi in _runs(sizes):
+            made = _gathered(lists, codes[ends[lo] : ends[hi]], ends[lo + 1 : hi + 1] - ends[lo])
+            columns = [ids.slice(lo, hi - lo), made.value_lengths().cast(pa.int64()), made, *([_joined(made, table)] if decoded else [])]
+            out.append(pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids", "decoded"][: len(columns)]))
         return pa.Table.from_batches(out)
 
-    texts = stored.select("share", "ids", "sizes", "codes").groupBy("share")
-    return texts.cogroup(looked.groupBy("share")).applyInArrow(run, f"id {id_type}, n_tokens bigint, ids array<int>" + (", decoded binary" if decoded else ""))
+    met = texts.groupBy("share").cogroup(coded.groupBy("share"))
+    return met.applyInArrow(run, f"id {id_type}, n_tokens bigint, ids array<int>" + (", decoded binary" if decoded else ""))
 
 
 def decode(df: DataFrame, id_col: str, ids_col: str, path: str | None = None) -> DataFrame:
@@ -142,7 +160,7 @@ def decode(df: DataFrame, id_col: str, ids_col: str, path: str | None = None) ->
     """
     id_type = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.lit(None).cast("string").alias("grp"), F.array_compact(F.col(f"`{ids_col}`").cast("array<int>")).alias("value"))
-    stored = shares.shares(rows, lambda ids: ids or [], "int", "tokens")
+    stored = shares.shares(rows, lambda ids: ids or [], "int")
     looked = shares.entries(stored).join(token_table(df.sparkSession, path), F.col("entry") == F.col("token")).select(F.col("share").alias("share"), "token", "bytes")
 
     def run(mine: pa.Table, tokens: pa.Table) -> pa.Table:

@@ -154,24 +154,28 @@ def phrase_counts(df: DataFrame, group_col: str, text_col: str, least: int = 10)
     A null group is ``und``, a null text is empty. Repeated rows count each.
     """
     rows = df.select(F.lit(None).cast("bigint").alias("id"), F.coalesce(F.col(f"`{group_col}`").cast("string"), F.lit("und")).alias("grp"), F.col(f"`{text_col}`").cast("binary").alias("value"))
-    stored = shares.shares(rows, words, "string", "words")
+    stored = shares.shares(rows, words, "string")
     found = shares.entries(stored).where(F.col("entry") != END.decode())
     totals = common.stage(found.groupBy("grp").agg(F.sum("uses").alias("n")), "totals")
-    often = found.groupBy("grp", "entry").agg(F.sum("uses").alias("f")).where(F.col("f") >= least)
-    known = common.stage(often.select("grp", F.col("entry").alias("word"), F.monotonically_increasing_id().alias("id"), "f"), "frequent")
-    same = (F.col("grp") == F.col("g")) & (F.col("entry") == F.col("word"))
-    met = found.join(known.select(F.col("grp").alias("g"), "word", "id"), same).select("share", "code", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"))
-    looked = common.stage(met, "looked", codec="zstd")
+    # a word has a row for each share at most; one shuffle gives its sum, its id, and which shares hold it
+    same = Window.partitionBy("grp", "entry")
+    often = found.withColumn("i", F.monotonically_increasing_id()).withColumns({"f": F.sum("uses").over(same), "id": F.min("i").over(same)}).where(F.col("f") >= least)
+    once = [F.when(F.col("i") == F.col("id"), F.col(c)).alias(c) for c in ("grp", "entry", "f")]
+    looked = common.stage(often.select(F.col("share").alias("share"), "code", F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), *once), "looked", codec="zstd")
+    known = common.stage(looked.where("entry IS NOT NULL").select("grp", F.col("entry").alias("word"), F.col("a").alias("id"), "f"), "frequent")
+    looked_up = looked.select("share", "code", "a", "b")
     texts = stored.select("share", "codes").groupBy("share")
-    made = texts.cogroup(looked.groupBy("share")).applyInArrow(_pairs, "share bigint, a bigint, b bigint, n bigint")
-    # a pair has a row for each share at most; one shuffle gives its sum, and which shares hold it
-    summed = made.withColumn("f", F.sum("n").over(Window.partitionBy("a", "b"))).where(F.col("f") >= least)
-    held = common.stage(summed, "pairs", codec="zstd")
-    pairs = common.stage(held.groupBy("a", "b").agg(F.max("f").alias("f")), "counts")
-    both = looked.unionByName(held.select("share", F.lit(None).cast("int").alias("code"), "a", "b"))
+    made = texts.cogroup(looked_up.groupBy("share")).applyInArrow(_pairs, "share bigint, a bigint, b bigint, n bigint")
+    # so has a pair
+    same = Window.partitionBy("a", "b")
+    summed = made.withColumns({"f": F.sum("n").over(same), "one": F.min("share").over(same) == F.col("share")}).where(F.col("f") >= least)
+    held = common.stage(summed.drop("n"), "pairs", codec="zstd")
+    pairs = common.stage(held.where("one").select("a", "b", "f"), "counts")
+    both = looked_up.unionByName(held.select("share", F.lit(None).cast("int").alias("code"), "a", "b"))
     made = texts.cogroup(both.groupBy("share")).applyInArrow(_triples, "a bigint, b bigint, c bigint, n bigint")
     triples = common.stage(made.groupBy("a", "b", "c").agg(F.sum("n").alias("f")).where(F.col("f") >= least), "counts")
-    common.drop(stored, looked, held)
+    common.drop(looked, held)
+    shares.drop(stored)
     return totals, known, pairs, triples
 
 

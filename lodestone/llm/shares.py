@@ -4,11 +4,13 @@ A share holds the positions of its words as codes of a dictionary of its own,
 compressed. Only the dictionaries' entries go through shuffles to meet what is
 known about a word; looked-up entries come back to their share, and codes turn
 into values by position. A share is a row, so its size is bounded by a
-parameter and by the longest single text.
+parameter and by the longest single text. Shares are stored in buckets by their
+number, so that their codes needn't be shuffled to meet what comes back.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count
@@ -19,10 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import common
-
 #: Length of the values in a share, about (bytes or characters of texts); a value is never cut.
-SHARE = 1 << 24
+SHARE = 1 << 25
 #: Shares of different groups that a task holds open, in lengths of SHARE.
 OPEN = 3
 
@@ -62,8 +62,8 @@ class Filling:
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
 
-def shares(rows: DataFrame, split: Callable[[object], list], entry: str, label: str) -> DataFrame:
-    """(share, grp, ids, sizes, codes, entries, uses) of rows (id, grp, value), stored.
+def shares(rows: DataFrame, split: Callable[[object], list], entry: str) -> DataFrame:
+    """(share, grp, ids, sizes, codes, entries, uses) of rows (id, grp, value), stored as a table in buckets of ``share``.
 
     ``split`` makes the list of words of a value, which may be null; ``entry``
     is a word's SQL type. A share has rows of one ``grp``; ``sizes`` are the
@@ -93,7 +93,13 @@ def shares(rows: DataFrame, split: Callable[[object], list], entry: str, label:
         for grp, filling in filled.items():
             yield filling.row(grp, schema)
 
-    return common.stage(rows.select("id", "grp", "value").mapInArrow(run, made), label, codec="zstd")
+    spark, name = rows.sparkSession, f"shares_{uuid.uuid4().hex}"
+    # a task's shares go to their buckets without a shuffle: a file each
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.select("id", "grp", "value").mapInArrow(run, made).write.option("compression", "zstd").bucketBy(n, "share").saveAsTable(name)
+    out = spark.table(name)
+    out.table_name = name
+    return out
 
 
 def entries(stored: DataFrame) -> DataFrame:
@@ -102,6 +108,6 @@ def entries(stored: DataFrame) -> DataFrame:
     return zipped.select("share", "grp", "code", F.col("x.entries").alias("entry"), F.col("x.uses").alias("uses"))
 
 
-def by_code(looked: pa.Table, column: str) -> pa.Array:
-    """A column of a share's looked-up entries in the order of their codes."""
-    return looked.column(column).combine_chunks().take(pa.array(np.argsort(looked.column("code").to_numpy())))
+def drop(stored: DataFrame) -> None:
+    """Delete stored shares that nothing reads any more."""
+    stored.sparkSession.sql(f"DROP TABLE {stored.table_name}")

@@ -41,10 +41,16 @@ def test_awkward_documents_round_trip(spark, monkeypatch, library, size):
 def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
     monkeypatch.setattr(shares, "SHARE", 100)
     df = spark.createDataFrame([(i, "the same words again") for i in range(300)], "doc_id long, text string").repartition(4)
-    stored = shares.shares(df.selectExpr("doc_id AS id", "CAST(NULL AS STRING) AS grp", "text AS value"), lambda t: t.split(), "string", "test")
+    stored = shares.shares(df.selectExpr("doc_id AS id", "CAST(NULL AS STRING) AS grp", "text AS value"), lambda t: t.split(), "string")
     found = shares.entries(stored)
     assert stored.count() >= 60 and found.groupBy("entry").sum("uses").count() == 4
-    assert byte_bpe._encoded(found.select("entry").distinct(), byte_bpe.vocabulary(), public_tokenizers.PATTERN).count() == 4
+    calls = []
+    monkeypatch.setattr(byte_bpe, "_merges", lambda *_: type("Merges", (), {"encode_ordinary": staticmethod(lambda w: calls.append(w) or [len(w)])}))
+    monkeypatch.setattr(byte_bpe, "HELD", 30)
+    sorted_rows = found.select("share", "code", "entry").orderBy("entry").toArrow().to_batches(max_chunksize=7)
+    sent = list(byte_bpe._coded("", "")(iter(sorted_rows)))
+    assert sorted(calls) == ["again", "same", "the", "words"]
+    assert sum(len(shares.unpacked(b.column("codes")[0].as_py())) for b in sent) == found.count()
 
 
 def test_query_digests(spark, library, tmp_path):

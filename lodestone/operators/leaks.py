@@ -8,8 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
+from lodestone.operators.staging import stage
+from lodestone.operators.substrings import contained
 
 # Phrases of instructions that no evidence has.
 PHRASES = [
@@ -44,26 +47,34 @@ def _ratio(hints: pa.Array, evidence: pa.Array) -> pa.Array:
 def prompt_leaks(evidence: DataFrame, hints: DataFrame, id_cols: list[str], text: str, hint_id: str, hint: str) -> DataFrame:
     """(id columns, rule, hint): the leaks of each piece of evidence: PHRASE, CONTAINED or NEAR, the latter two with the hint's id.
 
-    Hints of HINT characters or more count. Evidence and hint meet by a shared
-    run of RUN words; a near repeat shares one unless it changes every other
-    word, and the ratio of a pair whose lengths differ too much for RATIO is not
-    worked out (it is at most twice the shorter over the sum). Null and empty
-    evidence is clean.
+    Hints of HINT characters or more count. CONTAINED is a substring join and
+    finds every hint, wherever its words begin and end. For NEAR, evidence and
+    hint meet by a shared run of RUN words, each hint by the rarest half of its
+    runs and one more; a near repeat shares one of these unless it changes words
+    all over. The ratio of a pair whose lengths differ too much for RATIO is not
+    worked out (it is at most twice the shorter over the sum). Equal evidence is
+    compared once. Null and empty evidence is clean.
     """
     own = evidence.select(*id_cols, bare(F.col(text)).alias("__e")).where("__e <> ''")
     told = own.where(instructed(F.col("__e"))).select(*id_cols, F.lit("PHRASE").alias("rule"), F.lit(None).cast(hints.schema[hint_id].dataType).alias("hint"))
     known = hints.select(F.col(hint_id).alias("hint"), bare(F.col(hint)).alias("__h")).where(F.char_length("__h") >= HINT)
+    # lines repeat; each text is looked through once, by its digest
+    texts = stage(own.select(F.sha2("__e", 256).alias("__k"), "__e").dropDuplicates(["__k"]), "evidence")
+    inside = contained(texts, "__k", "__e", known, "hint", "__h").select(F.col("id").alias("__k"), F.col("needle").alias("hint"), F.lit("CONTAINED").alias("rule"))
 
     def runs(c: str) -> Column:
         return F.explode(F.array_distinct(X.ngrams(F.split(F.trim(F.regexp_replace(F.col(c), r"[^\p{L}\p{N}]+", " ")), " "), RUN))).alias("__r")
 
-    # ids and lengths meet by the runs; texts are fetched for what is left
-    left = own.select(*id_cols, F.char_length("__e").alias("__m"), F.xxhash64("__e").alias("__k"), runs("__e"))
-    right = known.select("hint", F.char_length("__h").alias("__n"), runs("__h"))
+    # of the evidence only runs of hints are kept: the hints' runs are many times fewer
+    asked = stage(known.select("hint", F.char_length("__h").alias("__n"), runs("__h")), "runs")
+    wanted = asked.select("__r").distinct()
+    left = stage(texts.select("__k", F.char_length("__e").alias("__m"), runs("__e")).join(wanted, "__r", "left_semi"), "met")
+    often = left.groupBy("__r").agg(F.count("*").alias("__often"))
+    place = Window.partitionBy("hint").orderBy("__often", "__r")
+    ranked = asked.join(often, "__r").withColumn("__place", F.row_number().over(place)).withColumn("__all", F.count("*").over(Window.partitionBy("hint")))
+    rare = ranked.where(F.col("__place") <= F.col("__all") / 2 + 1)
     near = 2 * F.least("__m", "__n") >= RATIO * (F.col("__m") + F.col("__n"))
-    met = left.join(right, "__r").select(*id_cols, "__k", "hint", near.alias("__near"), (F.col("__n") <= F.col("__m")).alias("__in")).where("__near OR __in").distinct()
-    pairs = met.join(own.withColumn("__k", F.xxhash64("__e")), [*id_cols, "__k"]).join(known, "hint").distinct()
-    contained = F.contains("__e", F.col("__h"))
-    inside = pairs.where(contained).select(*id_cols, F.lit("CONTAINED").alias("rule"), "hint")
-    close = pairs.where(~contained & F.col("__near")).where(_ratio("__h", "__e") >= RATIO).select(*id_cols, F.lit("NEAR").alias("rule"), "hint")
-    return told.unionByName(inside).unionByName(close)
+    met = left.join(rare, "__r").where(near).select("__k", "hint").distinct().join(inside.select("__k", "hint"), ["__k", "hint"], "left_anti")
+    close = met.join(texts, "__k").join(known, "hint").where(_ratio("__h", "__e") >= RATIO).select("__k", "hint", F.lit("NEAR").alias("rule"))
+    found = inside.unionByName(close)
+    return told.unionByName(own.withColumn("__k", F.sha2("__e", 256)).join(found, "__k").select(*id_cols, "rule", "hint"))

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of runs, longest first.
 WIDTHS = (8, 4, 2, 1)
@@ -72,9 +74,9 @@ def _width(needle: bytes) -> int:
     return next(w for w in WIDTHS if w <= len(needle))
 
 
-def _block(docs: DataFrame, kind: str, needles: list[tuple[object, bytes]], needle_kind: str) -> DataFrame:
+def _block(docs: DataFrame, kind: str, needles: list[tuple[object, bytes]], needle_type: T.DataType) -> DataFrame:
     """(id, needle) of one block; docs are (id, text) with binary texts."""
-    spark = docs.sparkSession
+    spark, needle_kind, arrow = docs.sparkSession, needle_type.simpleString(), to_arrow_type(needle_type)
     runs: dict[int, list[np.ndarray]] = {}
     for _, needle in needles:
         runs.setdefault(_width(needle), []).append(_runs(np.frombuffer(needle, np.uint8), _width(needle)))
@@ -120,7 +122,7 @@ def _block(docs: DataFrame, kind: str, needles: list[tuple[object, bytes]], need
             for row, asked in by_row.items():
                 text = texts[row].as_py()
                 hits += [(row, i) for i in asked if held[i][1] in text]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in hits], pa.int64())), pa.array([held[i][0] for _, i in hits])if hits else pa.array([], pa.null())], ["id", "needle"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, _ in hits], pa.int64())), pa.array([held[i][0] for _, i in hits], arrow)], ["id", "needle"])
 
     return docs.mapInArrow(match, f"id {kind}, needle {needle_kind}") if filed else spark.createDataFrame([], f"id {kind}, needle {needle_kind}")
 
@@ -141,5 +143,5 @@ def contained(docs: DataFrame, id_col: str, text_col: str, needles: DataFrame, n
     for b in range(blocks):
         held = [(r["i"], bytes(r["needle"])) for r in asked.where(F.pmod(F.xxhash64("i", "needle"), F.lit(blocks)) == b).collect()]
         if held:
-            out = out.unionByName(_block(texts, kind, held, needle_kind))
+            out = out.unionByName(_block(texts, kind, held, needles.schema[needle_id].dataType))
     return out

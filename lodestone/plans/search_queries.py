@@ -8,6 +8,7 @@ from lodestone.operators import matching as M
 from lodestone.operators import patterns as A
 from lodestone.operators import retrieval as R
 from lodestone.operators import vector_index as X
+from lodestone.operators.replicas import Replica
 from lodestone.operators.staging import stage
 from lodestone.plans.registry import query, table
 from lodestone.streaming.counters import new_folder
@@ -82,3 +83,22 @@ def j15(spark, d):
     cited = p.select(F.col("p_brand").alias("cited")).unionByName(p.select(F.get(F.split("p_name", " "), F.lit(0)).alias("cited"))).unionByName(p.where("p_size = 1").select(F.col("p_name").alias("cited")))
     names = p.select(F.col("p_name").alias("name")).unionByName(p.select(F.concat_ws(" ", "p_brand", "p_name").alias("name")))
     return M.containment(cited, "cited", names, "name").select("cited", "name")
+
+
+#: What becomes of the orders: prices of some change, some go, some are new.
+CHANGED_SQL = """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 1500 = 7 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3000 <> 11
+UNION ALL SELECT -o_orderkey, o_custkey, NULL FROM orders WHERE o_orderkey % 5000 = 3
+"""
+
+
+@query("s20_replica_difference", CHANGED_SQL)
+def s20(spark, d):
+    """A replica of all orders after changes in some ranges, which alone are written again."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    copy = Replica(spark, new_folder(spark, "replica"))
+    copy.sync(o, "o_orderkey")
+    price = F.when(F.col("o_orderkey") % 1500 == 7, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    new = o.where("o_orderkey % 5000 = 3").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_custkey", F.lit(None).cast("double").alias("o_totalprice"))
+    copy.sync(o.where("o_orderkey % 3000 <> 11").withColumn("o_totalprice", price).unionByName(new), "o_orderkey")
+    return copy.read()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import matching as M
 from lodestone.operators import patterns as A
+from lodestone.operators import replicas as R
 from lodestone.operators import scans as S
 from lodestone.operators import set_join as J
 from lodestone.operators import substrings as SUB
@@ -209,3 +210,24 @@ def test_citations_of_long_and_short_lists_agree(spark, monkeypatch):
     short = sorted(values(M.containment(cited, "c", names, "n"), "cited", "name"))
     monkeypatch.setattr(M, "UPLOADS", 3)
     assert sorted(values(M.containment(cited, "c", names, "n"), "cited", "name")) == short and len(short) > 30
+
+
+def test_replicas_take_only_ranges_that_differ(spark, tmp_path):
+    orders = spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+    n = orders.count()
+    everything = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    copies = [R.Replica(spark, f"{tmp_path}/{i}") for i in range(2)]
+    for copy in copies:
+        first = copy.sync(orders, "o_orderkey")
+        assert first["changed"] == first["ranges"] and first["rows"] == n and everything(copy.read()) == everything(orders)
+        assert copy.sync(orders.orderBy(F.rand()), "o_orderkey") == {"ranges": first["ranges"], "changed": 0, "rows": 0}
+    # a hundred rows that lie together, one more, one gone from a range, and a repeated one
+    changed = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey").between(200, 299), 0.0).otherwise(F.col("o_totalprice"))).where("o_orderkey <> 1000")
+    changed = changed.unionByName(orders.where("o_orderkey = 600")).unionByName(spark.createDataFrame([(None, 1, 2.0), (-70_000, None, None)], orders.schema))
+    for copy in copies:
+        done = copy.sync(changed, "o_orderkey")
+        assert everything(copy.read()) == everything(changed) and 0 < done["rows"] < 110 and done["changed"] < 110
+    # whole ranges that go
+    some = changed.where("o_orderkey < 1000")
+    copies[0].sync(some, "o_orderkey")
+    assert everything(copies[0].read()) == everything(some)

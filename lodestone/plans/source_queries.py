@@ -12,6 +12,7 @@ from lodestone.plans.registry import query, table
 from lodestone.sources import files as S
 from lodestone.sources import scanners as X
 from lodestone.streaming import counters as C
+from lodestone.streaming import sessions as L
 
 NESSUS = """<NessusClientData_v2><Report name="r"><ReportHost name="web01"><HostProperties><tag name="host-ip">10.0.0.9</tag><tag name="os">linux</tag></HostProperties>
 <ReportItem port="443" svc_name="www" protocol="tcp" severity="3" pluginID="100" pluginName="Weak TLS"><risk_factor>High</risk_factor><cvss3_base_score>7.4</cvss3_base_score><cvss3_vector>AV:N/AC:H</cvss3_vector><cve>CVE-2024-0002</cve><cve>CVE-2024-0001</cve><description>weak</description><solution>fix</solution><plugin_output>out</plugin_output></ReportItem>
@@ -181,6 +182,33 @@ def x7(spark, d):
     return C.retained(table(spark, d, "events"), "2024-01-31 00:00:00", 7).select("event_id")
 
 
-@query("x9_event_log", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+@query("x9_event_log", "SELECT event_type, count(*) AS entries, min(ts) AS first, max(ts) AS last, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY 1")
 def x9(spark, d):
-    return C.drain(C.first_seen(C.event_stream(spark, d)), "append").groupBy("event_type").agg(F.count("*").alias("n"))
+    """An append-only log by day: a second run over the same events adds no entry."""
+    home = C.new_folder(spark, "log")
+    for _ in range(2):
+        C.append_log(C.event_stream(spark, d), f"{home}/log", f"{home}/at").awaitTermination()
+    log = C.read_log(spark, f"{home}/log")
+    return log.groupBy("event_type").agg(F.count("*").alias("entries"), F.min("ts").cast("timestamp_ntz").alias("first"), F.max("ts").cast("timestamp_ntz").alias("last"), F.count_distinct("day").alias("days"))
+
+
+#: Sessions without a gap of more than 24 hours, of which that of the last event is too long ago to go on.
+SESSIONS_SQL = """
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 24 HOUR THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g),
+c AS (SELECT user_id, session, min(ts) AS first, max(ts) AS last, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, session)
+SELECT user_id, first, last, n, total FROM c WHERE last + INTERVAL 24 HOUR < (SELECT max(ts) FROM events)
+"""
+
+
+@query("x2_refreshed_state", SESSIONS_SQL)
+def x2b(spark, d):
+    """State that each update keeps alive for 24 hours: all events in three parts, the stream being started anew for each."""
+    home = C.new_folder(spark, "sessions")
+    events = table(spark, d, "events")
+    cuts = [F.lit("2024-01-11").cast("timestamp_ntz"), F.lit("2024-01-21").cast("timestamp_ntz")]
+    for part in (F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]):
+        events.where(part).write.mode("append").parquet(f"{home}/in/events.parquet")
+        L.replay(spark, f"{home}/in", home)
+    done = L.sessions_of(spark, home)
+    return done.select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n", F.round("total", 4).alias("total"))

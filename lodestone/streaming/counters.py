@@ -86,3 +86,18 @@ def sink_batches(stream: DataFrame, path: str, checkpoint: str):
         df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_log(stream: DataFrame, path: str, checkpoint: str):
+    """Append each event, as it is, to a log in folders by day and micro-batch; a batch that runs again overwrites its own entries only."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        dated = df.withColumn("day", F.to_date("ts")).withColumn("batch", F.lit(batch))
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a log, each with its ``day``; days are folders, so a span of days reads no others."""
+    return spark.read.parquet(path).drop("batch")

@@ -275,3 +275,17 @@ def test_streams_read_files_and_folders_of_parts(spark, tmp_path):
     # part files in any order: no row is late in a replay
     seen = C.drain(C.first_seen(C.event_stream(spark, str(tmp_path)), "1 minute"), "append")
     assert seen.count() == events.select("event_id").distinct().count()
+
+
+def test_state_lives_from_its_last_update(spark, tmp_path):
+    """Gaps of 23 hours go on, gaps of 25 hours close a session, also across restarts; batches in between."""
+    from lodestone.streaming import sessions as L
+
+    hours = [0, 10, 33, 56, 81, 82, 107, 400]
+    rows = [(1, h, float(h)) for h in hours] + [(2, 1, None), (2, 24, 1.0), (2, 60, 2.0), (None, 5, 1.0)]
+    frame = lambda part: spark.createDataFrame(part, "user_id long, h long, value double").select("user_id", F.timestamp_seconds((F.col("h") + 1000) * 3600).alias("ts"), "value")
+    for lo, hi in ((0, 20), (20, 40), (40, 100), (100, 1000)):
+        frame([r for r in rows if lo <= r[1] < hi]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/events.parquet")
+        L.replay(spark, f"{tmp_path}/in", f"{tmp_path}/home")
+    got = L.sessions_of(spark, f"{tmp_path}/home").select("user_id", (F.unix_seconds("first") / 3600 - 1000).alias("a"), (F.unix_seconds("last") / 3600 - 1000).alias("z"), "n", "total")
+    assert sorted(map(repr, values(got, "user_id", "a", "z", "n", "total"))) == sorted(map(repr, [(1, 0.0, 56.0, 4, 99.0), (1, 81.0, 82.0, 2, 163.0), (1, 107.0, 107.0, 1, 107.0), (2, 1.0, 24.0, 2, 1.0), (2, 60.0, 60.0, 1, 2.0), (None, 5.0, 5.0, 1, 1.0)]))

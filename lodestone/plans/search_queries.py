@@ -8,6 +8,7 @@ from lodestone.operators import matching as M
 from lodestone.operators import patterns as A
 from lodestone.operators import retrieval as R
 from lodestone.operators import vector_index as X
+from lodestone.operators.fuzzy import grounded_quotes
 from lodestone.operators.replicas import Replica
 from lodestone.operators.staging import stage
 from lodestone.plans.registry import query, table
@@ -102,3 +103,11 @@ def s20(spark, d):
     new = o.where("o_orderkey % 5000 = 3").select((-F.col("o_orderkey")).alias("o_orderkey"), "o_custkey", F.lit(None).cast("double").alias("o_totalprice"))
     copy.sync(o.where("o_orderkey % 3000 <> 11").withColumn("o_totalprice", price).unionByName(new), "o_orderkey")
     return copy.read()
+
+
+@query("t24_fuzzy_passages")
+def t24(spark, d):
+    """Benchmark passages with typing errors, a letter in every nineteen: in how many whole documents they stand, and the best ratio."""
+    quotes = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", r"(?s)(.{18}).", "$1#").alias("quote"))
+    found = grounded_quotes(table(spark, d, "documents"), "doc_id", "text", quotes, "item_id", "quote")
+    return found.groupBy(F.col("quote").alias("item_id")).agg(F.count("*").alias("documents"), F.round(F.max("ratio"), 6).alias("ratio"))

@@ -1,5 +1,6 @@
 """Indexes and joins against brute force: neighbours, similar sets, substrings, many patterns, scans in two levels."""
 
+import difflib
 import random
 from collections import defaultdict
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import fuzzy as Z
 from lodestone.operators import matching as M
 from lodestone.operators import patterns as A
 from lodestone.operators import replicas as R
@@ -231,3 +233,50 @@ def test_replicas_take_only_ranges_that_differ(spark, tmp_path):
     some = changed.where("o_orderkey < 1000")
     copies[0].sync(some, "o_orderkey")
     assert everything(copies[0].read()) == everything(some)
+
+
+def test_quotes_with_typing_errors_against_every_window(spark):
+    rnd = random.Random(12)
+    words = "access review monthly board policy é record backup server owner approves daily weekly of the and 日本".split()
+    make = lambda n: " ".join(rnd.choice(words) + rnd.choice(["", "", "s", "ed"]) for _ in range(n))
+    texts = [make(rnd.randint(0, 120)) for _ in range(40)] + ["", None]
+    quotes = []
+    for i in range(40):
+        own = (texts[i] or "").split()
+        n = rnd.choice([1, 2, 5, 12, 25])
+        at = rnd.randrange(max(1, len(own) - n))
+        letters = list(" ".join(own[at : at + n]))
+        for _ in range(len(letters) // rnd.choice([8, 12, 20])):
+            k = rnd.randrange(len(letters))
+            letters[k] = rnd.choice(["x", "", letters[k] * 2, letters[k].upper()])
+        quotes.append((i, "".join(letters)))
+    quotes += [(100, None), (101, "  "), (102, make(10))]
+    got = {(i, q): r for i, q, r in values(Z.grounded_quotes(spark.createDataFrame([*enumerate(texts)], "id int, t string").repartition(3), "id", "t", spark.createDataFrame(quotes, "q int, s string"), "q", "s"), "id", "quote", "ratio")}
+    expected = {}
+    for q, quote in quotes:
+        quote = Z.bare(quote)
+        n = len(quote.split())
+        for i, text in enumerate(texts):
+            held = Z.bare(text).split()
+            for k in range(len(held) - n + 1 if n else 0):
+                match = difflib.SequenceMatcher(None, " ".join(held[k : k + n]), quote)
+                if match.real_quick_ratio() >= 0.85 and match.quick_ratio() >= 0.85 and match.ratio() >= 0.85:
+                    expected[i, q] = max(expected.get((i, q), 0), match.ratio())
+    assert set(got) <= set(expected) and all(r <= expected[k] for k, r in got.items())
+    right = sum(got.get(k) == r for k, r in expected.items())
+    long = [k for k in expected if len(dict(quotes)[k[1]]) >= 32]
+    print(f"windows found: {right} of {len(expected)}; of quotes of 32 characters or more {sum(k in got for k in long)} of {len(long)}")
+    assert right >= 0.9 * len(expected) and len(long) > 15
+
+
+def test_common_subsequences():
+    rnd = random.Random(1)
+    for _ in range(200):
+        a, b = ("".join(rnd.choice("abcé") for _ in range(rnd.randint(0, 70))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for c in a:
+            above = row[:]
+            for j, d in enumerate(b, 1):
+                row[j] = above[j - 1] + 1 if c == d else max(above[j], row[j - 1])
+        assert Z.common_subsequence(a, b) == row[-1]
+        assert sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()) <= row[-1]

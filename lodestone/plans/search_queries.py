@@ -11,7 +11,9 @@ from lodestone.operators import vector_index as X
 from lodestone.operators.fuzzy import grounded_quotes
 from lodestone.operators.replicas import Replica
 from lodestone.operators.staging import stage
+from lodestone.plans.reader_queries import S11_SQL
 from lodestone.plans.registry import query, table
+from lodestone.sources.readers import read_any
 from lodestone.streaming.counters import new_folder
 
 #: Neighbours of a query, and candidates whose exact similarity is worked out.
@@ -111,3 +113,29 @@ def t24(spark, d):
     quotes = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", r"(?s)(.{18}).", "$1#").alias("quote"))
     found = grounded_quotes(table(spark, d, "documents"), "doc_id", "text", quotes, "item_id", "quote")
     return found.groupBy(F.col("quote").alias("item_id")).agg(F.count("*").alias("documents"), F.round(F.max("ratio"), 6).alias("ratio"))
+
+
+#: Records of five kinds of files: lines of documents, blocks of pages, suppliers as CSV, JSON and XML.
+DISPATCH_SQL = f"""
+WITH {S11_SQL.strip().removeprefix("WITH ").replace(")\nSELECT id, place, coalesce(", "),\nh AS (SELECT id, place, coalesce(", 1).rstrip()}),
+l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT 'text' AS kind, count(*) AS records, CAST(sum(length(line)) AS BIGINT) AS chars FROM l WHERE trim(line, ' ') <> ''
+UNION ALL SELECT 'html', count(*), CAST(sum(length(paragraph)) AS BIGINT) FROM h
+UNION ALL SELECT kind, count(*), CAST(sum(length(s_name)) AS BIGINT) FROM supplier, (VALUES ('csv'), ('json'), ('xml')) AS k(kind) GROUP BY kind
+"""
+
+
+@query("s1_dispatch", DISPATCH_SQL)
+def s1(spark, d):
+    """Documents, pages and suppliers written as files of five kinds under one folder, and read in one scan by their content."""
+    home = new_folder(spark, "files")
+    table(spark, d, "documents").select("text").where("text IS NOT NULL").repartition(4).write.text(f"{home}/a")
+    page = F.concat(F.lit("<!DOCTYPE html>"), F.replace("html", F.lit("\n"), F.lit(" ")))
+    table(spark, d, "pages").select(page.alias("html")).repartition(3).write.text(f"{home}/b")
+    s = table(spark, d, "supplier")
+    s.write.option("header", "true").csv(f"{home}/c")
+    s.write.json(f"{home}/d")
+    s.write.format("xml").option("rootTag", "suppliers").option("rowTag", "supplier").save(f"{home}/e")
+    rows = read_any(spark, home).where("error IS NULL")
+    shown = F.when(F.col("kind").isin("csv", "json", "xml"), F.col("fields")["s_name"]).otherwise(F.col("text"))
+    return rows.groupBy("kind").agg(F.count("*").alias("records"), F.sum(F.char_length(shown)).alias("chars"))

@@ -280,3 +280,32 @@ def test_common_subsequences():
                 row[j] = above[j - 1] + 1 if c == d else max(above[j], row[j - 1])
         assert Z.common_subsequence(a, b) == row[-1]
         assert sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()) <= row[-1]
+
+
+def test_files_of_every_kind_by_their_content(spark, tmp_path):
+    from lodestone.sources import readers as D
+
+    files = {
+        "a.bin": b"plain text of a file,\nwith a second line\n\n", "b.txt": b"id,name\n1,first\n2,\"a, b\"\n", "c.dat": b'{"a": {"b": [1, null, "x"]}}\n{"a": 2}', "d": b'[{"k": 1}, {"k": 2}]',
+        "e.txt": b'<?xml version="1.0"?><list xmlns="urn:x"><item id="7"><name> n </name></item><item>t</item></list>', "f": b"<html><head><title>x</title></head><h1>Top</h1><p>one two three</p><p>no</p></html>",
+        "g.pdf": b"%PDF-1.7 x", "h": b"", "i.xml": b"<a><b></a>", "j.json": b'{"a": 1', "k": b"\x00\x01",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = defaultdict(list)
+    for r in D.read_any(spark, str(tmp_path)).orderBy("path", "place").collect():
+        got[r["path"].rsplit("/", 1)[1]].append((r["kind"], r["error"], r["section"], r["text"], r["fields"]))
+    assert got == {
+        "a.bin": [("text", None, "", "plain text of a file,", {}), ("text", None, "", "with a second line", {})],
+        "b.txt": [("csv", None, "", "id=1 | name=first", {"id": "1", "name": "first"}), ("csv", None, "", "id=2 | name=a, b", {"id": "2", "name": "a, b"})],
+        "c.dat": [("json", None, "", "a.b[0]=1 | a.b[2]=x", {"a.b[0]": "1", "a.b[2]": "x"}), ("json", None, "", "a=2", {"a": "2"})],
+        "d": [("json", None, "", "k=1", {"k": "1"}), ("json", None, "", "k=2", {"k": "2"})],
+        "e.txt": [("xml", None, "list", "@id=7 | name=n", {"@id": "7", "name": "n"}), ("xml", None, "list", "t", {})],
+        "f": [("html", None, "Top", "Top", {}), ("html", None, "Top", "one two three", {})],
+        "g.pdf": [("pdf", "NO_PARSER", None, None, None)],
+        "i.xml": [("xml", "BROKEN: ParseError", None, None, None)], "j.json": [("json", "BROKEN: JSONDecodeError", None, None, None)], "k": [("unknown", "NO_PARSER", None, None, None)],
+    }
+    D.register(spark)
+    spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(files.values())], "id int, content binary").createOrReplaceTempView("some_files")
+    assert spark.sql("SELECT * FROM some_files, LATERAL file_records(content)").count() == sum(map(len, got.values())) + 1
+    assert spark.sql("SELECT kind, error FROM some_files, LATERAL file_records(content) WHERE octet_length(content) = 0").collect() == [("empty", "EMPTY")]

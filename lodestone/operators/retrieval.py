@@ -44,6 +44,42 @@ def bm25(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", text_c
     return tf.join(known, "term").groupBy("query", "chunk").agg(F.sum(part).alias("bm25"))
 
 
+def best_bm25(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """(query, chunk, bm25): of several forms of a query (query, form, term, weight) the best score of each chunk.
+
+    A chunk without a term of one form scores 0 by it, which counts where the
+    other form's score is negative.
+    """
+    scored = bm25(chunks, queries.select(F.struct("query", "form").alias("query"), "term", "weight"), id_col, text_col)
+    forms = queries.groupBy("query").agg(F.count_distinct("form").alias("forms"))
+    best = scored.groupBy(F.col("query.query").alias("query"), "chunk").agg(F.max("bm25").alias("bm25"), F.count("*").alias("n")).join(forms, "query")
+    return best.select("query", "chunk", F.when(F.col("n") < F.col("forms"), F.greatest("bm25", F.lit(0.0))).otherwise(F.col("bm25")).alias("bm25"))
+
+
+def top_of_dominant(df: DataFrame, kind: str, order: list[Column], limits: dict[str, int], default: int, least: int = 30, quick: bool = False) -> DataFrame:
+    """The first k rows in ``order``: k is the limit of the most frequent ``kind`` (the first by name on ties), and ``least`` at least unless ``quick``."""
+    counted = df.groupBy(kind).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.col(kind).asc_nulls_last()).limit(1).collect()
+    k = limits.get(counted[0][0], default) if counted else default
+    return df.orderBy(*order).limit(k if quick else max(k, least))
+
+
+def chat_context(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
+    """(query, id, score, rank): each question's ``k`` chunks, by cosine where it has a vector, else by how many of its words of four letters or more the chunk contains.
+
+    ``chunks`` are (id, text), ``vectors`` (id, vector), ``questions`` a stated
+    set (query, text, vector); chunks without a vector take no part in the former.
+    """
+    known = vectors.where("vector IS NOT NULL").select("id", "vector")
+    near = similarities(known, questions.where(F.size("vector") > 0), "id", "vector").select("query", "id", F.col("similarity").alias("score"))
+    bare = questions.where(F.coalesce(F.size("vector"), F.lit(-1)) <= 0)
+    words = bare.select("query", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.char_length(w) > 3).alias("words"))
+    low = chunks.select("id", F.lower("text").alias("t")).join(F.broadcast(words), F.lit(True))
+    counted = low.select("query", "id", F.size(F.filter("words", lambda w: F.contains(F.col("t"), w))).cast("double").alias("score"))
+    best = [F.desc("score"), F.col("id")]
+    kept = first_per(near.unionByName(counted), ["query"], best, k)
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*best)))
+
+
 def term_counts(chunks: DataFrame, terms: list[tuple[str, float]], text_col: str = "text") -> Column:
     """Weighted count of whole-word terms, the scorer that needs no corpus statistics."""
     low = F.lower(F.col(text_col))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package that register queries.
-MODULES = ["relational", "rule_queries", "text_queries", "source_queries", "context_queries", "reader_queries", "table_queries", "search_queries"]
+MODULES = ["relational", "rule_queries", "text_queries", "source_queries", "context_queries", "reader_queries", "table_queries", "search_queries", "verdict_queries"]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package that register queries.
-MODULES = ["relational", "rule_queries", "text_queries", "source_queries", "context_queries", "reader_queries", "table_queries", "search_queries", "verdict_queries"]
+MODULES = ["relational", "rule_queries", "text_queries", "source_queries", "context_queries", "reader_queries", "table_queries", "search_queries", "verdict_queries", "line_queries"]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -30,6 +30,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def oracle_sql_of(name: str) -> str:
+    """The SQL of a query that has been registered."""
+    return _SQL[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import cvss
 from lodestone.functions import predicates as P
 from lodestone.functions import rules as R
 from lodestone.functions import text as T
@@ -142,3 +143,43 @@ def c15(spark, d):
     """Whether documents, read as requirements of a clause by their number, demand a policy."""
     clause = F.concat((F.col("doc_id") % 10).cast("string"), F.lit(".1"))
     return table(spark, d, "documents").select("doc_id", K.policy_required(F.col("text"), F.lit(None).cast("string"), clause).alias("required"))
+
+
+#: A vector of each line, its metrics drawn from the line's numbers, and the public formulas over the same draws.
+_DRAWN = {
+    "av": ("l_partkey", 4, "NALP"), "ac": ("l_suppkey", 2, "LH"), "pr": ("l_orderkey", 3, "NLH"), "ui": ("l_linenumber", 2, "NR"), "s": ("l_orderkey + l_partkey", 2, "UC"),
+    "c": ("l_partkey + l_linenumber", 3, "HLN"), "i": ("l_orderkey + l_linenumber", 3, "HLN"), "a": ("l_orderkey + l_suppkey", 3, "HLN"),
+}
+_PICKED = ", ".join(f"substr('{letters}', CAST(({of}) % {n} AS INT) + 1, 1) AS {name}" for name, (of, n, letters) in _DRAWN.items())
+
+
+def _weights(name: str, weights: dict[str, float]) -> str:
+    return f"CASE {name} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in weights.items()) + " END"
+
+
+CVSS_SQL = f"""
+WITH m AS (SELECT l_orderkey * 10 + l_linenumber AS id, {_PICKED} FROM lineitem),
+w AS (SELECT *, {_weights("av", cvss.V3["AV"])} * {_weights("ac", cvss.V3["AC"])} * CASE s WHEN 'C' THEN {_weights("pr", cvss.PRIVILEGES["C"])} ELSE {_weights("pr", cvss.PRIVILEGES["U"])} END * {_weights("ui", cvss.V3["UI"])} * 8.22 AS e,
+             1 - (1 - {_weights("c", cvss.V3["C"])}) * (1 - {_weights("i", cvss.V3["I"])}) * (1 - {_weights("a", cvss.V3["A"])}) AS loss,
+             1 - (1 - CASE c WHEN 'H' THEN 0.66::DOUBLE WHEN 'L' THEN 0.275 ELSE 0 END) * (1 - CASE i WHEN 'H' THEN 0.66::DOUBLE WHEN 'L' THEN 0.275 ELSE 0 END) * (1 - CASE a WHEN 'H' THEN 0.66::DOUBLE WHEN 'L' THEN 0.275 ELSE 0 END) AS loss2,
+             20 * CASE av WHEN 'N' THEN 1::DOUBLE WHEN 'A' THEN 0.646 ELSE 0.395 END * CASE ac WHEN 'L' THEN 0.71::DOUBLE ELSE 0.35 END * CASE pr WHEN 'N' THEN 0.704::DOUBLE WHEN 'L' THEN 0.56 ELSE 0.45 END AS e2 FROM m),
+x AS (SELECT *, CASE s WHEN 'C' THEN 7.52::DOUBLE * (loss - 0.029) - 3.25 * pow(loss - 0.02, 15) ELSE 6.42 * loss END AS impact FROM w),
+t AS (SELECT *, least(10, CASE s WHEN 'C' THEN 1.08 * (impact + e) ELSE impact + e END) AS total FROM x)
+SELECT id, CASE WHEN impact <= 0 THEN 0 ELSE ceil(round(total * 100000) / 10000) / 10 END::DOUBLE AS score3,
+       CASE WHEN loss2 = 0 THEN 0 ELSE round((0.6 * 10.41 * loss2 + 0.4 * e2 - 1.5) * 1.176, 1) END::DOUBLE AS score2 FROM t
+"""
+
+
+@query("c2_base_scores", CVSS_SQL)
+def c2b(spark, d):
+    """The 3.1 and 2.0 base scores of vectors drawn from every order line."""
+    picked = {name: F.substring(F.lit(letters), (F.expr(f"({of}) % {n}") + 1).cast("int"), F.lit(1)) for name, (of, n, letters) in _DRAWN.items()}
+    old = {"pr": F.translate(picked["pr"], "NLH", "NSM"), "av": F.translate(picked["av"], "P", "L"), **{k: F.translate(picked[k], "HL", "CP") for k in "cia"}}
+
+    def joined(pairs: list[tuple[str, object]]):
+        return F.concat_ws("/", *[F.concat(F.lit(f"{k}:"), v) for k, v in pairs])
+
+    three = F.concat(F.lit("CVSS:3.1/"), joined([("AV", picked["av"]), ("AC", picked["ac"]), ("PR", picked["pr"]), ("UI", picked["ui"]), ("S", picked["s"]), ("C", picked["c"]), ("I", picked["i"]), ("A", picked["a"])]))
+    two = joined([("AV", old["av"]), ("AC", picked["ac"]), ("Au", old["pr"]), ("C", old["c"]), ("I", old["i"]), ("A", old["a"])])
+    x = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), three.alias("three"), two.alias("two"))
+    return x.select("id", cvss.vector_score(F.col("three")).alias("score3"), cvss.vector_score(F.col("two")).alias("score2"))

@@ -289,3 +289,16 @@ def test_state_lives_from_its_last_update(spark, tmp_path):
         L.replay(spark, f"{tmp_path}/in", f"{tmp_path}/home")
     got = L.sessions_of(spark, f"{tmp_path}/home").select("user_id", (F.unix_seconds("first") / 3600 - 1000).alias("a"), (F.unix_seconds("last") / 3600 - 1000).alias("z"), "n", "total")
     assert sorted(map(repr, values(got, "user_id", "a", "z", "n", "total"))) == sorted(map(repr, [(1, 0.0, 56.0, 4, 99.0), (1, 81.0, 82.0, 2, 163.0), (1, 107.0, 107.0, 1, 107.0), (2, 1.0, 24.0, 2, 1.0), (2, 60.0, 60.0, 1, 2.0), (None, 5.0, 5.0, 1, 1.0)]))
+
+
+def test_published_base_scores(spark):
+    from lodestone.functions import cvss
+
+    rows = [
+        ("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", 9.8), ("CVSS:3.0/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H", 10.0), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:R/S:C/C:L/I:L/A:N", 6.1),
+        ("AV:L/AC:L/PR:L/UI:N/S:U/C:H/I:H/A:H", 7.8), ("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:N", 0.0), ("CVSS:3.1/AV:P/AC:H/PR:H/UI:R/S:U/C:L/I:N/A:N", 1.6),
+        ("CVSS:3.1/AV:N/AC:H/PR:N/UI:N/S:U/C:N/I:N/A:H/E:P", 5.9), ("AV:N/AC:L/Au:N/C:P/I:P/A:P", 7.5), ("(AV:N/AC:L/Au:N/C:C/I:C/A:C)", 10.0), ("AV:N/AC:M/Au:N/C:N/I:P/A:N", 4.3), ("AV:L/AC:H/Au:M/C:N/I:N/A:N", 0.0),
+        ("AV:N/AC:L", 6.5), ("CVSS:3.1/AV:N/AC:X/PR:N/UI:N/S:U/C:H/I:H/A:H", None), ("nothing", None), (None, None),
+    ]
+    df = spark.createDataFrame(rows, "vector string, score double")
+    assert [r for r in df.withColumn("got", cvss.vector_score(F.col("vector"))).collect() if r["got"] != r["score"]] == []

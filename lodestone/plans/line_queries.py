@@ -10,6 +10,7 @@ from lodestone.functions import predicates as P
 from lodestone.functions import rules as R
 from lodestone.functions import text as T
 from lodestone.operators import context as K
+from lodestone.operators.substrings import contained
 from lodestone.plans import rule_queries
 from lodestone.plans.fixtures import CRYPTO, FINDINGS, RISKS, Rows
 from lodestone.plans.registry import oracle_sql_of, query, table
@@ -183,3 +184,47 @@ def c2b(spark, d):
     two = joined([("AV", old["av"]), ("AC", picked["ac"]), ("Au", old["pr"]), ("C", old["c"]), ("I", old["i"]), ("A", old["a"])])
     x = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), three.alias("three"), two.alias("two"))
     return x.select("id", cvss.vector_score(F.col("three")).alias("score3"), cvss.vector_score(F.col("two")).alias("score2"))
+
+
+@query("t23_event_durations", "SELECT event_id, CASE WHEN s >= 3600 THEN CAST(s // 3600 AS VARCHAR) || 'h ' ELSE '' END || CASE WHEN s >= 60 THEN CAST(s % 3600 // 60 AS VARCHAR) || 'm ' ELSE '' END || CAST(s % 60 AS VARCHAR) || '.0s' AS took FROM (SELECT event_id, CAST(floor(value * 100) AS BIGINT) AS s FROM events)")
+def t23(spark, d):
+    """Event values as durations in whole seconds."""
+    return table(spark, d, "events").select("event_id", T.duration_text(F.floor(F.col("value") * 100).cast("double")).alias("took"))
+
+
+@query("t22_part_citations", "SELECT p_partkey, replace(p_name, ' ', '_') || '.pdf|' || lower(replace(p_brand, '#', '')) || ' list.xlsx' AS files FROM part WHERE p_name <> ''")
+def t22(spark, d):
+    """Cells that cite a file by a part's name and one by its brand, between tags and words that are no file."""
+    cell = F.concat(F.lit("[POL] "), F.translate("p_name", " ", "_"), F.lit(".pdf; see the annex\n"), F.lower(F.translate("p_brand", "#", "")), F.lit(" list.xlsx [2]; "), F.lit("none"))
+    return table(spark, d, "part").where("p_name <> ''").select("p_partkey", F.array_join(T.citations(cell), "|").alias("files"))
+
+
+@query("u2_line_files", "SELECT l_orderkey, string_agg(file, ', ' ORDER BY first) AS files FROM (SELECT l_orderkey, file, min(n * 2 + k) AS first FROM (SELECT l_orderkey, (CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey) * 100000 + l_suppkey AS n, unnest(['s' || l_suppkey % 4, 'p' || l_partkey % 3]) AS file, unnest([0, 1]) AS k FROM lineitem) GROUP BY 1, 2) GROUP BY 1")
+def u2(spark, d):
+    """Files of an order's lines, by supplier and part, each once, in the order of the lines."""
+    files = F.array(F.concat(F.lit("s"), (F.col("l_suppkey") % 4).cast("string")), F.concat(F.lit("p"), (F.col("l_partkey") % 3).cast("string")))
+    x = table(spark, d, "lineitem").select("l_orderkey", ((F.col("l_linenumber").cast("long") * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")).alias("n"), files.alias("files"))
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("n", "files"))), lambda r: r["files"])
+    return x.groupBy("l_orderkey").agg(F.array_join(F.array_distinct(F.flatten(lists)), ", ").alias("files"))
+
+
+@query("v8_line_split", over_lines("v8_actionable_split", FINDINGS))
+def v8(spark, d):
+    return lines(spark, d, FINDINGS).select("id", R.severity(F.col("label")).isin("CRITICAL", "HIGH", "MEDIUM", "LOW").alias("actionable"))
+
+
+_PLAIN = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_WHITE = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
+
+
+@query(
+    "t12_passages_graded",
+    f"WITH b AS (SELECT item_id, substr(text, 1, 120) AS q FROM benchmark), d AS (SELECT doc_id, text FROM documents) SELECT item_id, doc_id, CASE WHEN contains({_WHITE.format('substr(text, 1, 2000)')}, {_WHITE.format('q')}) THEN 'CHUNK' WHEN contains({_WHITE.format('text')}, {_WHITE.format('q')}) THEN 'DOCUMENT' ELSE 'ALPHANUMERIC' END AS grade FROM b JOIN d ON contains({_PLAIN.format('text')}, {_PLAIN.format('q')}) WHERE {_PLAIN.format('q')} <> ''",
+)
+def t12(spark, d):
+    """Benchmark passages in all documents, met by a substring join, graded by how they are found: in the first 2000 characters, in the text, or by letters and digits alone."""
+    quotes = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 120).alias("quote")).withColumn("bare", T.alphanumeric(F.col("quote")))
+    docs = table(spark, d, "documents").select("doc_id", "text").withColumn("bare", T.alphanumeric(F.col("text")))
+    met = contained(docs, "doc_id", "bare", quotes, "item_id", "bare").select(F.col("id").alias("doc_id"), F.col("needle").alias("item_id"))
+    both = met.join(docs.drop("bare"), "doc_id").join(quotes.drop("bare"), "item_id")
+    return both.select("item_id", "doc_id", T.graded_grounding(F.col("quote"), F.substring("text", 1, 2000), F.col("text")).alias("grade"))

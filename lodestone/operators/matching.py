@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.retrieval import similarities
+from lodestone.operators.staging import stage
 from lodestone.operators.substrings import contained
 from lodestone.operators.windows import first_per
 
@@ -115,3 +117,38 @@ def first_source(frames: list[DataFrame], key: str) -> DataFrame:
         df = df.withColumn("__i", F.lit(i))
         both = df if both is None else both.unionByName(df)
     return first_per(both, [key], [F.col("__i")]).drop("__i")
+
+
+def resolve_controls(rows: DataFrame, controls: DataFrame, least: float = 0.5) -> DataFrame:
+    """(id, control, step): the control of each row by its id, else its name, else the longest keyword in its text, else its vector.
+
+    ``rows`` are (id, id_text, name_text, text, vector) with unique ids, ``controls``
+    (control, name, keyword, vector), one row each. Ids and names compare in lower
+    case without white space at their ends; equal names go to the least control.
+    A vector counts with a cosine above ``least``. Each step sees only the rows
+    that those before it left; a row that none resolves has a null control.
+    """
+    bare = lambda c: F.lower(F.trim(F.col(c)))
+
+    def equal(left: DataFrame, column: str, of: str) -> DataFrame:
+        known = controls.groupBy(bare(of).alias("key")).agg(F.min("control").alias("control")).where("key <> ''")
+        return left.join(known, bare(column) == F.col("key")).select("id", "control")
+
+    def by_vector(left: DataFrame) -> DataFrame:
+        asked = controls.where(F.size("vector") > 0).select(F.col("control").alias("query"), "vector")
+        near = similarities(left.where(F.size("vector") > 0), asked, "id", "vector").where(F.col("similarity") > least)
+        return first_per(near, ["id"], [F.desc("similarity"), F.col("query")]).select("id", F.col("query").alias("control"))
+
+    keywords = controls.select("keyword", F.col("control").alias("value"))
+    steps = [
+        ("id", lambda left: equal(left, "id_text", "control")),
+        ("name", lambda left: equal(left, "name_text", "name")),
+        ("keyword", lambda left: longest_keyword(left, "id", "text", keywords).select("id", F.col("value").alias("control"))),
+        ("vector", by_vector),
+    ]
+    left, out = rows, None
+    for step, found in steps:
+        hits = stage(found(left).select("id", "control", F.lit(step).alias("step")), "resolved")
+        out = hits if out is None else out.unionByName(hits)
+        left = left.join(hits.select("id"), "id", "left_anti")
+    return out.unionByName(left.select("id", F.lit(None).cast(out.schema["control"].dataType).alias("control"), F.lit("none").alias("step")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions import verdicts as V
 from lodestone.operators import retrieval as R
+from lodestone.operators.matching import resolve_controls
 from lodestone.plans.registry import query, table
 from lodestone.plans.text_queries import BM25_SQL
 
@@ -118,3 +119,34 @@ def t25(spark, d):
     """Every tenth benchmark passage as a quote, against all documents: those that have six tenths of its key terms."""
     quotes = table(spark, d, "benchmark").where("item_id % 10 = 0").select("item_id", F.col("text").alias("quote"))
     return table(spark, d, "documents").join(F.broadcast(quotes), T.terms_grounded(F.col("quote"), F.col("text"))).select("item_id", "doc_id")
+
+
+#: Nations as controls: an id, a name, the fourth word of a benchmark passage as a keyword, a vector. Documents cite them in one way or another.
+C22_SQL = r"""
+WITH c AS (SELECT 'n-' || n_nationkey AS control, n_name AS name, trim(regexp_replace(lower(string_split(b.text, ' ')[4]), '[^a-z0-9]+', ' ', 'g')) AS keyword, e.embedding::DOUBLE[] AS x
+           FROM nation LEFT JOIN benchmark b ON item_id = n_nationkey LEFT JOIN embeddings e ON vec_id = n_nationkey),
+r AS (SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'n-' || doc_id % 30 END AS id_text, CASE WHEN doc_id % 4 = 1 THEN n_name END AS name_text,
+             ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t, embedding::DOUBLE[] AS v
+      FROM documents LEFT JOIN nation ON n_nationkey = doc_id % 40 LEFT JOIN embeddings ON vec_id = doc_id),
+a AS (SELECT id, control FROM r JOIN c ON control = id_text),
+b AS (SELECT id, min(control) AS control FROM r JOIN c ON name = name_text WHERE id NOT IN (SELECT id FROM a) GROUP BY id),
+k AS (SELECT id, control, row_number() OVER (PARTITION BY id ORDER BY length(keyword) DESC, keyword, control) AS n FROM r JOIN c ON keyword <> '' AND contains(t, ' ' || keyword || ' ') WHERE id NOT IN (SELECT id FROM a UNION SELECT id FROM b)),
+s AS (SELECT id, control, list_cosine_similarity(v, x) AS s FROM r JOIN c ON v IS NOT NULL AND x IS NOT NULL WHERE id NOT IN (SELECT id FROM a UNION SELECT id FROM b UNION SELECT id FROM k)),
+f AS (SELECT id, control, row_number() OVER (PARTITION BY id ORDER BY s DESC, control) AS n FROM s WHERE s > 0.25),
+u AS (SELECT id, control, 'id' AS step FROM a UNION ALL SELECT id, control, 'name' FROM b UNION ALL SELECT id, control, 'keyword' FROM k WHERE n = 1 UNION ALL SELECT id, control, 'vector' FROM f WHERE n = 1)
+SELECT r.id, control, coalesce(step, 'none') AS step FROM r LEFT JOIN u ON u.id = r.id
+"""
+
+
+@query("c22_resolved_controls", C22_SQL)
+def c22(spark, d):
+    """The control of every document by id, name, keyword or vector."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    n = table(spark, d, "nation")
+    words = table(spark, d, "benchmark").select("item_id", F.get(F.split("text", " "), F.lit(3)).alias("keyword"))
+    controls = n.join(words, F.col("item_id") == F.col("n_nationkey"), "left").join(e, F.col("vec_id") == F.col("n_nationkey"), "left")
+    controls = controls.select(F.concat(F.lit("n-"), F.col("n_nationkey").cast("string")).alias("control"), F.col("n_name").alias("name"), "keyword", "vector")
+    docs = table(spark, d, "documents").join(n.select("n_nationkey", "n_name"), F.col("n_nationkey") == F.col("doc_id") % 40, "left").join(e, F.col("vec_id") == F.col("doc_id"), "left")
+    cited = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" N-"), (F.col("doc_id") % 30).cast("string")))
+    rows = docs.select(F.col("doc_id").alias("id"), cited.alias("id_text"), F.when(F.col("doc_id") % 4 == 1, F.lower("n_name")).alias("name_text"), "text", "vector")
+    return resolve_controls(rows, controls, 0.25)

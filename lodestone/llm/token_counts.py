@@ -81,11 +81,13 @@ Slot = tuple[str, list[int], list[int]]
 
 def slots_of(text: str, counts: Counter) -> list[Slot]:
     """The slots (text, characters and tokens of each pre-token) of a new tree."""
-    leaves, out, at = list(counts.leaves(text)), [], 0
-    for i in range(0, len(leaves), BLOCK):
-        chars, tokens = (list(x) for x in zip(*leaves[i : i + BLOCK], strict=True))
-        out.append((text[at : at + sum(chars)], chars, tokens))
-        at += sum(chars)
+    pieces, out = counts.pattern.findall(text), []
+    known, count = counts.known, counts.count
+    # most pieces are remembered; the others are counted, and remembered then
+    sizes = [known[p] if p in known else count(p) for p in pieces]
+    for i in range(0, len(pieces), BLOCK):
+        block = pieces[i : i + BLOCK]
+        out.append(("".join(block), list(map(len, block)), sizes[i : i + BLOCK]))
     return out
 
 

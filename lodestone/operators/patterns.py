@@ -7,6 +7,7 @@ many patterns there are.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -88,6 +89,76 @@ def _search(sent, whole_words: bool, distinct: bool):
     return run
 
 
+def _span_rows(spans: list[list[tuple[int, int]]], batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(id, start, end, pattern) of the spans of each row of (id, text, ...)."""
+    rows = [row for row, found in enumerate(spans) for _ in found]
+    flat = [x for found in spans for x in found]
+    texts = batch.column(1).to_pylist()
+    names = [texts[row][a:z] for row, (a, z) in zip(rows, flat, strict=True)]
+    starts, ends = pa.array([a for a, _ in flat], pa.int32()), pa.array([z for _, z in flat], pa.int32())
+    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), starts, ends, pa.array(names, pa.string())], ["id", "start", "end", "pattern"])
+
+
+def longest_spans(df: DataFrame, id_col: str, text_col: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """(id, start, end, pattern): the places that a reader from the left takes, the longest at the first one, then on behind it.
+
+    A text is judged where it is read, so no place is moved or stored. With
+    several blocks of patterns each passes on the longest place at a start, as
+    4-byte numbers beside the text; the last one judges. Each row is judged by
+    itself, rows of one id too.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("found"))
+    held = _blocks(patterns.select(F.col(pattern).alias("p")).where(F.char_length("p") > 0).distinct())
+    if not held:
+        return df.sparkSession.createDataFrame([], f"id {kind}, start int, end int, pattern string")
+    for i, block in enumerate(held):
+        last = i == len(held) - 1
+        schema = f"id {kind}, start int, end int, pattern string" if last else f"id {kind}, text string, found binary"
+        rows = rows.mapInArrow(_longest(df.sparkSession.sparkContext.broadcast(block), last), schema)
+    return rows
+
+
+def _blocks(known: DataFrame) -> list[list[str]]:
+    """The patterns ``p`` in blocks of about BLOCK characters."""
+    total = known.agg(F.sum(F.char_length("p"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK))
+    found = [sorted(r["p"] for r in known.where(F.pmod(F.xxhash64("p"), F.lit(blocks)) == b).collect()) for b in range(blocks)]
+    return [x for x in found if x]
+
+
+def _longest(sent, last: bool):
+    number = sent._jbroadcast.id()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(number, sent.value)
+        sizes = [len(p) for p in sent.value]
+        for batch in batches:
+            done: list = []
+            for text, found in zip(batch.column(1), batch.column(2), strict=True):
+                before = array("i", found.as_py() or b"")
+                ends = dict(zip(before[::2], before[1::2], strict=True))
+                for at, i in automaton.iter(text.as_py() or ""):
+                    a = at + 1 - sizes[i]
+                    if ends.get(a, 0) <= at:
+                        ends[a] = at + 1
+                if not last:
+                    done.append(array("i", [x for span in ends.items() for x in span]).tobytes())
+                    continue
+                taken, free = [], 0
+                for a in sorted(ends):
+                    if a >= free:
+                        free = ends[a]
+                        taken.append((a, free))
+                done.append(taken)
+            if last:
+                yield _span_rows(done, batch)
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.binary())], ["id", "text", "found"])
+
+    return run
+
+
 def leftmost_longest(places: DataFrame, id_col: str = "id") -> DataFrame:
     """Of ``occurrences``, those that a reader from the left takes: the longest at the first place, then on behind it."""
     ranked = places.withColumn("__rank", F.struct(F.col("start"), (-F.col("end")).alias("end")))

@@ -62,7 +62,7 @@ def f15(spark, d):
 def v9(spark, d):
     """Of all places of the keywords in a document, those a reader from the left takes: how many, and how many characters they cover."""
     docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
-    kept = A.leftmost_longest(stage(A.occurrences(docs, "doc_id", "t", _keywords(spark, d), "keyword"), "places"))
+    kept = A.longest_spans(docs, "doc_id", "t", _keywords(spark, d), "keyword")
     return kept.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("spans"), F.sum(F.col("end") - F.col("start")).alias("covered"))
 
 

@@ -142,6 +142,22 @@ def test_many_patterns(spark, monkeypatch, block):
         assert sorted(values(got, "id", "start", "end", "pattern"), key=repr) == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("block", [8 << 20, 6])
+def test_spans_are_judged_where_the_text_is_read(spark, monkeypatch, block):
+    """The same spans as of all places, without a shuffle or a stored table, also for several blocks of patterns."""
+    monkeypatch.setattr(A, "BLOCK", block)
+    rnd = random.Random(5)
+    patterns = ["a", "ab", "bab", "abab", "b b", "é", "bé", " a", "zz", "😀", "a😀"]
+    docs = spark.createDataFrame([*enumerate("".join(rnd.choice("abé _😀") for _ in range(rnd.randint(0, 60))) for _ in range(80)), (100, None), (None, "ab")], "id int, t string").repartition(3)
+    rules = spark.createDataFrame([*((p, i % 4) for i, p in enumerate(patterns)), ("", 0), (None, 1), ("ab", 9)], "p string, rank int")
+    places = A.occurrences(docs, "id", "t", rules, "p")
+    wanted = sorted(values(A.leftmost_longest(places), "id", "start", "end", "pattern"), key=repr)
+    got = A.longest_spans(docs.localCheckpoint(), "id", "t", rules, "p")
+    assert sorted(values(got, "id", "start", "end", "pattern"), key=repr) == wanted
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert A.longest_spans(docs, "id", "t", rules.where("p = ''"), "p").count() == 0
+
+
 def test_ten_thousand_patterns(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     texts = values(docs, "doc_id", "text")

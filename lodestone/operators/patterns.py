@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.staging import stage
 from lodestone.operators.windows import free_spans
 
 #: Characters of patterns in a block, about.
@@ -119,6 +120,49 @@ def longest_spans(df: DataFrame, id_col: str, text_col: str, patterns: DataFrame
     return rows
 
 
+def priority_spans(df: DataFrame, id_col: str, text_col: str, rules: DataFrame, pattern: str, priority: str) -> DataFrame:
+    """(id, start, end, pattern, priority): the places in the order of their rules' priority (the least first) and place that overlap none taken before.
+
+    Rules of one block of patterns are judged where the text is read, and each
+    row by itself; more patterns go by way of all places and ``by_priority``.
+    """
+    known = rules.where(F.char_length(pattern) > 0).groupBy(F.col(pattern).alias("p")).agg(F.min(priority).alias("priority"))
+    held = _blocks(known)
+    if len(held) > 1:
+        return by_priority(stage(occurrences(df, id_col, text_col, rules, pattern), "places"), rules, pattern, priority)
+    kind = df.schema[id_col].dataType.simpleString()
+    # one block of patterns at most
+    ordered, levels = known.orderBy(F.col("priority").asc_nulls_first(), "p").collect(), []
+    for before, here in zip([None, *ordered], ordered, strict=False):
+        levels.append(levels[-1] + (here["priority"] != before["priority"]) if before else 0)
+    sent = df.sparkSession.sparkContext.broadcast(([r["p"] for r in ordered], levels))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    taken = rows.where(F.lit(bool(ordered))).mapInArrow(_by_level(sent), f"id {kind}, start int, end int, pattern string")
+    return taken.join(F.broadcast(known.withColumnRenamed("p", "pattern")), "pattern").select("id", "start", "end", "pattern", "priority")
+
+
+def _by_level(sent):
+    number = sent._jbroadcast.id()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns, levels = sent.value
+        automaton = _automaton(number, patterns)
+        sizes = [len(p) for p in patterns]
+        for batch in batches:
+            done = []
+            for value in batch.column(1):
+                text = value.as_py() or ""
+                covered, taken = bytearray(len(text)), []
+                for _, a, z in sorted([(levels[i], at + 1 - sizes[i], at + 1) for at, i in automaton.iter(text)]):
+                    if covered.find(1, a, z) < 0:
+                        covered[a:z] = b"\1" * (z - a)
+                        taken.append((a, z))
+                done.append(taken)
+            yield _span_rows(done, batch)
+
+    return run
+
+
 def _blocks(known: DataFrame) -> list[list[str]]:
     """The patterns ``p`` in blocks of about BLOCK characters."""
     total = known.agg(F.sum(F.char_length("p"))).first()[0] or 0

@@ -10,7 +10,6 @@ from lodestone.operators import retrieval as R
 from lodestone.operators import vector_index as X
 from lodestone.operators.fuzzy import grounded_quotes
 from lodestone.operators.replicas import Replica
-from lodestone.operators.staging import stage
 from lodestone.plans.reader_queries import S11_SQL
 from lodestone.plans.registry import query, table
 from lodestone.sources.readers import read_any
@@ -71,7 +70,7 @@ def v9b(spark, d):
     """The same places where shorter keywords are rules of higher priority."""
     docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
     rules = _keywords(spark, d).withColumn("priority", F.struct(F.char_length("keyword").alias("length"), "keyword"))
-    kept = A.by_priority(stage(A.occurrences(docs, "doc_id", "t", rules, "keyword"), "places"), rules, "keyword", "priority")
+    kept = A.priority_spans(docs, "doc_id", "t", rules, "keyword", "priority")
     return kept.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("spans"), F.sum(F.col("end") - F.col("start")).alias("covered"))
 
 

@@ -158,6 +158,21 @@ def test_spans_are_judged_where_the_text_is_read(spark, monkeypatch, block):
     assert A.longest_spans(docs, "id", "t", rules.where("p = ''"), "p").count() == 0
 
 
+@pytest.mark.parametrize("block", [8 << 20, 6])
+def test_priorities_are_judged_where_the_text_is_read(spark, monkeypatch, block):
+    monkeypatch.setattr(A, "BLOCK", block)
+    rnd = random.Random(6)
+    docs = spark.createDataFrame([*enumerate("".join(rnd.choice("abé _😀") for _ in range(rnd.randint(0, 60))) for _ in range(80)), (100, None), (None, "ab")], "id int, t string").repartition(3)
+    patterns = ["a", "ab", "bab", "abab", "b b", "é", "bé", " a", "zz", "a😀"]
+    rules = spark.createDataFrame([*((p, None if p == "bab" else i % 4) for i, p in enumerate(patterns)), ("", 0), (None, 1), ("ab", 9)], "p string, rank int")
+    names = ("id", "start", "end", "pattern", "priority")
+    wanted = values(A.by_priority(A.occurrences(docs, "id", "t", rules, "p"), rules, "p", "rank"), *names)
+    got = A.priority_spans(docs, "id", "t", rules, "p", "rank")
+    assert sorted(values(got, *names), key=repr) == sorted(wanted, key=repr)
+    assert block == 6 or "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert A.priority_spans(docs, "id", "t", rules.where("p = ''"), "p", "rank").count() == 0
+
+
 def test_ten_thousand_patterns(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     texts = values(docs, "doc_id", "text")

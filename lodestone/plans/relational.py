@@ -513,7 +513,8 @@ def w10(spark, d):
 
 @query("w11_attempts_in_span", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS attempts FROM events")
 def w11(spark, d):
-    x = table(spark, d, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    # to the nearest second, halves to the even one, as the SQL's cast has it
+    x = table(spark, d, "events").withColumn("s", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long"))
     return W.attempts_within(x, "user_id", F.col("s"), 3600, "attempts").select("event_id", "attempts")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
+import sqlite3
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -13,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from lodestone.operators.windows import first_per
@@ -86,6 +89,62 @@ def read_table(spark: SparkSession, url: str, table: str, column: str, bounds: t
     return spark.read.jdbc(url, table, column=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts, properties=options)
 
 
+#: Rows of a database file.
+DATABASE_ROWS = 50_000
+
+
+def database_files(df: DataFrame, table: str, key: str, rows: int = DATABASE_ROWS) -> DataFrame:
+    """(low, high, n, content): ``df`` as SQLite database files of ``rows`` rows at most, each a range of a whole-number column with its least and greatest key.
+
+    Columns are whole numbers, floating point numbers or text.
+    """
+    kinds = [{"double": "REAL", "float": "REAL", "string": "TEXT"}.get(f.dataType.simpleString(), "INTEGER") for f in df.schema]
+    names, at = [_quoted(c) for c in df.columns], df.columns.index(key)
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        with contextlib.closing(sqlite3.connect(":memory:")) as con:
+            con.execute(f"CREATE TABLE {_quoted(table)} ({', '.join(f'{n} {k}' for n, k in zip(names, kinds, strict=True))})")
+            con.executemany(f"INSERT INTO {_quoted(table)} VALUES ({', '.join('?' * len(names))})", held)
+            con.execute(f"CREATE INDEX by_key ON {_quoted(table)} ({names[at]})")
+            con.commit()
+            keys = [r[at] for r in held if r[at] is not None]
+            content = con.serialize()
+        return pa.RecordBatch.from_arrays([pa.array([min(keys, default=None)], pa.int64()), pa.array([max(keys, default=None)], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([content], pa.binary())], ["low", "high", "n", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                held.append(row)
+                if len(held) == rows:
+                    yield packed(held)
+                    held = []
+        if held:
+            yield packed(held)
+
+    return df.repartitionByRange(key).sortWithinPartitions(key).mapInArrow(run, "low bigint, high bigint, n bigint, content binary")
+
+
+def scan_databases(files: DataFrame, sql: str, schema: str) -> DataFrame:
+    """The rows of ``sql``, whose filters each database of ``files`` (content, as SQLite files have it) applies itself; columns are ``schema``'s."""
+    types = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                with contextlib.closing(sqlite3.connect(":memory:")) as con:
+                    con.deserialize(content.as_py())
+                    found = con.execute(sql)
+                    while part := found.fetchmany(4096):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), types, strict=True)], schema=types)
+
+    return files.select("content").where("content IS NOT NULL").mapInArrow(run, schema)
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
 def create_tables(spark: SparkSession, tables: dict[str, str]) -> None:
     """Create the tables (name to columns in SQL) that aren't there yet."""
     for name, columns in tables.items():

@@ -2,46 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
+from lodestone.operators.staging import stage
 from lodestone.operators.windows import budget, first_per
 
 #: BM25 parameters (k1, b) and the share of the mean idf that replaces negative ones.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def term_frequencies(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(chunk, term, tf, len): counted inside the row's own tokens first, so one row for each term of a chunk is shuffled at most once."""
-    tokens = chunks.select(F.col(id_col).alias("chunk"), T.ranking_tokens(F.col(text_col)).alias("tokens"))
-    flat = tokens.select("chunk", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    return flat.groupBy("chunk", "term", "len").agg(F.count("*").alias("tf"))
-
-
 def bm25(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """(query, chunk, bm25) of the chunks that hold a term of the query; queries are (query, term, weight).
 
     A term counts max(1, round(weight)) times. Only postings of query terms are
-    joined; corpus statistics are one row. Negative idfs become EPSILON times
+    moved; corpus statistics are one row, and the terms' counts a stored table. Negative idfs become EPSILON times
     the mean idf of all terms.
     """
-    tf = term_frequencies(chunks, id_col, text_col)
-    # every use keeps all columns of tf, so that one exchange serves them and texts are split once;
-    # the frequencies of a chunk's terms add up to its length
-    total = tf.agg(F.sum("tf").alias("total"))
-    stats = chunks.agg(F.count("*").alias("n")).join(F.broadcast(total), F.lit(True)).select("n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("mean"))
-    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    tokens = chunks.select(F.col(id_col).alias("chunk"), F.coalesce(T.ranking_tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
+    # in how many chunks each term is; the row without a term has the number of chunks and of tokens. Terms are counted before anything moves
+    one = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("n")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("tokens").alias("n")))
+    counted = stage(tokens.select(F.explode(F.concat(one, whole)).alias("t")).groupBy("t.term").agg(F.count("*").alias("df"), F.sum("t.n").alias("total")), "terms")
+    stats = counted.where("term IS NULL").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("mean"))
+    df = counted.where("term IS NOT NULL").select("term", "df")
     # one row of statistics, so the join is a broadcast of one row
     idf = df.join(F.broadcast(stats), F.lit(True)).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     wanted = queries.groupBy("query", "term").agg(F.sum(F.greatest(F.lit(1), F.bround("weight", 0))).alias("times"))
-    known = idf.join(wanted, "term").join(F.broadcast(mean), F.lit(True))
+    known = idf.join(F.broadcast(wanted), "term").join(F.broadcast(mean), F.lit(True))
     known = known.withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
+    # of the chunks only terms of the stated queries go on
+    flat = tokens.select("chunk", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    tf = flat.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").groupBy("chunk", "term", "len").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return tf.join(known, "term").groupBy("query", "chunk").agg(F.sum(part).alias("bm25"))
+    return tf.join(F.broadcast(known), "term").groupBy("query", "chunk").agg(F.sum(part).alias("bm25"))
 
 
 def best_bm25(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -70,7 +73,7 @@ def chat_context(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, k:
     set (query, text, vector); chunks without a vector take no part in the former.
     """
     known = vectors.where("vector IS NOT NULL").select("id", "vector")
-    near = similarities(known, questions.where(F.size("vector") > 0), "id", "vector").select("query", "id", F.col("similarity").alias("score"))
+    near = nearest(known, questions.where(F.size("vector") > 0), k, "id", "vector").select("query", "id", F.col("similarity").alias("score"))
     bare = questions.where(F.coalesce(F.size("vector"), F.lit(-1)) <= 0)
     words = bare.select("query", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.char_length(w) > 3).alias("words"))
     low = chunks.select("id", F.lower("text").alias("t")).join(F.broadcast(words), F.lit(True))
@@ -94,17 +97,93 @@ def similarities(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id",
     return vectors.join(F.broadcast(q), F.lit(True)).select("query", F.col(id_col).alias("id"), V.cosine(F.col(vector_col), F.col("__q")).alias("similarity"))
 
 
+def _matrix(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors filled up with zeros to ``width``, and their sizes; a null one, one with a null in it and a longer one are 0."""
+    sizes = np.array([-1 if n is None else n for n in pc.list_value_length(vectors).to_pylist()], np.int64)
+    out = np.zeros((len(vectors), width), np.float64)
+    if len(vectors) and (sizes == width).all() and not vectors.flatten().null_count:
+        out[:] = np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), width)
+        return out, sizes
+    for i, v in enumerate(vectors.to_pylist()):
+        if v and None in v:
+            sizes[i] = -2
+        elif v and len(v) <= width:
+            out[i, : len(v)] = v
+    return out, sizes
+
+
+def _best(held: pa.Table, k: int, asked: int) -> tuple[pa.Table, np.ndarray]:
+    """The ``k`` best rows of each query by (similarity, id), and each query's least similarity that still counts."""
+    order = pc.sort_indices(held, [("at", "ascending"), ("key", "descending"), ("id", "ascending")], null_placement="at_start")
+    held = held.take(order)
+    at = held["at"].to_numpy()
+    first = np.searchsorted(at, np.arange(asked))
+    place = np.arange(len(at)) - first[at]
+    kept = held.filter(pa.array(place < k))
+    least = np.full(asked, -np.inf)
+    last = place == k - 1
+    least[at[last]] = held["key"].to_numpy()[last]
+    return kept, least
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query, id, similarity, rank): exact cosine, the ``k`` best for each query.
 
-    A stated set of queries against all rows; the window group limit keeps k
-    rows a task before anything is shuffled.
+    A stated set of queries, at most QUERIES, against all rows. A task
+    multiplies blocks of its rows with all queries, works out again what may be
+    among the best, in one order of summing, and gives up ``k`` rows a query.
     """
-    scored = similarities(vectors, queries, id_col, vector_col)
+    q = queries.select("query", "vector")
+    asked = q.limit(QUERIES + 1).toArrow()
+    if asked.num_rows > QUERIES:
+        raise ValueError(f"at most {QUERIES} queries are scored at once; pass them in blocks")
+    names, given = asked["query"].combine_chunks(), asked["vector"].combine_chunks()
+    width = max(pc.max(pc.list_value_length(given)).as_py() or 1, 1)
+    sent = vectors.sparkSession.sparkContext.broadcast((names, *_matrix(given, width)))
+    kinds = q.schema["query"].dataType.simpleString(), vectors.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, y, wanted = sent.value
+        long = np.sqrt((y * y).sum(axis=1))
+        held, least, fresh = None, np.full(len(y), -np.inf), 0
+        for whole in batches:
+            for lo in range(0, whole.num_rows if len(y) else 0, ROWS):
+                batch = whole.slice(lo, ROWS)
+                x, sizes = _matrix(batch.column(1), width)
+                scale = np.sqrt((x * x).sum(axis=1))[:, None] * long[None, :]
+                with np.errstate(all="ignore"):
+                    near = np.where(~(scale <= 0) & (sizes[:, None] == wanted[None, :]), (x @ y.T) / scale, 0.0)
+                # no number is above all numbers, as in an ORDER BY
+                near[np.isnan(near)] = np.inf
+                bar = least
+                if len(near) > k and np.isinf(least).any():
+                    bar = np.maximum(least, np.partition(near, len(near) - k, axis=0)[len(near) - k])
+                rows, at = np.nonzero(near >= bar[None, :] - 1e-9)
+                exact = np.empty(len(rows))
+                for i in range(0, len(rows), 16_384):
+                    r, a = rows[i : i + 16_384], at[i : i + 16_384]
+                    with np.errstate(all="ignore"):
+                        exact[i : i + 16_384] = np.where(near[r, a] == 0.0, 0.0, (x[r] * y[a]).sum(axis=1) / scale[r, a])
+                exact[np.isnan(exact)] = np.inf
+                found = pa.table({"at": at, "key": exact, "id": batch.column(0).take(pa.array(rows))})
+                held = found if held is None else pa.concat_tables([held, found])
+                fresh += len(rows)
+                if fresh > max(k * len(y), 100_000) or np.isinf(least).any():
+                    held, least = _best(held, k, len(y))
+                    held, fresh = held.combine_chunks(), 0
+        if held is not None:
+            held, _ = _best(held, k, len(y))
+            for part in held.combine_chunks().to_batches(10_000):
+                key = part.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([names.take(part.column(0)), part.column(2), pa.array(np.where(np.isinf(key), np.nan, key))], ["query", "id", "similarity"])
+
+    scored = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, f"query {kinds[0]}, id {kinds[1]}, similarity double")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Rows that are multiplied with all queries at once.
+ROWS = 512
 #: Queries that ``similarities`` and ``nearest`` take at once, which bounds what they broadcast.
 QUERIES = 10_000
 

@@ -50,10 +50,12 @@ def _similar(spark, d, least):
     return J.similar_sets(table(spark, d, "documents"), "doc_id", "lang", F.split("text", " "), least)
 
 
-@query("j16_similar_pairs", "WITH " + SIMILAR_SQL.format(0.97) + "SELECT a, b FROM p")
+@query("j16_similar_pairs", "WITH " + SIMILAR_SQL.format(0.97) + "SELECT 'similar' AS kind, a, b FROM p UNION ALL SELECT 'member', c.id, w.doc_id FROM w JOIN c ON w.lang IS NOT DISTINCT FROM c.lang AND w.w IS NOT DISTINCT FROM c.w WHERE w.doc_id <> c.id")
 def j16(spark, d):
-    """Pairs of representatives; ``j16_similar_classes`` has the members."""
-    return _similar(spark, d, 0.97)[1]
+    """Pairs of representatives that are similar, and of a representative and each other document with its set of words."""
+    classes, pairs = _similar(spark, d, 0.97)
+    members = classes.where("id <> class").select(F.lit("member").alias("kind"), F.col("class").alias("a"), F.col("id").alias("b"))
+    return pairs.select(F.lit("similar").alias("kind"), "a", "b").unionByName(members)
 
 
 @query("j16_similar_classes", "WITH " + SIMILAR_SQL.format(0.8) + ", n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY id) SELECT w.doc_id AS id, c.id AS class, coalesce(n, 0) AS n_links FROM w JOIN c ON w.lang = c.lang AND w.w = c.w LEFT JOIN n ON n.id = c.id")

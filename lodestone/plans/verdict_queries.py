@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions import verdicts as V
+from lodestone.operators import context as K
 from lodestone.operators import retrieval as R
 from lodestone.operators.matching import resolve_controls
 from lodestone.plans.registry import query, table
@@ -118,7 +119,7 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 def t25(spark, d):
     """Every tenth benchmark passage as a quote, against all documents: those that have six tenths of its key terms."""
     quotes = table(spark, d, "benchmark").where("item_id % 10 = 0").select("item_id", F.col("text").alias("quote"))
-    return table(spark, d, "documents").join(F.broadcast(quotes), T.terms_grounded(F.col("quote"), F.col("text"))).select("item_id", "doc_id")
+    return K.grounded_by_terms(table(spark, d, "documents"), "doc_id", "text", quotes, "item_id", "quote")
 
 
 #: Nations as controls: an id, a name, the fourth word of a benchmark passage as a keyword, a vector. Documents cite them in one way or another.

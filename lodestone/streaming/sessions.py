@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -12,10 +14,42 @@ from lodestone.streaming.counters import event_stream
 
 #: Hours that a session's state outlives its last event.
 HOURS = 24
+#: Events that a task holds at a time.
+HELD = 1 << 21
 #: What transformWithState keeps its state in.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _pieces(hours: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of events (user_id, at, value), pieces of sessions (user_id, first, last, n, total): a user's events without a longer gap."""
+    gap = int(hours * 3_600_000_000)
+
+    def cut(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(batches)
+        known, user = rows["user_id"].is_valid().to_numpy(), rows["user_id"].fill_null(0).to_numpy()
+        at, value, valid = rows["at"].to_numpy(), rows["value"].fill_null(0).to_numpy(), rows["value"].is_valid().to_numpy()
+        order = np.lexsort((value, at, user, known))
+        known, user, at, value, valid = known[order], user[order], at[order], value[order], valid[order]
+        begins = np.flatnonzero(np.r_[True, (known[1:] != known[:-1]) | (user[1:] != user[:-1]) | (at[1:] - at[:-1] > gap)])
+        ends = np.r_[begins[1:], len(at)]
+        columns = [pa.array(user[begins], mask=~known[begins]), at[begins], at[ends - 1], ends - begins, pa.array(np.add.reduceat(value, begins), mask=~np.logical_or.reduceat(valid, begins))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["user_id", "first", "last", "n", "total"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= HELD:
+                yield cut(held)
+                held, size = [], 0
+        if held:
+            yield cut(held)
+
+    return pieces
+
+
 class _Sessions(StatefulProcessor):
     """One value per user: first and last event, their number and total. Every update moves the timer on; a timer that fires closes the session."""
 
@@ -34,22 +68,24 @@ class _Sessions(StatefulProcessor):
         return Row(user_id=key[0], first=held[0], last=held[1], n=held[2], total=held[3])
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803 - names of the interface
-        held = tuple(self.state.get()) if self.state.exists() else None
+        # each call of the state is a message, so there are as few as can be
+        held = self.state.get()
         if held is not None:
             self.handle.deleteTimer(self._timer(held[1]))
-        # the rows of a user in one micro-batch, whose size the trigger bounds
-        for at, value in sorted((r["at"], r["value"] or 0.0) for r in rows):
-            if held is not None and at - held[1] > self.gap:
+        # the pieces of a user's sessions in one micro-batch, whose size the trigger bounds
+        for first, last, n, total in sorted(((r["first"], r["last"], r["n"], r["total"]) for r in rows), key=lambda p: p[:3]):
+            if held is not None and first - held[1] > self.gap:
                 yield self._closed(key, held)
                 held = None
-            held = (at, at, 1, value) if held is None else (min(at, held[0]), max(at, held[1]), held[2] + 1, held[3] + value)
+            held = (first, last, n, total) if held is None else (min(first, held[0]), max(last, held[1]), held[2] + n, held[3] if total is None else total + (held[3] or 0.0))
         if held is not None:
             self.state.update(held)
             self.handle.registerTimer(self._timer(held[1]))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803 - names of the interface
-        if self.state.exists():
-            yield self._closed(key, tuple(self.state.get()))
+        held = self.state.get()
+        if held is not None:
+            yield self._closed(key, held)
             self.state.clear()
 
     def close(self) -> None:
@@ -61,11 +97,15 @@ def closed_sessions(events: DataFrame, hours: float = HOURS, late: str = "0 seco
 
     Every event refreshes its session's time to live, which is event time. A
     session is emitted once, when a later event or the watermark shows that it
-    has ended, and its state goes; events later than ``late`` are dropped. A
-    null value counts 0; events without a time are dropped.
+    has ended, and its state goes. A null value counts 0, and a session of nulls has
+    a null total; events without a time are dropped. A user's events of one micro-batch are joined to pieces of
+    sessions first, and the state sees the pieces; those whose last event is
+    later than ``late`` are dropped.
     """
-    rows = events.where("ts IS NOT NULL").select("user_id", "ts", F.unix_micros("ts").alias("at"), F.col("value").cast("double").alias("value")).withWatermark("ts", late)
-    made = rows.groupBy("user_id").transformWithState(_Sessions(hours), "user_id bigint, first bigint, last bigint, n bigint, total double", "Append", "EventTime")
+    rows = events.where("ts IS NOT NULL").select("user_id", F.unix_micros("ts").alias("at"), F.col("value").cast("double").alias("value"))
+    pieces = rows.repartition("user_id").mapInArrow(_pieces(hours), "user_id bigint, first bigint, last bigint, n bigint, total double")
+    pieces = pieces.withColumn("ts", F.timestamp_micros("last")).withWatermark("ts", late)
+    made = pieces.groupBy("user_id").transformWithState(_Sessions(hours), "user_id bigint, first bigint, last bigint, n bigint, total double", "Append", "EventTime")
     return made.select("user_id", F.timestamp_micros("first").alias("first"), F.timestamp_micros("last").alias("last"), "n", "total")
 
 

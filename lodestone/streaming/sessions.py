@@ -14,6 +14,8 @@ from lodestone.streaming.counters import event_stream
 
 #: Hours that a session's state outlives its last event.
 HOURS = 24
+#: Groups that users are dealt to by hash, each with one state; a checkpoint keeps their number.
+BUCKETS = 4096
 #: Events that a task holds at a time.
 HELD = 1 << 21
 #: What transformWithState keeps its state in.
@@ -51,42 +53,57 @@ def _pieces(hours: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 class _Sessions(StatefulProcessor):
-    """One value per user: first and last event, their number and total. Every update moves the timer on; a timer that fires closes the session."""
+    """The open sessions of a bucket of users, and a timer at the first of their ends; every update moves its session's end on.
+
+    Each call of the state is a message, so a bucket is read and written as a whole.
+    """
 
     def __init__(self, hours: float):
         self.gap = int(hours * 3_600_000_000)
 
-    def _timer(self, last: int) -> int:
-        """When a session ends, in milliseconds; its events are in microseconds."""
-        return (last + self.gap) // 1000
+    def _ends(self, held: dict) -> int | None:
+        """When the first session ends, in milliseconds; events are in microseconds."""
+        return min((last + self.gap) // 1000 for _, last, _, _ in held.values()) if held else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("session", "first bigint, last bigint, n bigint, total double")
+        self.state = handle.getListState("sessions", "user_id bigint, first bigint, last bigint, n bigint, total double")
+
+    def _held(self) -> dict:
+        return {user: tuple(own) for user, *own in list(self.state.get())}
 
-    def _closed(self, key: tuple, held: tuple) -> Row:
-        return Row(user_id=key[0], first=held[0], last=held[1], n=held[2], total=held[3])
+    def _closed(self, user: int | None, own: tuple) -> Row:
+        return Row(user_id=user, first=own[0], last=own[1], n=own[2], total=own[3])
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803 - names of the interface
-        # each call of the state is a message, so there are as few as can be
-        held = self.state.get()
-        if held is not None:
-            self.handle.deleteTimer(self._timer(held[1]))
-        # the pieces of a user's sessions in one micro-batch, whose size the trigger bounds
-        for first, last, n, total in sorted(((r["first"], r["last"], r["n"], r["total"]) for r in rows), key=lambda p: p[:3]):
-            if held is not None and first - held[1] > self.gap:
-                yield self._closed(key, held)
-                held = None
-            held = (first, last, n, total) if held is None else (min(first, held[0]), max(last, held[1]), held[2] + n, held[3] if total is None else total + (held[3] or 0.0))
-        if held is not None:
-            self.state.update(held)
-            self.handle.registerTimer(self._timer(held[1]))
+        held = self._held()
+        before = self._ends(held)
+        # the pieces of a bucket's sessions in one micro-batch, whose size the trigger bounds
+        for user, first, last, n, total in sorted(((r["user_id"], r["first"], r["last"], r["n"], r["total"]) for r in rows), key=lambda p: p[1:4]):
+            own = held.get(user)
+            if own is not None and first - own[1] > self.gap:
+                yield self._closed(user, own)
+                own = None
+            held[user] = (first, last, n, total) if own is None else (min(first, own[0]), max(last, own[1]), own[2] + n, own[3] if total is None else total + (own[3] or 0.0))
+        self.state.put([(user, *own) for user, own in held.items()])
+        ends = self._ends(held)
+        if ends != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(ends)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803 - names of the interface
-        held = self.state.get()
-        if held is not None:
-            yield self._closed(key, held)
+        held, now = self._held(), timerValues.getCurrentWatermarkInMs()
+        left = {user: own for user, own in held.items() if (own[1] + self.gap) // 1000 >= now}
+        for user in held.keys() - left.keys():
+            yield self._closed(user, held[user])
+        if not left:
             self.state.clear()
+            return
+        if len(left) < len(held):
+            self.state.put([(user, *own) for user, own in left.items()])
+        # the timer that fires is deleted after this call
+        self.handle.registerTimer(max(self._ends(left), expiredTimerInfo.getExpiryTimeInMs() + 1))
 
     def close(self) -> None:
         pass
@@ -99,13 +116,14 @@ def closed_sessions(events: DataFrame, hours: float = HOURS, late: str = "0 seco
     session is emitted once, when a later event or the watermark shows that it
     has ended, and its state goes. A null value counts 0, and a session of nulls has
     a null total; events without a time are dropped. A user's events of one micro-batch are joined to pieces of
-    sessions first, and the state sees the pieces; those whose last event is
-    later than ``late`` are dropped.
+    sessions first, and the state, which is that of a bucket of users, sees the
+    pieces; those whose last event is later than ``late`` are dropped.
     """
     rows = events.where("ts IS NOT NULL").select("user_id", F.unix_micros("ts").alias("at"), F.col("value").cast("double").alias("value"))
     pieces = rows.repartition("user_id").mapInArrow(_pieces(hours), "user_id bigint, first bigint, last bigint, n bigint, total double")
     pieces = pieces.withColumn("ts", F.timestamp_micros("last")).withWatermark("ts", late)
-    made = pieces.groupBy("user_id").transformWithState(_Sessions(hours), "user_id bigint, first bigint, last bigint, n bigint, total double", "Append", "EventTime")
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)))
+    made = pieces.groupBy("bucket").transformWithState(_Sessions(hours), "user_id bigint, first bigint, last bigint, n bigint, total double", "Append", "EventTime")
     return made.select("user_id", F.timestamp_micros("first").alias("first"), F.timestamp_micros("last").alias("last"), "n", "total")
 
 

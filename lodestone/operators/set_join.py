@@ -29,6 +29,8 @@ RARE = 16
 MARKS, CROWD = 8, 64
 #: Sets of a block, and words by which two blocks are multiplied at a time.
 BLOCK, WIDTH = 1024, 2048
+#: Bits that tell which sets a comparison needs, and those of one of Spark's bitmaps.
+BITS, BITMAP = 1 << 26, 1 << 15
 
 
 def _ceil(x: Column) -> Column:
@@ -145,6 +147,20 @@ def _at_home(own: DataFrame, homes: DataFrame, least: float) -> DataFrame:
     return dealt.groupBy("home", "i", "j").applyInArrow(_compare_blocks(least), f"a {kind}, b {kind}")
 
 
+def _needed(sets: DataFrame, asked: DataFrame) -> DataFrame:
+    """The sets whose id is in ``asked``, and a few others that share a bit with one of these.
+
+    The bits are sent to the sets, BITS of them at most, so that only what is needed is moved afterwards.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    part, bit = F.floor(place / BITMAP), F.pmod(place, F.lit(BITMAP))
+    # dealt by part first: else each task would send its own bitmap of a part
+    bits = asked.select(part.alias("part"), bit.alias("bit")).repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    # BITS / 8 bytes at most
+    return sets.join(F.broadcast(bits), part == F.col("part")).where(F.getbit(byte, F.pmod(bit, F.lit(8))) == 1).select(*sets.columns)
+
+
 def similar_sets(df: DataFrame, id_col: str, within: str, words: Column, least: float) -> tuple[DataFrame, DataFrame]:
     """(classes, pairs): (id, within, class) of every row, and (a, b), a < b, of the classes whose sets have a Jaccard similarity of ``least`` or more.
 
@@ -177,9 +193,9 @@ def similar_sets(df: DataFrame, id_col: str, within: str, words: Column, least:
     met = keys.where(short).select(a).join(keys.select(b), "key").where(apart & smaller & sized & placed)
     near = met.groupBy(F.col("ida").alias("a"), F.col("idb").alias("b")).agg(F.count("*").alias("n"), F.min(F.least(needed, F.lit(SHARED))).alias("least"))
     near = stage(near.where(F.col("n") >= F.col("least")).select("a", "b"), "near")
-    # the sets that any comparison needs are fetched once
-    asked = near.select(F.explode(F.array("a", "b")).alias("id")).union(homes.select("id")).distinct()
-    own = stage(full.select("id", "w").join(asked, "id", "left_semi"), "compared")
+    # the sets that any comparison needs are fetched once, and the others stay where they are
+    asked = near.select(F.explode(F.array("a", "b")).alias("id")).union(homes.select("id"))
+    own = stage(_needed(full.select("id", "w"), asked), "compared")
     sides = [own.select(F.col("id").alias(x), F.col("w").alias(f"w{x}")) for x in ("a", "b")]
     both = near.join(sides[0], "a").join(sides[1], "b")
     shared = F.size(F.array_intersect("wa", "wb"))

@@ -31,6 +31,8 @@ MARKS, CROWD = 8, 64
 BLOCK, WIDTH = 1024, 2048
 #: Bits that tell which sets a comparison needs, and those of one of Spark's bitmaps.
 BITS, BITMAP = 1 << 26, 1 << 15
+#: Bits of a set's sketch.
+SKETCH = 512
 
 
 def _ceil(x: Column) -> Column:
@@ -59,7 +61,10 @@ def _hashes() -> Column:
 
 
 def _first_words(common: object, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of batches (id, n, keys), (id, n, first): a set's first words, by hash, in the order of frequency and hash."""
+    """Of batches (id, n, keys), (id, n, first, sketch): a set's first words, by hash, in the order of frequency and hash.
+
+    A bit of the sketch is 1 if an odd number of the set's words have it, so two sets differ by as many words as sketches by bits, or more.
+    """
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rows = common.value
@@ -76,7 +81,10 @@ def _first_words(common: object, least: float) -> Callable[[Iterator[pa.RecordBa
             at = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
             kept = keys[order][at < np.repeat(take, size)]
             ends = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, n, pa.ListArray.from_arrays(pa.array(ends), pa.array(kept))], names=["id", "n", "first"])
+            odd = np.bincount(of * SKETCH + (keys & SKETCH - 1), minlength=len(size) * SKETCH) & 1
+            words = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(words))
+            yield pa.RecordBatch.from_arrays([ids, n, pa.ListArray.from_arrays(pa.array(ends), pa.array(kept)), sketches], names=["id", "n", "first", "sketch"])
 
     return first
 
@@ -178,7 +186,7 @@ def similar_sets(df: DataFrame, id_col: str, within: str, words: Column, least:
     full = sets.where("g IS NOT NULL AND size(w) > 0")
     common = df.sparkSession.sparkContext.broadcast(_common_words(full))
     kind = sets.schema["id"].dataType.simpleString()
-    firsts = full.select("id", F.size("w").alias("n"), _hashes().alias("keys")).mapInArrow(_first_words(common, least), f"id {kind}, n int, first array<bigint>")
+    firsts = full.select("id", F.size("w").alias("n"), _hashes().alias("keys")).mapInArrow(_first_words(common, least), f"id {kind}, n int, first array<bigint>, sketch array<bigint>")
     firsts = stage(firsts.join(folded.select(F.col("class").alias("id")), "id", "left_semi"), "firsts")
     homes = _homes(firsts)
     keys = firsts.join(homes.select("id", "home"), "id", "left").select("id", "n", "home", F.posexplode("first").alias("at", "key"))
@@ -192,7 +200,12 @@ def similar_sets(df: DataFrame, id_col: str, within: str, words: Column, least:
     apart = F.coalesce(F.col("homea") != F.col("homeb"), F.lit(True))
     met = keys.where(short).select(a).join(keys.select(b), "key").where(apart & smaller & sized & placed)
     near = met.groupBy(F.col("ida").alias("a"), F.col("idb").alias("b")).agg(F.count("*").alias("n"), F.min(F.least(needed, F.lit(SHARED))).alias("least"))
-    near = stage(near.where(F.col("n") >= F.col("least")).select("a", "b"), "near")
+    near = near.where(F.col("n") >= F.col("least")).select("a", "b")
+    # sketches are smaller than sets, and most of the pairs that are not similar end here
+    for x in ("a", "b"):
+        near = near.join(firsts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), x)
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    near = stage(near.where(differ <= F.col("na") + F.col("nb") - 2 * needed).select("a", "b"), "near")
     # the sets that any comparison needs are fetched once, and the others stay where they are
     asked = near.select(F.explode(F.array("a", "b")).alias("id")).union(homes.select("id"))
     own = stage(_needed(full.select("id", "w"), asked), "compared")
